@@ -1,13 +1,94 @@
-"""Learned forecasts (filled in below)."""
+"""Learned forecasts: ridge and boosted trees on Spark ML, scored from small tree tables.
+
+Fitting is Spark ML throughout (GBTRegressor for squared error; for the other
+losses a loop of DecisionTreeRegressor on pseudo-residuals whose leaf values are
+one bounded grouped aggregate). A fitted ensemble is a few thousand nodes, so
+scoring evaluates it in Arrow batches where the rows lie: no shuffle.
+"""
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from peerscreen import schema as S
 from peerscreen.functions.columns import finite
-from peerscreen.operators import ordering
+from peerscreen.operators import forecast, ordering
+
+OBJECTIVES = ["squared", "absolute", "pseudo_huber", "quantile"]
+
+# --- fixed values: hyperparameters of the published candidates -------------------
+BOOST_PARAMS = {
+    "rounds": 350,
+    "depth": 3,
+    "learning_rate": 0.04,
+    "min_rows": 12,
+    "subsample": 0.9,
+    "columns": 0.9,
+    "penalty": 10.0,
+}
+HIST_PARAMS = {"rounds": 250, "depth": 4, "learning_rate": 0.07, "min_rows": 20, "subsample": 1.0, "columns": 1.0, "penalty": 5.0}
+RIDGE_PENALTY = 10.0
+HUBER_SLOPE = 0.05
+# --- end of fixed values -----------------------------------------------------------
+MAX_BINS = 64
+CHECKPOINT_EVERY = 10
+
+
+@dataclass(frozen=True)
+class CandidateConfig:
+    """One forecasting configuration."""
+
+    name: str
+    model: str  # persistence | linear_extrapolation | ridge | boosted
+    target: str = "normalized"
+    feature_set: str = "leakage_only"
+    objective: str | None = None
+    params: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.model not in (*forecast.BASELINES, "ridge", "boosted"):
+            raise ValueError(f"unknown model family {self.model}")
+        if self.target not in forecast.TARGETS:
+            raise ValueError(f"unknown target {self.target}")
+        if self.feature_set not in S.FEATURE_SETS:
+            raise ValueError(f"unknown feature set {self.feature_set}")
+        if self.model == "boosted" and self.objective not in OBJECTIVES:
+            raise ValueError("boosted configurations need an objective")
+
+    @property
+    def feature_columns(self) -> list[str]:
+        return list(S.FEATURE_SETS[self.feature_set])
+
+
+# --- fixed values: the published comparison ------------------------------------------
+COMPARISON = [
+    CandidateConfig("persistence", "persistence"),
+    CandidateConfig("linear_extrapolation", "linear_extrapolation"),
+    CandidateConfig("xgb_v1_replica", "boosted", "normalized", "v1_all", "squared"),
+    CandidateConfig("xgb_sq_norm_leak", "boosted", "normalized", "leakage_only", "squared"),
+    CandidateConfig("xgb_sq_resid_leak", "boosted", "residual_over_persistence", "leakage_only", "squared"),
+    CandidateConfig("xgb_abs_norm_leak", "boosted", "normalized", "leakage_only", "absolute"),
+    CandidateConfig("xgb_abs_resid_leak", "boosted", "residual_over_persistence", "leakage_only", "absolute"),
+    CandidateConfig("xgb_huber_resid_leak", "boosted", "residual_over_persistence", "leakage_only", "pseudo_huber"),
+    CandidateConfig("xgb_sq_log1p_leak", "boosted", "log1p_normalized", "leakage_only", "squared"),
+    CandidateConfig("xgb_sq_log1p_resid_leak", "boosted", "log1p_residual_over_persistence", "leakage_only", "squared"),
+    CandidateConfig("xgb_abs_resid_aux", "boosted", "residual_over_persistence", "leakage_plus_aux", "absolute"),
+    CandidateConfig("xgb_abs_resid_peer", "boosted", "residual_over_persistence", "leakage_plus_channel_peer", "absolute"),
+]
+FINAL = CandidateConfig("xgboost_v2", "boosted", "residual_over_persistence", "leakage_only", "absolute", {"gate": S.GATE_Z})
+SQUARED = CandidateConfig("xgboost", "boosted", "normalized", "v1_all", "squared")
+HIST = CandidateConfig("hist_gradient_boosting", "boosted", "normalized", "v1_all", "squared", HIST_PARAMS)
+RIDGE = CandidateConfig("ridge", "ridge", "normalized", "v1_all")
+# --- end of fixed values ---------------------------------------------------------------
 
 
 def medians(df: DataFrame, columns: Sequence[str], *, hot: bool | None = None) -> DataFrame:
@@ -21,3 +102,410 @@ def medians(df: DataFrame, columns: Sequence[str], *, hot: bool | None = None) -
         hot = ordering.has_hot_group(tall, ["_c"])
     found = ordering.group_median(tall, ["_c"], "_x", "_m", hot=hot)
     return found.agg(*[F.coalesce(F.max(F.when(F.col("_c") == c, F.col("_m"))), F.lit(0.0)).alias(c) for c in columns])
+
+
+def features_array(columns: Sequence[str], fill: dict[str, float]) -> Column:
+    return F.array(*[F.coalesce(finite(c), F.lit(float(fill[c]))) for c in columns])
+
+
+# --- tree tables ----------------------------------------------------------------------
+
+
+def tree_arrays(model) -> dict[str, list]:
+    """A Spark ML regression tree as parallel arrays, nodes in depth-first order."""
+    out: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "value": [], "cover": []}
+
+    def walk(node) -> int:
+        at = len(out["feature"])
+        for key, empty in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1)):
+            out[key].append(empty)
+        out["value"].append(float(node.prediction()))
+        out["cover"].append(float(node.impurityStats().count()))
+        if node.subtreeDepth() > 0:
+            split = node.split()
+            out["feature"][at] = int(split.featureIndex())
+            out["threshold"][at] = float(split.threshold())
+            out["left"][at] = walk(node.leftChild())
+            out["right"][at] = walk(node.rightChild())
+        return at
+
+    walk(model._java_obj.rootNode())
+    return out
+
+
+@dataclass
+class Ensemble:
+    """Weighted trees over a fixed feature order plus a constant."""
+
+    columns: list[str]
+    base: float
+    trees: list[dict]  # feature, threshold, left, right, value, cover, weight
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        total = np.full(len(x), self.base)
+        rows = np.arange(len(x))
+        for t in self.trees:
+            feature, cut = np.asarray(t["feature"]), np.asarray(t["threshold"])
+            left, right = np.asarray(t["left"]), np.asarray(t["right"])
+            at = np.zeros(len(x), dtype=np.int64)
+            while (inner := feature[at] >= 0).any():
+                go_left = x[rows, np.maximum(feature[at], 0)] <= cut[at]
+                at = np.where(inner, np.where(go_left, left[at], right[at]), at)
+            total += t["weight"] * np.asarray(t["value"])[at]
+        return total
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """Exact path-dependent Shapley values; the last column is the bias.
+
+        Works leaf by leaf: along one path only the split features matter (at
+        most the tree depth), so their subsets are enumerated directly.
+        """
+        out = np.zeros((len(x), len(self.columns) + 1))
+        out[:, -1] = self.base
+        for t in self.trees:
+            for value, path in _leaf_paths(t):
+                weight = t["weight"] * value
+                names = sorted(path)
+                cold = {f: path[f]["share"] for f in names}
+                warm = {}
+                for f in names:
+                    low, high = path[f]["low"], path[f]["high"]
+                    warm[f] = ((x[:, f] > low) & (x[:, f] <= high)).astype(float)
+                out[:, -1] += weight * math.prod(cold.values())
+                m = len(names)
+                for f in names:
+                    others = [g for g in names if g != f]
+                    total = np.zeros(len(x))
+                    for mask in range(1 << len(others)):
+                        chosen = [g for i, g in enumerate(others) if mask >> i & 1]
+                        part = np.full(len(x), math.factorial(len(chosen)) * math.factorial(m - len(chosen) - 1) / math.factorial(m))
+                        for g in others:
+                            part = part * (warm[g] if g in chosen else cold[g])
+                        total += part
+                    out[:, f] += weight * total * (warm[f] - cold[f])
+        return out
+
+    def importance(self) -> dict[str, float]:
+        """Share of squared-value spread removed by the splits of each feature."""
+        gain = dict.fromkeys(self.columns, 0.0)
+        for t in self.trees:
+            mean, spread = _node_moments(t)
+            for at, f in enumerate(t["feature"]):
+                if f >= 0:
+                    l, r = t["left"][at], t["right"][at]
+                    gain[self.columns[f]] += t["weight"] ** 2 * max(spread[at] - spread[l] - spread[r], 0.0)
+        total = sum(gain.values()) or 1.0
+        return {c: g / total for c, g in gain.items()}
+
+
+def _leaf_paths(t: dict):
+    """(leaf value, {feature: interval and cover share}) for every leaf."""
+    stack = [(0, {})]
+    while stack:
+        at, path = stack.pop()
+        f = t["feature"][at]
+        if f < 0:
+            yield t["value"][at], path
+            continue
+        for child, is_left in ((t["left"][at], True), (t["right"][at], False)):
+            known = path.get(f, {"low": -np.inf, "high": np.inf, "share": 1.0})
+            ratio = t["cover"][child] / t["cover"][at] if t["cover"][at] else 0.0
+            step = dict(known, share=known["share"] * ratio)
+            if is_left:
+                step["high"] = min(step["high"], t["threshold"][at])
+            else:
+                step["low"] = max(step["low"], t["threshold"][at])
+            stack.append((child, {**path, f: step}))
+
+
+def _node_moments(t: dict):
+    mean, spread = [0.0] * len(t["value"]), [0.0] * len(t["value"])
+    for at in range(len(t["value"]) - 1, -1, -1):
+        if t["feature"][at] < 0:
+            mean[at] = t["value"][at]
+            continue
+        l, r = t["left"][at], t["right"][at]
+        n = t["cover"][l] + t["cover"][r]
+        mean[at] = (t["cover"][l] * mean[l] + t["cover"][r] * mean[r]) / n if n else 0.0
+        spread[at] = spread[l] + spread[r] + t["cover"][l] * (mean[l] - mean[at]) ** 2 + t["cover"][r] * (mean[r] - mean[at]) ** 2
+    return mean, spread
+
+
+# --- fitting ----------------------------------------------------------------------------
+
+
+def _fit_squared(rows: DataFrame, columns: list[str], p: dict, seed: int) -> Ensemble:
+    """Columns needed in ``rows``: _x (array), _y (encoded target)."""
+    data = rows.select(array_to_vector("_x").alias("features"), F.col("_y").alias("label"))
+    learner = GBTRegressor(
+        maxIter=p["rounds"],
+        stepSize=p["learning_rate"],
+        maxDepth=p["depth"],
+        minInstancesPerNode=p["min_rows"],
+        subsamplingRate=p["subsample"],
+        featureSubsetStrategy="all" if p["columns"] >= 1.0 else str(p["columns"]),
+        maxBins=MAX_BINS,
+        lossType="squared",
+        seed=seed,
+        checkpointInterval=CHECKPOINT_EVERY,
+    )
+    model = learner.fit(data)
+    trees = [tree_arrays(t) | {"weight": float(w)} for t, w in zip(model.trees, model.treeWeights)]
+    return Ensemble(columns, 0.0, trees)
+
+
+def _pseudo(objective: str, residual: Column, p: dict) -> Column:
+    """What the next tree is fitted to."""
+    if objective == "absolute":
+        return F.signum(residual)
+    if objective == "quantile":
+        q = float(p["quantile"])
+        return F.when(residual > 0, q).otherwise(q - 1.0)
+    scaled = residual / float(p.get("huber_slope", HUBER_SLOPE))
+    return residual / F.sqrt(1.0 + scaled * scaled)
+
+
+def _leaf_value(objective: str, residual: Column, p: dict) -> Column:
+    """Aggregate giving the leaf's step: a bounded sketch or two sums."""
+    if objective == "absolute":
+        return F.percentile_approx(residual, 0.5, 10_000)
+    if objective == "quantile":
+        return F.percentile_approx(residual, float(p["quantile"]), 10_000)
+    scaled = residual / float(p.get("huber_slope", HUBER_SLOPE))
+    curve = F.pow(1.0 + scaled * scaled, F.lit(-1.5))
+    return F.sum(residual / F.sqrt(1.0 + scaled * scaled)) / (F.sum(curve) + float(p["penalty"]))
+
+
+def _fit_loop(rows: DataFrame, columns: list[str], objective: str, p: dict, seed: int, centered: bool) -> Ensemble:
+    """Boosting over regression trees; each round is one tree fit and one grouped aggregate.
+
+    The running prediction is cut from its lineage every few rounds.
+    """
+    level = float(p["quantile"]) if objective == "quantile" else 0.5
+    base = 0.0 if centered else float(rows.agg(F.percentile_approx("_y", level, 10_000)).first()[0] or 0.0)
+    work = ordering.stable(rows.select("_id", "_x", "_y").withColumn("_f", F.lit(base)))
+    rng = random.Random(seed)
+    keep = max(1, math.ceil(len(columns) * p["columns"]))
+    trees: list[dict] = []
+    for number in range(p["rounds"]):
+        used = sorted(rng.sample(range(len(columns)), keep))
+        residual = F.col("_y") - F.col("_f")
+        chosen = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit(number)), F.lit(1_000_000)) < int(p["subsample"] * 1_000_000)
+        vector = array_to_vector(F.array(*[F.element_at("_x", i + 1) for i in used]))
+        fit_rows = work.filter(chosen).select(
+            vector.alias("features"), _pseudo(objective, residual, p).alias("label"), residual.alias("_r")
+        )
+        learner = DecisionTreeRegressor(
+            maxDepth=p["depth"], minInstancesPerNode=p["min_rows"], maxBins=MAX_BINS, seed=seed + number, leafCol="_leaf"
+        )
+        model = learner.fit(fit_rows)
+        steps = {
+            int(r["_leaf"]): float(r["v"])
+            for r in model.transform(fit_rows).groupBy("_leaf").agg(_leaf_value(objective, F.col("_r"), p).alias("v")).collect()
+        }  # at most 2^depth rows
+        tree = tree_arrays(model)
+        leaf = 0
+        for at, f in enumerate(tree["feature"]):
+            if f >= 0:
+                tree["feature"][at] = used[f]
+            else:
+                tree["value"][at] = steps.get(leaf, 0.0)
+                leaf += 1
+        trees.append(tree | {"weight": float(p["learning_rate"])})
+        work = work.withColumn("_f", F.col("_f") + p["learning_rate"] * tree_column(tree, F.col("_x")))
+        if (number + 1) % CHECKPOINT_EVERY == 0:
+            work = ordering.stable(work)
+    return Ensemble(columns, base, trees)
+
+
+def tree_column(tree: dict, x: Column, at: int = 0) -> Column:
+    """One shallow tree as a CASE expression."""
+    f = tree["feature"][at]
+    if f < 0:
+        return F.lit(float(tree["value"][at]))
+    go_left = F.element_at(x, f + 1) <= float(tree["threshold"][at])
+    return F.when(go_left, tree_column(tree, x, tree["left"][at])).otherwise(tree_column(tree, x, tree["right"][at]))
+
+
+@dataclass
+class FittedModel:
+    config: CandidateConfig
+    medians: dict[str, float]
+    ensemble: Ensemble | None = None
+    linear: tuple[list[float], float] | None = None
+
+    @property
+    def columns(self) -> list[str]:
+        return self.config.feature_columns
+
+    def prediction(self, df: DataFrame) -> Column:
+        """Forecast column in limit fractions for the rows of ``df``."""
+        c = self.config
+        if c.model in forecast.BASELINES:
+            return forecast.baseline(c.model)
+        x = features_array(self.columns, self.medians)
+        if self.linear is not None:
+            weights, intercept = self.linear
+            raw = F.lit(intercept)
+            for i, w in enumerate(weights):
+                raw = raw + F.element_at(x, i + 1) * float(w)
+        else:
+            raw = _raw_udf(self.ensemble)(x)
+        decoded = forecast.decode_prediction(raw, c.target)
+        gate = c.params.get("gate")
+        return forecast.gate(decoded, gate) if gate is not None else decoded
+
+    def transform(self, df: DataFrame, name: str = "pred") -> DataFrame:
+        missing = [c for c in self.columns if c not in df.columns] if self.config.model not in forecast.BASELINES else []
+        if missing:
+            raise ValueError(f"missing feature columns: {', '.join(missing)}")
+        return df.withColumn(name, self.prediction(df))
+
+    def contributions(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Long table: keep + feature, contribution, feature_value; feature 'bias' closes the sum.
+
+        Rows inside the quiet gate report the persistence value as bias.
+        """
+        if self.ensemble is None:
+            raise ValueError("contributions need a boosted model")
+        x = features_array(self.columns, self.medians)
+        gate = self.config.params.get("gate")
+        from peerscreen.functions.columns import quiet
+
+        still = quiet(gate) if gate is not None else F.lit(False)
+        wide = df.select(*keep, x.alias("_x"), forecast.offset(self.config.target).alias("_o"), still.alias("_q"), F.col("limit_fraction").alias("_lf"))
+        wide = wide.withColumn("_c", _share_udf(self.ensemble)("_x"))
+        n = len(self.columns)
+        entries = [
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.when(F.col("_q"), 0.0).otherwise(F.element_at("_c", i + 1)).alias("contribution"),
+                F.element_at("_x", i + 1).alias("feature_value"),
+            )
+            for i, c in enumerate(self.columns)
+        ]
+        bias = F.struct(
+            F.lit("bias").alias("feature"),
+            F.when(F.col("_q"), F.col("_lf")).otherwise(F.element_at("_c", n + 1) + F.col("_o")).alias("contribution"),
+            F.lit(None).cast("double").alias("feature_value"),
+        )
+        return wide.select(*keep, F.explode(F.array(*entries, bias)).alias("_e")).select(*keep, "_e.*")
+
+    def importance(self, spark) -> DataFrame:
+        rows = sorted(self.ensemble.importance().items(), key=lambda kv: (-kv[1], kv[0]))
+        return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def _raw_udf(ensemble: Ensemble):
+    @F.pandas_udf(T.DoubleType())
+    def raw(x: pd.Series) -> pd.Series:
+        return pd.Series(ensemble.raw(np.vstack(x.to_numpy())) if len(x) else [], dtype=float)
+
+    return raw
+
+
+def _share_udf(ensemble: Ensemble):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def shares(x: pd.Series) -> pd.Series:
+        return pd.Series(list(ensemble.shares(np.vstack(x.to_numpy()))) if len(x) else [])
+
+    return shares
+
+
+def top_contributions(contributions: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
+    """The n strongest features per row (bounded by the number of features)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(F.abs("contribution").desc(), "feature")
+    ranked = contributions.filter(F.col("feature") != "bias").withColumn("rank", F.row_number().over(w))
+    return ranked.filter(F.col("rank") <= n)
+
+
+def fit_model(config: CandidateConfig, train: DataFrame, *, seed: int = 26170, hot: bool | None = None) -> FittedModel:
+    """Fit on rows with a known ``y``; medians come from these rows only."""
+    if config.model in forecast.BASELINES:
+        return FittedModel(config, {})
+    columns = config.feature_columns
+    # One row, one number per feature.
+    fill = medians(train, columns, hot=hot).first().asDict()
+    encoded = forecast.encode_target(F.col("y"), config.target)
+    rows = train.filter(F.col("y").isNotNull()).select(
+        F.xxhash64(*S.KEY4).alias("_id"), features_array(columns, fill).alias("_x"), encoded.alias("_y")
+    )
+    if config.model == "ridge":
+        return FittedModel(config, fill, linear=_fit_ridge(rows))
+    p = BOOST_PARAMS | {k: v for k, v in config.params.items() if k not in ("gate", "bags")}
+    rows = ordering.stable(rows)
+    bags = int(config.params.get("bags", 1))
+    parts = []
+    for k in range(bags):
+        if config.objective == "squared":
+            parts.append(_fit_squared(rows, columns, p, seed + k))
+        else:
+            parts.append(_fit_loop(rows, columns, config.objective, p, seed + k, config.target.endswith("residual_over_persistence")))
+    trees = [t | {"weight": t["weight"] / bags} for e in parts for t in e.trees]
+    return FittedModel(config, fill, ensemble=Ensemble(columns, sum(e.base for e in parts) / bags, trees))
+
+
+def _fit_ridge(rows: DataFrame) -> tuple[list[float], float]:
+    """Ridge on standardised features; the penalty is per row in Spark ML."""
+    data = rows.select(array_to_vector("_x").alias("features"), F.col("_y").alias("label"))
+    n = data.count()
+    model = LinearRegression(regParam=RIDGE_PENALTY / max(n, 1), elasticNetParam=0.0, standardization=True, solver="normal").fit(data)
+    return [float(v) for v in model.coefficients], float(model.intercept)
+
+
+def permutation_importance(model: FittedModel, rows: DataFrame, *, repeats: int = 5, seed: int = 26170, hot: bool | None = None) -> DataFrame:
+    """Increase of the error when one feature is taken from a random other row.
+
+    One pairing per repeat serves every feature: rows meet a partner by their
+    places in two random orders, and each feature in turn is swapped in.
+    """
+    columns = model.columns
+    base = rows.filter(F.col("y").isNotNull()).select(
+        F.xxhash64(*S.KEY4).alias("_id"), features_array(columns, model.medians).alias("_x"), "y", "limit_fraction"
+    )
+    base = ordering.stable(base)
+    if hot is None:
+        hot = ordering.has_hot_group(base, [])
+    swap = _swap_udf(model.ensemble)
+    per_repeat = None
+    for k in range(repeats):
+        order = lambda side: F.xxhash64("_id", F.lit(seed + k), F.lit(side))  # noqa: E731, B023
+        own = ordering.numbered(base.withColumn("_o", order(1)), [], "_o", "_pos", hot=hot)
+        other = ordering.numbered(base.withColumn("_o", order(2)), [], "_o", "_pos", hot=hot)
+        paired = own.drop("_o", "group_size").join(other.select("_pos", F.col("_x").alias("_z")), "_pos")
+        scored = paired.withColumn("_p", swap("_x", "_z"))
+        raw = lambda i: F.greatest(F.element_at("_p", i + 1) + forecast.offset(model.config.target), F.lit(0.0))
+        errors = [F.avg(F.abs(raw(i) - F.col("y"))).alias(f"e{i}") for i in range(len(columns) + 1)]
+        one = scored.agg(*errors).select(
+            F.explode(
+                F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"e{i + 1}") - F.col("e0")).alias("delta")) for i, c in enumerate(columns)])
+            ).alias("x")
+        ).select("x.*")
+        per_repeat = one if per_repeat is None else per_repeat.unionByName(one)
+    return per_repeat.groupBy("feature").agg(
+        F.avg("delta").alias("mae_increase"), F.stddev_pop("delta").alias("mae_increase_std")
+    ).orderBy(F.desc("mae_increase"), "feature")
+
+
+def _swap_udf(ensemble: Ensemble):
+    """Predictions with no feature swapped, then with each feature swapped in turn."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def swapped(x: pd.Series, z: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        a, b = np.vstack(x.to_numpy()), np.vstack(z.to_numpy())
+        out = [ensemble.raw(a)]
+        for j in range(a.shape[1]):
+            mixed = a.copy()
+            mixed[:, j] = b[:, j]
+            out.append(ensemble.raw(mixed))
+        return pd.Series(list(np.column_stack(out)))
+
+    return swapped
+
+
+def with_params(config: CandidateConfig, **params) -> CandidateConfig:
+    return replace(config, params={**config.params, **params})

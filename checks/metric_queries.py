@@ -50,6 +50,13 @@ def _(spark, d):
     return rounded(out.select(*KEY, "limit_fraction", "y"))
 
 
+@query("D-04_features_with_extras", Q.query(Q.READINGS, f"pair as (select r.* from readings r where hours in (0, 24))", Q.features(source="pair"), f"cap as (select {K}, arg_min(measurement_value, hours) / 50.0 as c0 from readings where hours in (0, 24) group by {K})", select=f"select {K}, {r6('limit_fraction', 'c0 as initial_capacitance_fraction')} from feat join cap using ({K})"))
+def _(spark, d):
+    early = quality.early_readings(READ(spark, d)).withColumns({"nominal_capacitance_nf": F.lit(50.0), "capacitance_nf": F.col("measurement_value")})
+    f = feats.history_features(early, grid=S.CHECKPOINTS)
+    return rounded(f.join(feats.capacitor_extras(early), KEY).select(*KEY, "limit_fraction", "initial_capacitance_fraction"))
+
+
 @query("D-05_outcomes_of_records", Q.query(*SCO, select=f"select r.component_id, r.batch_id, r.component_family, r.measurement_name, r.hours, {r6('r.measurement_value as measurement_value')} from readings r join scored using ({K}) where r.hours > 24"))
 def _(spark, d):
     later = quality.later_readings(READ(spark, d))

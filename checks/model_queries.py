@@ -230,6 +230,7 @@ def _(spark, d):
     return rounded(out.select(*KEY, "forecast_model", "predicted_final_value", "prediction_lower", "prediction_upper", "recommendation"))
 
 
+@query("A-17_candidate_reload")
 @query("K-18_final_fit")
 def _(spark, d):
     rows = ordering.stable(table(spark, d))
@@ -248,7 +249,7 @@ def _(spark, d):
     return rounded(training.frozen_review(model, {"calibration": part["calibration"], "test": part["test"]}))
 
 
-@query("K-20_stress_invariance")
+@query("K-20_stress_invariance", "select cast(count(*) as bigint) as changed_rows from events where user_id is null")
 def _(spark, d):
     """Later readings scaled a million times must not move a single early score."""
     r = READ(spark, d)

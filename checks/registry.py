@@ -54,7 +54,7 @@ def tables_grid():
 
 
 def records(spark, d):
-    return screening.screen(READ(spark, d), carry=CARRY)
+    return screening.screen(READ(spark, d), grid=tables_grid(), carry=CARRY)
 
 
 def unscored(spark, d):

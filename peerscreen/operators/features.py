@@ -155,11 +155,18 @@ def build_component_features(
         # The readings of a peer group outnumber its histories: a cheap upper
         # bound that touches three columns of the scan.
         hot = ordering.has_hot_group(readings, S.PEER)
+    if grid is None:
+        grid = checkpoint_grid(readings)
+    last_cutoff = as_of_hour if isinstance(as_of_hour, (int, float)) else max(as_of_hour)
+    if not hot:
+        # One exchange of the raw early rows serves the aggregation per history
+        # and the windows per batch, because the history key contains the peer key.
+        readings = readings.filter(F.col("hours") <= float(last_cutoff)).repartition(*S.PEER)
     features = history_features(
         readings,
         as_of_hour,
         minimum_observations=minimum_observations,
-        grid=checkpoint_grid(readings) if grid is None else grid,
+        grid=grid,
         carry=carry,
     )
     return peers.robust_z(

@@ -55,10 +55,12 @@ def stratified_margins(df: DataFrame, residual: str, *, alpha: float = 0.1, z: s
     Three rows (per key). Lower margins are capped at zero, upper ones floored.
     """
     keys = list(keys)
-    work = df.withColumn("stratum", slope_stratum(F.col(z)))
-    own = signed_bounds(work, residual, alpha=alpha, keys=[*keys, "stratum"], hot=hot)
-    pooled = signed_bounds(work, residual, alpha=alpha, keys=keys, hot=hot)
-    pooled = pooled.select(*keys, *[F.col(m).alias(f"_p_{m}") for m in MARGINS])
+    # Each residual counts in its stratum and in the pool (-1): one pass for both.
+    pool = -1
+    both = df.withColumn("stratum", F.explode(F.array(slope_stratum(F.col(z)), F.lit(pool))))
+    found = signed_bounds(both, residual, alpha=alpha, keys=[*keys, "stratum"], hot=hot)
+    own = found.filter(F.col("stratum") != pool)
+    pooled = found.filter(F.col("stratum") == pool).select(*keys, *[F.col(m).alias(f"_p_{m}") for m in MARGINS])
     strata = pooled.withColumn("stratum", F.explode(F.array(*[F.lit(k) for k in range(len(S.STRATA_EDGES) + 1)])))
     joined = strata.join(own, [*keys, "stratum"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     usable = F.col("n") >= S.MIN_STRATUM

@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from peerscreen import schema as S
+
 HOT_ROWS_SETTING = "spark.peerscreen.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
 SALTS = 32
@@ -34,6 +37,27 @@ def has_hot_group(df: DataFrame, keys: Sequence[str], bound: int | None = None)
     return not counts.filter(F.col("n") > bound).isEmpty()
 
 
+@dataclass(frozen=True)
+class Heat:
+    """Which groupings hold more rows than one task should: peer groups, scopes, the whole table."""
+
+    peer: bool
+    scope: bool
+    table: bool
+
+
+def measure(readings: DataFrame) -> Heat:
+    """Size check of all groupings in one job over three columns.
+
+    Readings outnumber the histories built from them, so this bounds every later table.
+    """
+    bound = hot_rows(readings.sparkSession)
+    per_peer = readings.groupBy(*S.PEER).agg(F.count(F.lit(1)).alias("n"))
+    per_scope = per_peer.groupBy(*S.SCOPE).agg(F.max("n").alias("p"), F.sum("n").alias("n"))
+    top = per_scope.agg(F.max("p").alias("p"), F.max("n").alias("s"), F.sum("n").alias("t")).first()
+    return Heat(*[(v or 0) > bound for v in top])
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Materialise on shared storage so that every later reader sees the same rows.
 

@@ -263,8 +263,7 @@ def resolve_profiles(readings: DataFrame, profiles: DataFrame) -> DataFrame:
             F.array(*[F.max(F.when(F.array_contains(near, F.lit(h)), F.lit(h))) for h in S.CHECKPOINTS])
         ).alias("checkpoint_hours"),
     )
-    # The profile dimension is a handful of rows by nature.
-    dim = F.broadcast(profiles.select("profile_id", "component_family", "measurement_name", "status", "required_hours"))
+    dim = profiles.select("profile_id", "component_family", "measurement_name", "status", "required_hours")
     df = present.join(dim, S.SCOPE, "left")
     df = df.withColumn("missing_hours", F.array_except("required_hours", "checkpoint_hours"))
     return df.withColumn(
@@ -277,7 +276,7 @@ def resolve_profiles(readings: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def unit_mismatches(df: DataFrame, profiles: DataFrame) -> DataFrame:
     """Declared units that are neither the profile unit nor one of its aliases."""
-    dim = F.broadcast(profiles.select(*S.SCOPE, F.col("measurement_unit").alias("profile_unit"), "unit_aliases"))
+    dim = profiles.select(*S.SCOPE, F.col("measurement_unit").alias("profile_unit"), "unit_aliases")
     declared = F.trim(F.col("measurement_unit"))
     ok = (declared == F.col("profile_unit")) | F.array_contains("unit_aliases", F.lower(declared))
     return df.join(dim, S.SCOPE).filter(~blank("measurement_unit") & ~ok)

@@ -53,15 +53,14 @@ def screen_components(
     *,
     detector: iforest.IsolationModel | None = None,
     contaminations: Sequence[float] | None = None,
-    hot: bool | None = None,
+    heat: ordering.Heat | None = None,
 ) -> DataFrame:
     """Flag and score columns of every method, side by side.
 
     Without a detector the forest columns stay empty and unflagged.
     """
-    if hot is None:
-        hot = ordering.has_hot_group(features, S.PEER)
-    strict = peers.mad_z(features, {"current_value": "_sc", "slope": "_ss"}, hot=hot)
+    heat = heat or ordering.measure(features)
+    strict = peers.mad_z(features, {"current_value": "_sc", "slope": "_ss"}, hot=heat.peer)
     strict = strict.withColumn("robust_mad_strict_deviation", F.greatest(F.abs("_sc"), F.abs("_ss"))).drop("_sc", "_ss")
     if detector is not None:
         require_scopes(features, detector)
@@ -69,6 +68,7 @@ def screen_components(
             strict,
             contamination=contaminations or config.contamination,
             robust_threshold=config.robust_threshold,
+            hot=heat.scope if detector.keys else heat.table,
         )
     else:
         scored = decide.combine_scores(decide.apply_robust_baseline(strict, threshold=config.robust_threshold))
@@ -86,10 +86,11 @@ def screen_components(
     )
 
 
-def build_split_features(readings: DataFrame, split: DataFrame, as_of_hour, *, minimum_observations: int = 2, hot: bool | None = None):
+def build_split_features(readings: DataFrame, split: DataFrame, as_of_hour, *, minimum_observations: int = 2, grid: Sequence[float] | None = None, heat: ordering.Heat | None = None):
     """(train, test) features. Peer windows never cross batches, so one pass serves both sides."""
+    heat = heat or ordering.measure(readings)
     table = feats.build_component_features(
-        readings, as_of_hour=as_of_hour, minimum_observations=minimum_observations, hot=hot
+        readings, as_of_hour=as_of_hour, minimum_observations=minimum_observations, grid=grid, hot=heat.peer
     )
     return splits.select_side(table, split, "train"), splits.select_side(table, split, "test")
 
@@ -104,17 +105,19 @@ def evaluate_dataset(
     robust_threshold: float = S.ROBUST_THRESHOLD,
     with_forest: bool = True,
     seed: int = 42,
-    hot: bool | None = None,
+    grid: Sequence[float] | None = None,
+    heat: ordering.Heat | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metrics, scenario metrics, scored rows) of four methods on the held-out batches.
 
     A list of hours gives a time sweep from the same job.
     """
-    train, test = build_split_features(readings, split, as_of_hour, hot=hot)
+    heat = heat or ordering.measure(readings)
+    train, test = build_split_features(readings, split, as_of_hour, grid=grid, heat=heat)
     if with_forest:
         train = ordering.stable(train)
         model = iforest.fit(train, keys=["as_of_hour"], seed=seed)
-        scored = model.score(test, contamination=contamination, robust_threshold=robust_threshold)
+        scored = model.score(test, contamination=contamination, robust_threshold=robust_threshold, hot=heat.table)
         methods = ["fixed_limit", "robust_mad", "isolation_forest", "combined"]
     else:
         scored = decide.combine_scores(decide.apply_robust_baseline(test, threshold=robust_threshold))
@@ -137,10 +140,12 @@ def evaluate_repeated_splits(
     contamination: float = 0.1,
     test_fraction: float = 1.0 / 3.0,
     with_forest: bool = True,
-    hot: bool | None = None,
+    grid: Sequence[float] | None = None,
+    heat: ordering.Heat | None = None,
 ) -> DataFrame:
     """Metrics per split seed: rows repeat once per seed, everything else is one query."""
-    table = feats.build_component_features(readings, as_of_hour=as_of_hour, hot=hot)
+    heat = heat or ordering.measure(readings)
+    table = feats.build_component_features(readings, as_of_hour=as_of_hour, grid=grid, hot=heat.peer)
     sides = splits.repeated_splits(readings, seeds, test_fraction=test_fraction)
     seeded = table.join(sides, "batch_id")
     test = seeded.filter(F.col("side") == "test").drop("side")
@@ -149,7 +154,7 @@ def evaluate_repeated_splits(
         test = seeded.filter(F.col("side") == "test").drop("side")
         train = seeded.filter(F.col("side") == "train").drop("side")
         model = iforest.fit(train, keys=["split_seed"])
-        scored = model.score(test, contamination=contamination)
+        scored = model.score(test, contamination=contamination, hot=heat.table)
         methods = ["fixed_limit", "robust_mad", "isolation_forest", "combined"]
     else:
         scored = decide.combine_scores(decide.apply_robust_baseline(test))
@@ -166,14 +171,17 @@ def holdout(
     *,
     hours: Sequence[float] | None = None,
     with_forest: bool = True,
-    hot: bool | None = None,
+    grid: Sequence[float] | None = None,
+    heat: ordering.Heat | None = None,
 ) -> DataFrame:
     """Held-out rows with every method's flag and their truth; ``hours`` makes a ladder."""
+    heat = heat or ordering.measure(readings)
+    at = list(hours) if hours else config.as_of_hour
     train, test = build_split_features(
-        readings, split, list(hours) if hours else config.as_of_hour, minimum_observations=config.minimum_observations, hot=hot
+        readings, split, at, minimum_observations=config.minimum_observations, grid=grid, heat=heat
     )
     model = fit_detectors(ordering.stable(train), config, extra_keys=["as_of_hour"]) if with_forest else None
-    screened = screen_components(test, config, detector=model, hot=hot)
+    screened = screen_components(test, config, detector=model, heat=heat)
     return metrics.join_truth(screened, metrics.with_onset(labels), [*TRUTH, "is_healthy"])
 
 
@@ -185,11 +193,12 @@ def early_warning_ladder(
     *,
     hours: Sequence[float] = tuple(S.LADDER_HOURS),
     with_forest: bool = True,
-    hot: bool | None = None,
+    grid: Sequence[float] | None = None,
+    heat: ordering.Heat | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metrics per hour, lead time per component and method, summary per method)."""
     methods = S.METHODS if with_forest else PLAIN_METHODS
-    rows = holdout(readings, labels, split, config, hours=hours, with_forest=with_forest, hot=hot)
+    rows = holdout(readings, labels, split, config, hours=hours, with_forest=with_forest, grid=grid, heat=heat)
     per_hour = metrics.harness_metrics(rows, methods)
     leads = lead_times(rows, methods)
     return per_hour, leads, summarise_lead_times(leads)
@@ -235,7 +244,8 @@ def parameter_sweep(
     fixed_limit_fractions: Sequence[float] = (0.8, 1.0),
     config: ScreeningConfig = ScreeningConfig(),
     with_forest: bool = True,
-    hot: bool | None = None,
+    grid: Sequence[float] | None = None,
+    heat: ordering.Heat | None = None,
 ) -> DataFrame:
     """Metrics for every grid point.
 
@@ -244,10 +254,13 @@ def parameter_sweep(
     at most (thresholds x contaminations) times and never for a cross product
     that would give equal numbers.
     """
-    train, test = build_split_features(readings, split, list(hours), minimum_observations=config.minimum_observations, hot=hot)
+    heat = heat or ordering.measure(readings)
+    train, test = build_split_features(
+        readings, split, list(hours), minimum_observations=config.minimum_observations, grid=grid, heat=heat
+    )
     model = fit_detectors(ordering.stable(train), config, extra_keys=["as_of_hour"]) if with_forest else None
     screened = screen_components(
-        test, config, detector=model, contaminations=list(contaminations) if with_forest else None, hot=hot
+        test, config, detector=model, contaminations=list(contaminations) if with_forest else None, heat=heat
     )
     rows = metrics.join_truth(screened, metrics.with_onset(labels), [*TRUTH, "is_healthy"])
     first = float(contaminations[0])
@@ -311,14 +324,15 @@ def sweep_summary(sweep: DataFrame) -> DataFrame:
     return out.dropDuplicates(keys)
 
 
-def compare_fit_scopes(readings: DataFrame, labels: DataFrame, split: DataFrame, config: ScreeningConfig = ScreeningConfig(), *, hot: bool | None = None) -> DataFrame:
+def compare_fit_scopes(readings: DataFrame, labels: DataFrame, split: DataFrame, config: ScreeningConfig = ScreeningConfig(), *, grid: Sequence[float] | None = None, heat: ordering.Heat | None = None) -> DataFrame:
     """Forest methods under per-family and pooled fits (two fits on one feature table)."""
-    train, test = build_split_features(readings, split, config.as_of_hour, hot=hot)
+    heat = heat or ordering.measure(readings)
+    train, test = build_split_features(readings, split, config.as_of_hour, grid=grid, heat=heat)
     train, test = ordering.stable(train), ordering.stable(test)
     out = None
     for scope in ("per_family", "pooled"):
         c = replace(config, fit_scope=scope)
-        rows = screen_components(test, c, detector=fit_detectors(train, c), hot=hot)
+        rows = screen_components(test, c, detector=fit_detectors(train, c), heat=heat)
         rows = metrics.join_truth(rows, metrics.with_onset(labels), [*TRUTH, "is_healthy"])
         part = metrics.harness_metrics(rows, ["isolation_forest", "combined"]).withColumn("fit_scope", F.lit(scope))
         out = part if out is None else out.unionByName(part)

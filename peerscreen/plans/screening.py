@@ -118,11 +118,14 @@ def screen(
     prediction: Column | None = None,
     radius: float = 0.25,
     margins: DataFrame | None = None,
+    grid: Sequence[float] | None = None,
     carry: Sequence[str] = (),
     hot: bool | None = None,
 ) -> DataFrame:
     """Whole path for clean readings; the forecast defaults to persistence."""
-    table = feats.build_component_features(readings, as_of_hour=as_of_hour, carry=carry, hot=hot)
+    if hot is None:
+        hot = ordering.has_hot_group(readings, S.PEER)
+    table = feats.build_component_features(readings, as_of_hour=as_of_hour, grid=grid, carry=carry, hot=hot)
     table = peers.peer_count(table, hot=hot)
     scored = score(table, detector=detector)
     return decide_all(scored, prediction if prediction is not None else forecast.persistence(), radius=radius, margins=margins)
@@ -138,6 +141,8 @@ def forecast_table(
     hot: bool | None = None,
 ) -> DataFrame:
     """One row per history: forecast with peer and imputation counts, or unavailable with the reason."""
+    if hot is None:
+        hot = ordering.has_hot_group(prepared.early, S.PEER)
     table = prepared.features
     unavailable = prepared.rejects.select(*S.KEY4, F.array_join("reasons", "; ").alias("unavailable_reason"))
     if supported is not None:

@@ -49,17 +49,21 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
             tree[key].append(empty)
         return len(tree["path"]) - 1
 
+    # A tree over n points has fewer than n inner nodes.
+    draws = iter(rng.random((len(x) + 1, 2)).tolist())
     pending = [(add(), np.arange(len(x)), 0)]
     while pending:
         node, rows, depth = pending.pop()
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        here = x[rows]
+        low, high = here.min(axis=0), here.max(axis=0)
         open_features = np.flatnonzero(high > low)
         if depth >= depth_limit or len(rows) <= 1 or not len(open_features):
             tree["path"][node] = float(depth + average_path(len(rows)))
             continue
-        f = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[f], high[f]))
-        goes_left = x[rows, f] <= cut
+        pick, place = next(draws)
+        f = int(open_features[int(pick * len(open_features))])
+        cut = float(low[f] + place * (high[f] - low[f]))
+        goes_left = here[:, f] <= cut
         left, right = add(), add()
         tree["feature"][node], tree["threshold"][node] = f, cut
         tree["left"][node], tree["right"][node] = left, right

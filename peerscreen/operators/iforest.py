@@ -63,6 +63,8 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
         pick, place = next(draws)
         f = int(open_features[int(pick * len(open_features))])
         cut = float(low[f] + place * (high[f] - low[f]))
+        if cut >= high[f]:  # neighbouring floats: keep both sides filled
+            cut = float(low[f])
         goes_left = here[:, f] <= cut
         left, right = add(), add()
         tree["feature"][node], tree["threshold"][node] = f, cut

@@ -435,7 +435,9 @@ def fit_model(config: CandidateConfig, train: DataFrame, *, seed: int = 26170, h
     if config.model == "ridge":
         return FittedModel(config, fill, linear=_fit_ridge(rows))
     p = BOOST_PARAMS | {k: v for k, v in config.params.items() if k not in ("gate", "bags")}
-    rows = ordering.stable(rows)
+    # Canonical placement: learners draw samples per partition, so the fit must
+    # not depend on the order in which rows arrived.
+    rows = ordering.stable(rows.repartition("_id").sortWithinPartitions("_id"))
     bags = int(config.params.get("bags", 1))
     parts = []
     for k in range(bags):

@@ -61,7 +61,13 @@ def triage(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, g
     large = files.filter(F.col("length") > max_bytes).select(
         "path", "length", F.lit("too_large").alias("status"), F.lit(None).cast("string").alias("detail")
     )
-    return small.select("path", "length", status.alias("status"), F.col("_label").alias("detail")).unionByName(large)
+    seen = small.select("path", "length", status.alias("status"), F.col("_label").alias("detail")).unionByName(large)
+    # The file source yields no row for a file of zero bytes; the listing knows it.
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    hollow = listed.join(files.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.lit("empty").alias("status"), F.lit(None).cast("string").alias("detail")
+    )
+    return seen.unionByName(hollow)
 
 
 def decode(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, glob: str = "*.csv") -> DataFrame:

@@ -110,7 +110,7 @@ def _(spark, d):
     return rounded(feats.history_features(READ(spark, d), grid=tables_grid()).select(*KEY, "slope").join(outside, KEY))
 
 
-@query("D-13_paired_batches", Q.query(*ERR, select=f"""select config, count(*) as batches_total, count(*) filter (dlt < 0) as batches_beating_baseline, {r6('avg(dlt) as delta_mean', 'coalesce(stddev_samp(dlt), 0) as delta_std', 'coalesce(stddev_samp(dlt) / sqrt(count(*)), 0) as delta_se')}
+@query("D-13_paired_batches", Q.query(*ERR, select=f"""select config, count(*) as batches_total, count(*) filter (dlt < -1e-12) as batches_beating_baseline, {r6('avg(dlt) as delta_mean', 'coalesce(stddev_samp(dlt), 0) as delta_std', 'coalesce(stddev_samp(dlt) / sqrt(count(*)), 0) as delta_se')}
 from (select a.config, a.mae - b.mae as dlt from (select config, batch_id, avg(abs(pred - y)) as mae from yy group by config, batch_id) a join (select batch_id, avg(abs(p_pers - y)) as mae from y0 group by batch_id) b using (batch_id)) x group by config"""))
 def _(spark, d):
     return rounded(metrics.paired_deltas(metrics.batch_mae(error_rows(spark, d))))
@@ -318,7 +318,7 @@ def _(spark, d):
 
 
 @query("E-19_comparison_table", Q.query(*ERR, FOLDS, PF, select=f"""select p.config as config, {r6('p.mae as mae_normalized', 'f.fm as mae_fold_mean', 'f.fs as mae_fold_std')}, q.w as folds_beating_baseline,
- p.mae < base.mae and q.w >= ceil(q.n * 0.8) and coalesce(p.hm <= 0.02, true) as eligible
+ p.mae < base.mae - 1e-12 and q.w >= ceil(q.n * 0.8) and coalesce(p.hm <= 0.02, true) as eligible
 from (select config, avg(abs(pred - y)) as mae, avg(case when is_healthy then abs(pred - y) end) as hm from yy group by config) p
 join (select config, avg(mae_normalized) as fm, coalesce(stddev_samp(mae_normalized), 0) as fs from pf group by config) f using (config)
 join (select a.config, count(*) filter (a.mae_normalized < b.mae_normalized) as w, count(*) as n from pf a join pf b on a.fold = b.fold and b.config = 'persistence' group by a.config) q using (config)

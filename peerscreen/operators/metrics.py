@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from peerscreen import schema as S
 from peerscreen.functions.columns import flag, ratio
@@ -274,14 +274,19 @@ def batch_mae(df: DataFrame, keys: Sequence[str] = ("config",)) -> DataFrame:
     return df.groupBy(*keys, "batch_id").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"))
 
 
+def _baseline_value(column: str, baseline: str, window) -> Column:
+    return F.max(F.when(F.col("config") == baseline, F.col(column))).over(window)
+
+
 def paired_deltas(per_batch: DataFrame, baseline: str = "persistence") -> DataFrame:
     """Per configuration: batches beating the baseline and the paired difference."""
-    base = per_batch.filter(F.col("config") == baseline).select("batch_id", F.col("mae").alias("base"))
+    # The baseline's own row supplies its value, so it never differs from itself.
+    # A batch has one row per configuration.
+    with_base = per_batch.withColumn("base", _baseline_value("mae", baseline, Window.partitionBy("batch_id")))
     delta = F.col("mae") - F.col("base")
     sd = F.stddev_samp(delta)
     return (
-        per_batch.join(base, "batch_id")
-        .groupBy("config")
+        with_base.groupBy("config")
         .agg(
             F.count(F.lit(1)).alias("batches_total"),
             F.count_if(delta < 0).alias("batches_beating_baseline"),
@@ -293,9 +298,9 @@ def paired_deltas(per_batch: DataFrame, baseline: str = "persistence") -> DataFr
 
 
 def folds_beating(per_fold: DataFrame, baseline: str = "persistence") -> DataFrame:
-    base = per_fold.filter(F.col("config") == baseline).select("fold", F.col("mae_normalized").alias("base"))
+    base = _baseline_value("mae_normalized", baseline, Window.partitionBy("fold"))
     return (
-        per_fold.join(base, "fold")
+        per_fold.withColumn("base", base)
         .groupBy("config")
         .agg(F.count_if(F.col("mae_normalized") < F.col("base")).alias("folds_beating_baseline"), F.count(F.lit(1)).alias("folds"))
     )
@@ -314,8 +319,8 @@ def comparison_table(pooled: DataFrame, per_fold: DataFrame, per_batch: DataFram
             "config",
         )
     )
-    base = pooled.filter(F.col("config") == "persistence").select(F.col("mae_normalized").alias("_base"))
-    table = table.crossJoin(base)  # one row
+    # One row per configuration.
+    table = table.withColumn("_base", _baseline_value("mae_normalized", "persistence", Window.partitionBy()))
     enough = F.ceil(F.col("folds") * 0.8)
     eligible = (
         (F.col("mae_normalized") < F.col("_base"))

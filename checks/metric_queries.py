@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from checks import sql as Q
 from checks.registry import (
     BOUNDS, CARRY, DIRTY, ERR, K, KEY, PROFILE_SQL, READ, REC, STRATA_LABELS, STRATUM_SQL, TAGS, dirty, error_rows,
-    event_profiles, feature_table, labels, query, records, rounded, strata_labels, tables_grid, unscored,
+    HEAT, event_profiles, feature_table, labels, query, records, rounded, strata_labels, tables_grid, unscored,
 )
 from peerscreen import schema as S
 from peerscreen.functions import columns as C
@@ -27,7 +27,7 @@ r6 = Q.r6
 def held_out(spark, d):
     """Held-out rows of the plain methods with their truth."""
     r = READ(spark, d)
-    return evaluation.holdout(r, labels(spark, d), splits.split_batches(r), with_forest=False)
+    return evaluation.holdout(r, labels(spark, d), splits.split_batches(r), with_forest=False, grid=tables_grid(), heat=HEAT(spark, d))
 
 
 # --- D: joins -------------------------------------------------------------------
@@ -154,7 +154,7 @@ def _(spark, d):
  count(*) >= 8 as sufficient, case when count(*) < 8 then 'Only ' || cast(count(*) as varchar) || ' comparable peers were available; at least 8 are required before batch-relative statistics are treated as reliable. Values are shown for context only.' end as note
 from (select *, median(measurement_value) over (partition by batch_id, component_family, measurement_name) as med from readings where hours = 24) x group by batch_id, component_family, measurement_name"""))
 def _(spark, d):
-    return rounded(peers.peer_statistics(READ(spark, d)).drop("status"))
+    return rounded(peers.peer_statistics(READ(spark, d), hot=HEAT(spark, d).peer).drop("status"))
 
 
 @query("E-04_decision_counts", Q.query(*REC, select="select " + ", ".join(f"count(*) filter (recommendation = '{x}') as \"{x}\"" for x in S.URGENCY) + " from records"))
@@ -219,7 +219,7 @@ REPEATED = (Q.READINGS, Q.LABELS, Q.features(), Q.Z, Q.SCORED, SEEDED, "side as
 
 
 def repeated(spark, d):
-    return evaluation.evaluate_repeated_splits(READ(spark, d), labels(spark, d), SEEDS, with_forest=False)
+    return evaluation.evaluate_repeated_splits(READ(spark, d), labels(spark, d), SEEDS, with_forest=False, grid=tables_grid(), heat=HEAT(spark, d))
 
 
 REVIEWED = Q.review(["fixed_limit", "robust_mad"], "split_seed, as_of_hour").replace(", 6) + 0.0", ", 12)")
@@ -238,7 +238,7 @@ LEADS = "leads as (" + " union all ".join(f"""select '{m}' as method, component_
 
 def ladder(spark, d):
     r = READ(spark, d)
-    return evaluation.early_warning_ladder(r, labels(spark, d), splits.split_batches(r), hours=LADDER, with_forest=False)
+    return evaluation.early_warning_ladder(r, labels(spark, d), splits.split_batches(r), hours=LADDER, with_forest=False, grid=tables_grid(), heat=HEAT(spark, d))
 
 
 @query("E-12_lead_summary", Q.query(*LADDER_ROWS, LEADS, select=f"""select method, count(*) as n_defects, count(first_flag_hour) as n_ever_flagged, count(*) filter (lead_hours > 0) as n_flagged_before_crossing,
@@ -276,7 +276,7 @@ FM = f"""count(*) as components, {r6('avg(abs(pred - y)) as mae_normalized', 'sq
 
 @query("E-15_forecast_metrics", Q.query(*ERR, select=f"select config, {FM} from yy group by config"))
 def _(spark, d):
-    return rounded(metrics.forecast_metrics(error_rows(spark, d), keys=["config"]))
+    return rounded(metrics.forecast_metrics(error_rows(spark, d), keys=["config"], hot=HEAT(spark, d).table))
 
 
 DIMS = ["profile_id", "scenario", "stratum", "is_healthy"]
@@ -341,7 +341,7 @@ IVM = f"""count(*) as components, {r6('avg(case when y >= lo and y <= hi then 1.
 from (select config, batch_id, avg(case when y >= lo and y <= hi then 1.0 else 0.0 end) as c from iv group by config, batch_id) x group by config) b using (config)"""))
 def _(spark, d):
     rows = error_rows(spark, d).withColumns({"lower": F.greatest(F.col("pred") - 0.25, F.lit(0.0)), "upper": F.col("pred") + 0.25})
-    return rounded(intervals.interval_metrics(rows, keys=["config"]))
+    return rounded(intervals.interval_metrics(rows, keys=["config"], hot=HEAT(spark, d).table))
 
 
 @query("E-21_model_evaluation", Q.query(*ERR, IV, select=f"""select config, profile_id, count(*) as components, {r6('avg(abs(pred - y)) as mae_normalized', 'avg(case when y >= lo and y <= hi then 1.0 else 0.0 end) as interval_coverage', 'avg((hi - lo) * upper_limit) as mean_width_unit')}, {CONF} from iv group by config, profile_id"""))
@@ -363,7 +363,7 @@ def nth(expr, rank):
 @query("E-22_conformal_radius", Q.query(*ERR, "rk as (select config, abs(y - pred) as e, row_number() over (partition by config order by abs(y - pred)) as rn, count(*) over (partition by config) as n from yy)", select=f"select config, max(n) as n, {r6(nth('e', 'ceil((n + 1) * 0.9)') + ' as radius')} from rk group by config"))
 def _(spark, d):
     rows = error_rows(spark, d).withColumn("residual", F.col("y") - F.col("pred"))
-    return rounded(intervals.conformal_radius(rows, "residual", keys=["config"]))
+    return rounded(intervals.conformal_radius(rows, "residual", keys=["config"], hot=HEAT(spark, d).table))
 
 
 SB = "rk as (select config, y - pred as e, row_number() over (partition by config order by y - pred) as rn, count(*) over (partition by config) as n from yy)"
@@ -373,7 +373,7 @@ RANKS = {"lower": "floor((n + 1) * 0.1)", "upper": "ceil((n + 1) * 0.9)", "lower
 @query("E-23_signed_bounds", Q.query(*ERR, SB, select="select config, max(n) as n, " + r6(*[f"{nth('e', r)} as {m}" for m, r in RANKS.items()]) + " from rk group by config"))
 def _(spark, d):
     rows = error_rows(spark, d).withColumn("residual", F.col("y") - F.col("pred"))
-    return rounded(intervals.signed_bounds(rows, "residual", keys=["config"]))
+    return rounded(intervals.signed_bounds(rows, "residual", keys=["config"], hot=HEAT(spark, d).table))
 
 
 STRAT = "case when slope_batch_robust_z < 2 then 0 when slope_batch_robust_z < 5 then 1 else 2 end"
@@ -387,7 +387,7 @@ margins as (select stratum, n as calibration_components, fb as pooled_fallback,
 @query("E-24_stratified_margins", Q.query(*ERR, SM, select=f"select stratum, calibration_components, pooled_fallback, {r6(*RANKS)} from margins"))
 def _(spark, d):
     rows = error_rows(spark, d).filter("config = 'persistence'").withColumn("residual", F.col("y") - F.col("pred"))
-    return rounded(intervals.stratified_margins(rows, "residual"))
+    return rounded(intervals.stratified_margins(rows, "residual", hot=HEAT(spark, d).table))
 
 
 @query("E-25_median_vector", Q.query(*ZED, select="select " + ", ".join(r6(f"coalesce(median({c}), 0) as {c}") for c in ("limit_fraction", "slope_fraction_per_hour", "current_batch_robust_z")) + " from z"))
@@ -444,12 +444,12 @@ def _(spark, d):
 @query("F-02_textbook_mad_z", Q.query(*ZED, select=f"select {K}, {r6('current_mad_z', 'slope_mad_z')} from z"))
 def _(spark, d):
     f = feats.history_features(READ(spark, d), grid=tables_grid())
-    return rounded(peers.mad_z(f, {"current_value": "current_mad_z", "slope": "slope_mad_z"}).select(*KEY, "current_mad_z", "slope_mad_z"))
+    return rounded(peers.mad_z(f, {"current_value": "current_mad_z", "slope": "slope_mad_z"}, hot=HEAT(spark, d).peer).select(*KEY, "current_mad_z", "slope_mad_z"))
 
 
 @query("F-03_peer_count", Q.query(*ZED, select=f"select {K}, peer_count, peer_count < 8 as weak_peers from z"))
 def _(spark, d):
-    return peers.peer_count(feats.history_features(READ(spark, d), grid=tables_grid())).select(*KEY, "peer_count", "weak_peers")
+    return peers.peer_count(feats.history_features(READ(spark, d), grid=tables_grid()), hot=HEAT(spark, d).peer).select(*KEY, "peer_count", "weak_peers")
 
 
 PR = f"""pr as (select {K}, case when v is not null then (rank() over (partition by {Q.PEER} order by v nulls last) + (count(v) over (partition by {Q.PEER}, v) - 1) / 2.0) / count(v) over (partition by {Q.PEER}) end as pct
@@ -460,7 +460,7 @@ from (select *, case when n_observations = 2 then floor(current_value / 10) end
 def _(spark, d):
     f = feats.history_features(READ(spark, d), grid=tables_grid())
     f = f.withColumn("v", F.when(F.col("n_observations") == 2, F.floor(F.col("current_value") / 10).cast("double")))
-    return rounded(peers.percentile_rank(f, "v", "pct").select(*KEY, "pct"))
+    return rounded(peers.percentile_rank(f, "v", "pct", hot=HEAT(spark, d).peer).select(*KEY, "pct"))
 
 
 LOO = f"""pairs as (select a.component_id, a.batch_id, a.component_family, a.measurement_name, median(b.current_batch_robust_z) as med, avg(case when b.current_batch_robust_z > 3 then 1.0 else 0.0 end) as frac, count(*) as others
@@ -470,7 +470,7 @@ group by all having count(*) >= 5)"""
 
 @query("F-05_channel_peers", Q.query(*ZED, LOO, select=f"select {K}, {r6('med as channel_peer_median_current_z_v2', 'frac as channel_peer_elevated_fraction_v2')} from z left join pairs using ({K})"))
 def _(spark, d):
-    out = peers.channel_peers(feature_table(spark, d, carry=["tester_channel"]))
+    out = peers.channel_peers(feature_table(spark, d, carry=["tester_channel"]), hot=HEAT(spark, d).peer)
     return rounded(out.select(*KEY, *S.CHANNEL_FEATURES))
 
 
@@ -510,7 +510,7 @@ def _(spark, d):
     split = splits.split_batches(r)
     train = splits.select_side(f, split, "train").select("measurement_name", F.col("current_value").alias("isolation_score"))
     test = splits.select_side(f, split, "test").withColumn("isolation_score", F.col("current_value"))
-    return rounded(iforest._training_share(test, train, ["measurement_name"], hot=False).select(*KEY, F.col("_share").alias("share")))
+    return rounded(iforest._training_share(test, train, ["measurement_name"], hot=HEAT(spark, d).scope).select(*KEY, F.col("_share").alias("share")))
 
 
 @query("F-13_slope_stratum", Q.query(*ZED, select=f"select {K}, {STRAT} as stratum from z"))
@@ -611,7 +611,7 @@ GRID_ROWS = (Q.READINGS, Q.LABELS, Q.features((24.0, 48.0)), Q.Z, Q.SCORED, SPLI
 
 def sweep(spark, d):
     r = READ(spark, d)
-    return evaluation.parameter_sweep(r, labels(spark, d), splits.split_batches(r), hours=(24.0, 48.0), with_forest=False)
+    return evaluation.parameter_sweep(r, labels(spark, d), splits.split_batches(r), hours=(24.0, 48.0), with_forest=False, grid=tables_grid(), heat=HEAT(spark, d))
 
 
 @query("H-06_distinct_parameters", Q.query(*GRID_ROWS, select=GRID_SELECT))
@@ -683,7 +683,7 @@ def _(spark, d):
 @query("J-14_stratified_bounds", Q.query(*ERR, SM, select=f"select {K}, {STRAT} as stratum, " + r6(*[(f"greatest(p_pers + g.{m}, 0) as {m}" if m.startswith("lower") else f"p_pers + g.{m} as {m}") for m in RANKS]) + f" from y0 join margins g on g.stratum = {STRAT}"))
 def _(spark, d):
     rows = error_rows(spark, d).filter("config = 'persistence'").withColumn("residual", F.col("y") - F.col("pred"))
-    out = intervals.apply_margins(rows, intervals.stratified_margins(rows, "residual"), "pred")
+    out = intervals.apply_margins(rows, intervals.stratified_margins(rows, "residual", hot=HEAT(spark, d).table), "pred")
     return rounded(out.select(*KEY, "stratum", *RANKS))
 
 
@@ -727,13 +727,13 @@ def _(spark, d):
 
 @query("J-25_fixed_limit_screen", Q.query(*FEAT, select=f"select {K}, current_value >= 0.8 * upper_limit as fixed_limit_flag, {r6('least(limit_fraction, 2) as fixed_limit_score')} from feat"))
 def _(spark, d):
-    out = evaluation.screen_components(feature_table(spark, d), evaluation.ScreeningConfig(fixed_limit_fraction=0.8))
+    out = evaluation.screen_components(feature_table(spark, d), evaluation.ScreeningConfig(fixed_limit_fraction=0.8), heat=HEAT(spark, d))
     return rounded(out.select(*KEY, "fixed_limit_flag", "fixed_limit_score"))
 
 
 @query("J-26_strict_screen", Q.query(*SCO, select=f"select {K}, strict_deviation >= 3.5 as robust_mad_strict_flag, {r6('strict_deviation as robust_mad_strict_deviation', '1 / (1 + exp(-(least(strict_deviation, 700) - 3.5))) as robust_mad_strict_score')} from scored"))
 def _(spark, d):
-    out = evaluation.screen_components(feature_table(spark, d))
+    out = evaluation.screen_components(feature_table(spark, d), heat=HEAT(spark, d))
     return rounded(out.select(*KEY, "robust_mad_strict_flag", "robust_mad_strict_deviation", "robust_mad_strict_score"))
 
 
@@ -758,7 +758,7 @@ def _(spark, d):
 @query("K-04_split_features", Q.query(*ZED, SPLIT, select=f"select {K}, side, {r6('current_batch_robust_z')} from z join split_t using (batch_id)"))
 def _(spark, d):
     r = READ(spark, d)
-    train, test = evaluation.build_split_features(r, splits.split_batches(r), 24.0)
+    train, test = evaluation.build_split_features(r, splits.split_batches(r), 24.0, grid=tables_grid(), heat=HEAT(spark, d))
     pick = lambda df, s: df.select(*KEY, F.lit(s).alias("side"), "current_batch_robust_z")
     return rounded(pick(train, "train").unionByName(pick(test, "test")))
 
@@ -766,13 +766,13 @@ def _(spark, d):
 @query("K-05_holdout_evaluation", Q.query(*HELD, select=Q.review(["fixed_limit", "robust_mad"])))
 def _(spark, d):
     r = READ(spark, d)
-    return rounded(evaluation.evaluate_dataset(r, labels(spark, d), splits.split_batches(r), with_forest=False)[0])
+    return rounded(evaluation.evaluate_dataset(r, labels(spark, d), splits.split_batches(r), with_forest=False, grid=tables_grid(), heat=HEAT(spark, d))[0])
 
 
 @query("K-06_time_sweep", Q.query(*LADDER_ROWS, select=Q.review(["fixed_limit", "robust_mad"])))
 def _(spark, d):
     r = READ(spark, d)
-    return rounded(evaluation.evaluate_dataset(r, labels(spark, d), splits.split_batches(r), as_of_hour=list(LADDER), with_forest=False)[0])
+    return rounded(evaluation.evaluate_dataset(r, labels(spark, d), splits.split_batches(r), as_of_hour=list(LADDER), with_forest=False, grid=tables_grid(), heat=HEAT(spark, d))[0])
 
 
 @query("K-07_repeated_splits", Q.query(*REPEATED, select=Q.review(["fixed_limit", "robust_mad"], "split_seed, as_of_hour")))
@@ -782,7 +782,7 @@ def _(spark, d):
 
 @query("K-08_screen_components", Q.query(*SCO, select=f"select {K}, current_value >= upper_limit as fixed_limit_flag, is_anomaly as robust_mad_flag, strict_deviation >= 3.5 as robust_mad_strict_flag, {r6('anomaly_score as robust_mad_score')} from scored"))
 def _(spark, d):
-    out = evaluation.screen_components(feature_table(spark, d))
+    out = evaluation.screen_components(feature_table(spark, d), heat=HEAT(spark, d))
     return rounded(out.select(*KEY, "fixed_limit_flag", "robust_mad_flag", "robust_mad_strict_flag", "robust_mad_score"))
 
 

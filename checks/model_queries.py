@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import CARRY, KEY, READ, feature_table, labels, query, rounded
+from checks.registry import CARRY, HEAT, KEY, READ, feature_table, labels, query, rounded, tables_grid
 from peerscreen import schema as S
 from peerscreen.operators import boosting, forecast, iforest, metrics, ordering, splits
 from peerscreen.plans import evaluation, screening, training
@@ -48,7 +48,7 @@ def _(spark, d):
 @query("J-03_isolation_forest_score")
 def _(spark, d):
     train, test = sides(spark, d)
-    out = iforest.fit(train, keys=S.SCOPE).score(test)
+    out = iforest.fit(train, keys=S.SCOPE).score(test, hot=HEAT(spark, d).scope)
     return rounded(out.select(*KEY, "isolation_score", "model_anomaly_score", "is_model_anomaly", "anomaly_score", "is_anomaly", "reason_codes"))
 
 
@@ -144,37 +144,37 @@ def _(spark, d):
 @query("K-05_holdout_with_forest")
 def _(spark, d):
     r = READ(spark, d)
-    return rounded(evaluation.evaluate_dataset(r, labels(spark, d), splits.split_batches(r))[0])
+    return rounded(evaluation.evaluate_dataset(r, labels(spark, d), splits.split_batches(r), grid=tables_grid(), heat=HEAT(spark, d))[0])
 
 
 @query("K-07_repeated_splits_with_forest")
 def _(spark, d):
-    return rounded(evaluation.evaluate_repeated_splits(READ(spark, d), labels(spark, d), (101, 211)))
+    return rounded(evaluation.evaluate_repeated_splits(READ(spark, d), labels(spark, d), (101, 211), grid=tables_grid(), heat=HEAT(spark, d)))
 
 
 @query("K-09_holdout_report")
 def _(spark, d):
     r = READ(spark, d)
-    rows = evaluation.holdout(r, labels(spark, d), splits.split_batches(r))
+    rows = evaluation.holdout(r, labels(spark, d), splits.split_batches(r), grid=tables_grid(), heat=HEAT(spark, d))
     return rounded(metrics.harness_metrics(rows, S.METHODS))
 
 
 @query("K-10_ladder_with_forest")
 def _(spark, d):
     r = READ(spark, d)
-    return rounded(evaluation.early_warning_ladder(r, labels(spark, d), splits.split_batches(r), hours=(24.0, 72.0, 120.0))[2])
+    return rounded(evaluation.early_warning_ladder(r, labels(spark, d), splits.split_batches(r), hours=(24.0, 72.0, 120.0), grid=tables_grid(), heat=HEAT(spark, d))[2])
 
 
 @query("K-11_grid_with_forest")
 def _(spark, d):
     r = READ(spark, d)
-    return rounded(evaluation.sweep_summary(evaluation.parameter_sweep(r, labels(spark, d), splits.split_batches(r), hours=(24.0, 48.0))))
+    return rounded(evaluation.sweep_summary(evaluation.parameter_sweep(r, labels(spark, d), splits.split_batches(r), hours=(24.0, 48.0), grid=tables_grid(), heat=HEAT(spark, d))))
 
 
 @query("K-12_fit_scopes")
 def _(spark, d):
     r = READ(spark, d)
-    return rounded(evaluation.compare_fit_scopes(r, labels(spark, d), splits.split_batches(r)))
+    return rounded(evaluation.compare_fit_scopes(r, labels(spark, d), splits.split_batches(r), grid=tables_grid(), heat=HEAT(spark, d)))
 
 
 @query("K-13_cross_validation")

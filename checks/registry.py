@@ -40,12 +40,12 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-READ, KEY = tables.readings, S.KEY4
+READ, HEAT, KEY = tables.readings, tables.heat, S.KEY4
 CARRY = ["tester_channel", "profile_id"]
 
 
 def feature_table(spark, d, hours=24.0, carry=()):
-    return feats.build_component_features(READ(spark, d), as_of_hour=hours, grid=tables_grid(), carry=carry)
+    return feats.build_component_features(READ(spark, d), as_of_hour=hours, grid=tables_grid(), carry=carry, hot=HEAT(spark, d).peer)
 
 
 def tables_grid():
@@ -54,7 +54,7 @@ def tables_grid():
 
 
 def records(spark, d):
-    return screening.screen(READ(spark, d), grid=tables_grid(), carry=CARRY)
+    return screening.screen(READ(spark, d), grid=tables_grid(), carry=CARRY, hot=HEAT(spark, d).peer)
 
 
 def unscored(spark, d):
@@ -464,7 +464,7 @@ ERR = (Q.READINGS, Q.LABELS, Q.features(), Q.Z, Q.ERRORS)
  (select max(c) from (select count(*) as c from y0 group by batch_id)) as batch_max, count(*) filter (y >= 1) as final_crossings, count(*) filter (limit_fraction >= 1) as already_at_limit, {Q.r6('avg(y) as y_mean')},
  """ + ", ".join(f"round(quantile_cont(y, {q}), 6) + 0.0 as y_{str(q).replace('0.', 'q')}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)) + " from y0"))
 def _(spark, d):
-    return rounded(metrics.training_profile(error_rows(spark, d).filter("config = 'persistence'")))
+    return rounded(metrics.training_profile(error_rows(spark, d).filter("config = 'persistence'"), hot=HEAT(spark, d).table))
 
 
 @query("B-22_provenance", Q.query(*DIRTY, select="select case when bool_and(data_source = 'Synthetic run') then 'synthetic' when bool_and(data_source = 'bench') then 'measured_unverified' else 'mixed' end as provenance from dirty"))

@@ -123,6 +123,11 @@ def as_number(c) -> Column:
     return finite(number)
 
 
+def refuse_null(value: Column, witness: Column, message: str) -> Column:
+    """``value``, failing the job where ``witness`` is NULL: a check without a pass of its own."""
+    return F.when(witness.isNull(), F.raise_error(F.lit(message))).otherwise(value)
+
+
 def blank(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""

@@ -136,9 +136,11 @@ class IsolationModel:
         raw = ordering.stable(self.raw_scores(features)) if hot else self.raw_scores(features)
         placed = _training_share(raw, self.train_scores, self.keys, hot=hot)
         cuts = self.thresholds(many, hot=hot)
-        joined = ordering.salted_join(placed, cuts, self.keys, "inner") if hot and self.keys else (
-            placed.join(cuts, self.keys) if self.keys else placed.crossJoin(cuts)
-        )
+        # Rows of a scope without a forest stay, with NULL model columns.
+        if not self.keys:
+            joined = placed.crossJoin(cuts)
+        else:
+            joined = (ordering.salted_join if hot else DataFrame.join)(placed, cuts, self.keys, "left")
         c = F.col("contamination")
         width = F.greatest(c / 3.0, F.lit(0.01))
         joined = joined.withColumns(

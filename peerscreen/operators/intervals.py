@@ -102,6 +102,9 @@ def interval_metrics(df: DataFrame, *, keys: Sequence[str] = (), hot: bool | Non
     """
     keys = list(keys)
     have = set(df.columns)
+    # Read twice (rates, median width): keep the few columns.
+    used = [*keys, "batch_id", "y", "lower", "upper", "is_healthy"]
+    df = ordering.stable(df.select(*dict.fromkeys(c for c in used if c in have)))
     y, lo, up = F.col("y"), F.col("lower"), F.col("upper")
     covered = ((y >= lo) & (y <= up)).cast("double")
     healthy = F.col("is_healthy") if "is_healthy" in have else F.lit(None).cast("boolean")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from peerscreen import schema as S
-from peerscreen.functions.columns import flag, ratio
+from peerscreen.functions.columns import flag, ratio, refuse_null
 from peerscreen.operators import ordering
 
 
@@ -26,12 +26,14 @@ def with_onset(labels: DataFrame) -> DataFrame:
 def join_truth(scored: DataFrame, labels: DataFrame, columns: Sequence[str], *, strict: bool = True) -> DataFrame:
     """Truth joins only after scoring, one label row per history.
 
-    ``strict`` refuses a scored row without a label (one cheap existence check).
+    ``strict`` fails the job at a scored row without a label; the check rides on
+    the truth columns themselves and costs no extra pass.
     """
     truth = labels.select(*S.KEY4, *columns, F.lit(True).alias("_labelled"))
     joined = scored.join(truth, S.KEY4, "left")
-    if strict and not joined.filter(F.col("_labelled").isNull()).isEmpty():
-        raise ValueError("one or more scored components have no ground-truth label")
+    if strict:
+        message = "one or more scored components have no ground-truth label"
+        joined = joined.withColumns({c: refuse_null(F.col(c), F.col("_labelled"), message) for c in columns})
     return joined.drop("_labelled")
 
 
@@ -186,6 +188,9 @@ def confusion(truth: Column, on: Column, prefix: str = "") -> list[Column]:
 def forecast_metrics(df: DataFrame, *, keys: Sequence[str] = (), medians: bool = True, hot: bool | None = None) -> DataFrame:
     """Error and crossing metrics of ``pred`` against ``y`` (both in limit fractions)."""
     keys = list(keys)
+    if medians:  # read twice: keep the few columns instead of computing the rows again
+        used = [*keys, "pred", "y", "upper_limit", "limit_fraction", "is_healthy"]
+        df = ordering.stable(df.select(*dict.fromkeys(c for c in used if c in df.columns)))
     pred, y, limit = F.col("pred"), F.col("y"), F.col("upper_limit")
     error = pred - y
     already = F.col("limit_fraction") >= 1.0

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from peerscreen import schema as S
-from peerscreen.functions.columns import flag, logistic, ratio
+from peerscreen.functions.columns import flag, logistic, ratio, refuse_null
 from peerscreen.operators import decide, features as feats, iforest, metrics, ordering, peers, splits
 
 TRUTH = ["scenario", "is_defect", "is_tester_fault", "anomaly_onset_hour", "first_exceedance_hour"]
@@ -38,15 +38,6 @@ def fit_detectors(train: DataFrame, config: ScreeningConfig = ScreeningConfig(),
     return iforest.fit(train, keys=[*extra_keys, *scope], seed=config.random_state)
 
 
-def require_scopes(features: DataFrame, model: iforest.IsolationModel) -> None:
-    """Refuse to score a scope that has no fitted forest."""
-    if not model.keys:
-        return
-    unknown = features.select(*model.keys).distinct().join(model.forest.select(*model.keys).distinct(), model.keys, "left_anti")
-    if not unknown.isEmpty():
-        raise ValueError("no fitted detector for some family / measurement; eight training components are needed")
-
-
 def screen_components(
     features: DataFrame,
     config: ScreeningConfig = ScreeningConfig(),
@@ -63,13 +54,18 @@ def screen_components(
     strict = peers.mad_z(features, {"current_value": "_sc", "slope": "_ss"}, hot=heat.peer)
     strict = strict.withColumn("robust_mad_strict_deviation", F.greatest(F.abs("_sc"), F.abs("_ss"))).drop("_sc", "_ss")
     if detector is not None:
-        require_scopes(features, detector)
         scored = detector.score(
             strict,
             contamination=contaminations or config.contamination,
             robust_threshold=config.robust_threshold,
             hot=heat.scope if detector.keys else heat.table,
         )
+        # A scope without a fitted forest fails the job instead of passing unflagged.
+        message = "no fitted detector for some family / measurement; eight training components are needed"
+        known = F.col("isolation_score")
+        scored = scored.withColumns(
+            {c: refuse_null(F.col(c), known, message) for c in ("is_model_anomaly", "model_anomaly_score", "is_anomaly", "anomaly_score")}
+        )
     else:
         scored = decide.combine_scores(decide.apply_robust_baseline(strict, threshold=config.robust_threshold))
     scored = metrics.method_flags(scored, fixed_limit_fraction=config.fixed_limit_fraction)

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peerscreen import schema as S
+from peerscreen.functions.columns import refuse_null
 from peerscreen.operators import boosting, forecast, iforest, intervals, metrics, ordering, splits
 from peerscreen.operators.boosting import CandidateConfig, Ensemble, FittedModel
 
@@ -27,9 +28,8 @@ def training_table(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features with y and truth; refuses rows without a usable final value."""
     truth = [c for c in ("is_defect", "is_tester_fault", "is_healthy", "scenario", "anomaly_onset_hour", "tester_fault_onset_hour") if c in labels.columns]
     table = forecast.joined_labels(features, labels).join(labels.select(*S.KEY4, *truth), S.KEY4, "left")
-    if not table.filter(F.col("y").isNull()).isEmpty():
-        raise ValueError("every training component needs a finite nonnegative final_value")
-    return table
+    message = "every training component needs a finite nonnegative final_value"
+    return table.withColumn("y", refuse_null(F.col("y"), F.col("y"), message))
 
 
 def run_cross_validation(

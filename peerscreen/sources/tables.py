@@ -11,6 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peerscreen import schema as S
+from peerscreen.operators import ordering
 
 EVENT_LIMIT = 120.0
 
@@ -43,6 +44,16 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def heat(spark: SparkSession, sf_dir: str) -> ordering.Heat:
+    """Group sizes bounded from the raw events: one pass over two columns."""
+    events = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 10).cast("string").alias("batch_id"),
+        F.lit("EVT").alias("component_family"),
+        F.col("event_type").alias("measurement_name"),
+    )
+    return ordering.measure(events)
+
+
 def labels(readings_df: DataFrame) -> DataFrame:
     """Truth planted by arithmetic on the component number; unrelated to the values."""
     k = F.floor(F.substring("component_id", 2, 12).cast("int") / 10).cast("int")

@@ -57,8 +57,21 @@ def test_group_scoring_equals_broadcast_scoring(spark, monkeypatch):
 def test_small_scope_has_no_forest(spark):
     df = cloud(spark).unionByName(cloud(spark, "FET", 3, 2))
     model = iforest.fit(df, keys=S.SCOPE, columns=COLS, n_trees=5)
-    with pytest.raises(ValueError):
-        evaluation.require_scopes(df, model)
+    out = model.raw_scores(df)
+    assert out.filter("isolation_score is null").count() == 5 and out.filter("isolation_score is not null").count() == 62
+
+
+def test_unknown_scope_fails_the_screen(table):
+    model = iforest.fit(table.withColumn("component_family", F.lit("other")), keys=S.SCOPE, n_trees=5)
+    with pytest.raises(Exception, match="no fitted detector"):
+        evaluation.screen_components(table, detector=model).collect()
+
+
+def test_unlabelled_training_row_fails(drifting):
+    readings, labels = drifting
+    f = features.build_component_features(readings)
+    with pytest.raises(Exception, match="final_value"):
+        training.training_table(f, labels.limit(5)).collect()
 
 
 def test_detector_flags_the_asked_share(table):
@@ -253,7 +266,7 @@ def test_ladder_and_sweep_on_planted_drift(spark, drifting):
     grid = evaluation.parameter_sweep(readings, labels, split, hours=(24.0,), with_forest=False)
     assert grid.count() == 2 + 3 + 3
     assert evaluation.sweep_summary(grid.unionByName(grid)).count() == 8
-    with pytest.raises(ValueError):
-        evaluation.holdout(readings, labels.limit(3), split, with_forest=False)
+    with pytest.raises(Exception, match="no ground-truth label"):
+        evaluation.holdout(readings, labels.limit(3), split, with_forest=False).collect()
     with pytest.raises(ValueError):
         metrics.with_onset(labels.drop("anomaly_onset_hour"))

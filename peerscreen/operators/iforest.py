@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from peerscreen import schema as S
-from peerscreen.functions.columns import finite
+from peerscreen.functions.columns import finite, ratio
 from peerscreen.operators import decide, ordering
 
 POOL_ROWS = 64 * 256
@@ -278,12 +278,12 @@ def _training_share(rows: DataFrame, train_scores: DataFrame, keys: Sequence[str
             rows.select(*keys, s, F.lit(0).cast("bigint").alias("_w"))
         )
         totals = ordering.running_totals(both, keys, s, F.col("_w"), hot=True)
-        share = totals.select(*keys, s, ((F.col("before") + F.col("weight")) / F.col("total")).alias("_share"))
+        share = totals.select(*keys, s, ratio(F.col("before") + F.col("weight"), F.col("total")).alias("_share"))
         return rows.join(share, [*keys, s], "left")
     tagged = rows.withColumn("_w", F.lit(0)).unionByName(
         train_scores.select(*keys, s).withColumn("_w", F.lit(1)), allowMissingColumns=True
     )
     group = Window.partitionBy(*keys)
     upto = group.orderBy(s).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    share = F.sum("_w").over(upto) / F.sum("_w").over(group)
+    share = ratio(F.sum("_w").over(upto), F.sum("_w").over(group))
     return tagged.withColumn("_share", share).filter(F.col("_w") == 0).drop("_w")

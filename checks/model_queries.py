@@ -187,7 +187,7 @@ def _(spark, d):
 def _(spark, d):
     configs = [*boosting.COMPARISON[:2], boosting.with_params(boosting.COMPARISON[3], rounds=10, learning_rate=0.3), SQUARED]
     oof = training.run_cross_validation(table(spark, d), configs, folds(spark, d))
-    return rounded(training.cross_validation_report(oof)[0])
+    return rounded(training.cross_validation_report(oof, configs)[0])
 
 
 @query("K-15_seed_check")

@@ -152,6 +152,29 @@ class IsolationModel:
         return decide.combine_scores(decide.apply_robust_baseline(joined, threshold=robust_threshold))
 
 
+@dataclass(frozen=True)
+class PeerAnomalyDetector:
+    """Settings of a pooled detector: ``fit`` gives the model, ``fit_score`` scores its own rows."""
+
+    contamination: float = 0.1
+    robust_threshold: float = S.ROBUST_THRESHOLD
+    seed: int = 42
+
+    def __post_init__(self):
+        if not 0 < self.contamination < 0.5:
+            raise ValueError("contamination must be between 0 and 0.5")
+
+    def fit(self, reference: DataFrame) -> IsolationModel:
+        return fit(reference, seed=self.seed)
+
+    def score(self, model: IsolationModel, features: DataFrame) -> DataFrame:
+        return model.score(features, contamination=self.contamination, robust_threshold=self.robust_threshold)
+
+    def fit_score(self, features: DataFrame) -> DataFrame:
+        features = ordering.stable(features)
+        return self.score(self.fit(features), features)
+
+
 def fit(
     train: DataFrame,
     *,
@@ -174,16 +197,19 @@ def fit(
         *[F.coalesce(F.percentile_approx(c, 0.5, 10_000), F.lit(0.0)).alias(f"_med_{c}") for c in columns],
     ).filter(F.col("_n") >= minimum_rows)
     facts = ordering.stable(facts)
+    if not keys and facts.isEmpty():
+        raise ValueError("at least eight reference components are required")
     identity = [F.col(c) for c in [*S.KEY4, "as_of_hour"]]
     joined = train.join(facts, keys) if keys else train.crossJoin(facts)
     pool = joined.filter(_fraction(*identity, F.lit(seed)) < F.lit(float(POOL_ROWS)) / F.col("_n"))
     point = F.array(*[F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in columns])
     pool = pool.select(*keys, "_n", F.xxhash64(*identity).alias("_id"), point.alias("_x"))
     per_tree = pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    # Thin to a few times the sample before ranking, so little is shuffled.
+    # Thin to half more than the sample (over six standard deviations) before
+    # ranking, so little is shuffled.
     pool_size = F.least(F.col("_n"), F.lit(POOL_ROWS)).cast("double")
     draw = _fraction("_id", "_tree", F.lit(seed))
-    thinned = per_tree.withColumn("_u", draw).filter(F.col("_u") < F.lit(3.0 * sample) / pool_size)
+    thinned = per_tree.withColumn("_u", draw).filter(F.col("_u") < F.lit(1.5 * sample) / pool_size)
     w = Window.partitionBy(*keys, "_tree").orderBy("_u", "_id")
     chosen = thinned.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).drop("_u")
 

@@ -311,8 +311,12 @@ def folds_beating(per_fold: DataFrame, baseline: str = "persistence") -> DataFra
     )
 
 
-def comparison_table(pooled: DataFrame, per_fold: DataFrame, per_batch: DataFrame) -> DataFrame:
-    """One row per configuration, best pooled error first, with the eligibility rule."""
+def comparison_table(pooled: DataFrame, per_fold: DataFrame, per_batch: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
+    """One row per configuration, best pooled error first, with the eligibility rule.
+
+    Eligible: beats persistence overall and in four of five folds, moves healthy
+    parts by at most 0.02, and is not ``excluded`` (uses batch-constant conditions).
+    """
     table = (
         pooled.join(folds_beating(per_fold), "config")
         .join(paired_deltas(per_batch), "config")
@@ -331,6 +335,7 @@ def comparison_table(pooled: DataFrame, per_fold: DataFrame, per_batch: DataFram
         (F.col("mae_normalized") < F.col("_base"))
         & (F.col("folds_beating_baseline") >= enough)
         & F.coalesce(F.col("healthy_mae") <= 0.02, F.lit(True))
+        & ~F.col("config").isin(list(excluded))
     )
     return table.withColumn("eligible", eligible).drop("_base").orderBy("mae_normalized", "config")
 

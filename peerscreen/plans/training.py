@@ -66,13 +66,14 @@ def run_cross_validation(
     return out
 
 
-def cross_validation_report(oof: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cross_validation_report(oof: DataFrame, configs: Sequence[CandidateConfig] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(comparison table, metrics per fold, error per batch)."""
+    excluded = [c.name for c in configs if c.model not in forecast.BASELINES and uses_conditions(c)]
     oof = ordering.stable(oof)
     pooled = metrics.forecast_metrics(oof, keys=["config"])
     per_fold = ordering.stable(metrics.forecast_metrics(oof, keys=["config", "fold"], medians=False))
     per_batch = ordering.stable(metrics.batch_mae(oof))
-    return metrics.comparison_table(pooled, per_fold, per_batch), per_fold, per_batch
+    return metrics.comparison_table(pooled, per_fold, per_batch, excluded), per_fold, per_batch
 
 
 def uses_conditions(config: CandidateConfig) -> bool:

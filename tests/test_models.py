@@ -54,6 +54,14 @@ def test_group_scoring_equals_broadcast_scoring(spark, monkeypatch):
     assert a == b and len(a) == 104
 
 
+def test_detector_settings(spark, table):
+    with pytest.raises(ValueError):
+        iforest.PeerAnomalyDetector(contamination=0.5)
+    with pytest.raises(ValueError, match="eight"):
+        iforest.PeerAnomalyDetector().fit(table.limit(7))
+    assert iforest.PeerAnomalyDetector().fit_score(table).filter("is_anomaly").count() >= 16
+
+
 def test_small_scope_has_no_forest(spark):
     df = cloud(spark).unionByName(cloud(spark, "FET", 3, 2))
     model = iforest.fit(df, keys=S.SCOPE, columns=COLS, n_trees=5)
@@ -213,7 +221,8 @@ def test_cross_validation_uses_other_folds_only(spark, table):
     again = training.run_cross_validation(changed, [config], folds)
     pick = lambda d: d.filter("config = 'c' and fold = 0").select(*KEY, F.round("pred", 9).alias("p"))
     assert pick(oof).exceptAll(pick(again)).isEmpty()
-    board = training.cross_validation_report(oof)[0].collect()
+    board = training.cross_validation_report(oof, [config])[0].collect()
+    assert board[0].eligible and not board[1].eligible
     assert [r.config for r in board] == ["c", "persistence"] and board[0].folds_beating_baseline == 5
 
 

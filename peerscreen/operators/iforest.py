@@ -23,6 +23,7 @@ from peerscreen.operators import decide, ordering
 POOL_ROWS = 64 * 256
 BROADCAST_NODES = 2_000_000
 ROWS_PER_GROUP = 200_000
+TREES_PER_CALL = 10
 UNIT = float(2**31)
 
 
@@ -210,7 +211,9 @@ def fit(
     pool_size = F.least(F.col("_n"), F.lit(POOL_ROWS)).cast("double")
     draw = _fraction("_id", "_tree", F.lit(seed))
     thinned = per_tree.withColumn("_u", draw).filter(F.col("_u") < F.lit(1.5 * sample) / pool_size)
-    w = Window.partitionBy(*keys, "_tree").orderBy("_u", "_id")
+    # A Python call serves a bundle of trees; ranking and growing share one exchange.
+    thinned = thinned.withColumn("_bundle", F.floor(F.col("_tree") / TREES_PER_CALL)).repartition(*keys, "_bundle")
+    w = Window.partitionBy(*keys, "_bundle", "_tree").orderBy("_u", "_id")
     chosen = thinned.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).drop("_u")
 
     key_types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
@@ -221,13 +224,17 @@ def fit(
     )
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_id", "_r"])
-        number = int(rows["_tree"].iloc[0])
-        tree = grow_tree(np.vstack(rows["_x"].to_numpy()), np.random.default_rng([seed, number]))
         first = {k: rows[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**first, "_tree": number, "n_sample": len(rows), **tree}])
-
-    forest = ordering.stable(chosen.groupBy(*keys, "_tree").applyInPandas(grow, shape))
+        order = np.lexsort((rows["_id"].to_numpy(), rows["_tree"].to_numpy()))
+        numbers, points = rows["_tree"].to_numpy()[order], np.vstack(rows["_x"].to_numpy()[order])
+        grown = []
+        for number in np.unique(numbers):
+            x = points[numbers == number]
+            tree = grow_tree(x, np.random.default_rng([seed, int(number)]))
+            grown.append({**first, "_tree": int(number), "n_sample": len(x), **tree})
+        return pd.DataFrame(grown)
+
+    forest = ordering.stable(chosen.groupBy(*keys, "_bundle").applyInPandas(grow, shape))
     medians = facts.select(*keys, *[F.col(f"_med_{c}").alias(c) for c in columns])
     model = IsolationModel(keys, columns, forest, medians)
     model.train_scores = ordering.stable(

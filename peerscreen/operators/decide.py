@@ -321,10 +321,18 @@ def mechanism_counts(tagged: DataFrame) -> DataFrame:
 
 
 def display_enrichment(records: DataFrame, outcomes: DataFrame, *, target_hour: float = S.TARGET_HOUR) -> DataFrame:
-    """Attach observed later values: trajectory, value at the target hour, crossing."""
+    """Attach observed later values: trajectory, value at the target hour, crossing.
+
+    A trajectory has one point per observed hour of its history, so repeated
+    observations are merged before the points are listed.
+    """
     keys = ["component_id", "measurement_name"]
     at_target = lambda c: F.max(F.when(F.col("observed_hour") == target_hour, F.col(c)))
-    later = outcomes.groupBy(*keys).agg(
+    points = outcomes.groupBy(*keys, "observed_hour").agg(
+        F.max("observed_value").alias("observed_value"),
+        F.bool_or("crossed_applicable_limit").alias("crossed_applicable_limit"),
+    )
+    later = points.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col("observed_hour").alias("hour"), F.col("observed_value").alias("value")))).alias(
             "outcome_trajectory"
         ),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peerscreen.llm import decontaminate, quality_rules, secrets
+from peerscreen.llm import bpe, decontaminate, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +141,16 @@ from b left join verdict using (source)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     df = quality_rules.judge(table(spark, folder, "documents"), carry=["doc_id"])
     return df.select("doc_id", *quality_rules.MEASURES, "kept")
+
+
+@query("op1_trie_bpe")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encoded(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
+    both = bpe.decoded(ids, path)
+    return both.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peerscreen.llm import bpe, decontaminate, quality_rules, secrets
+from peerscreen.llm import bpe, decontaminate, html_text, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -154,3 +154,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op6_tree_scoring")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    df = html_text.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

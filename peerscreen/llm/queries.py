@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peerscreen.llm import bpe, decontaminate, html_text, quality_rules, secrets
+from peerscreen.llm import bpe, decontaminate, html_text, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     df = html_text.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
     return df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op8_subword_bags")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.trained(docs, table(spark, folder, "labels"))
+    df = toxicity.scored(docs.select("doc_id", "text"), model)
+    held = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
+    return df.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peerscreen.llm import bpe, decontaminate, html_text, quality_rules, secrets, toxicity
+from peerscreen.llm import bpe, decontaminate, html_text, jaccard, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -169,3 +169,25 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     df = toxicity.scored(docs.select("doc_id", "text"), model)
     held = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
     return df.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+OP3_SQL = f"""
+with recursive d as (select doc_id, {WORDS} as w from documents),
+s as (
+  select distinct doc_id, list_slice(w, p, p + least(5, len(w)) - 1) as g
+  from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from common join n x on a = x.doc_id join n y on b = y.doc_id
+  where c * 1.8 >= 0.8 * (x.n + y.n) - 0.000001),
+reach as (select a as doc_id, b as other from links union select r.doc_id, l.b from reach r join links l on r.other = l.a),
+class as (select doc_id, least(doc_id, min(other)) as class_id from reach group by doc_id)
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(k, 0) as n_links
+from documents left join class using (doc_id) left join (select a as doc_id, count(*) as k from links group by a) using (doc_id)
+"""
+
+
+@query("op3_bayes_lsh", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.joined(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")

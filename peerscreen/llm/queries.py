@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peerscreen.llm import bpe, decontaminate, html_text, jaccard, quality_rules, secrets, toxicity
+from peerscreen.llm import bpe, decontaminate, html_text, jaccard, quality_rules, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -191,3 +191,24 @@ from documents left join class using (doc_id) left join (select a as doc_id, cou
 @query("op3_bayes_lsh", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.joined(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
+OP4_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h,
+    min(page_id) over (partition by coalesce(html, '')) as first from pages)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(
+    ((('0x' || substr(h, (j // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (j % 4))) & 31) + 1 as bigint), 1)), 'string_agg', '') as payload_digest,
+  case when page_id > first then 'revisit' else 'response' end as record_type,
+  case when page_id > first then first end as refers_to
+from p
+"""
+
+
+@query("op4_capture_histories", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    df = warc.histories(table(spark, folder, "pages"))
+    return df.select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peerscreen.llm import bpe, decontaminate, html_text, jaccard, quality_rules, secrets, toxicity, warc
+from peerscreen.llm import bpe, chat, decontaminate, html_text, jaccard, quality_classifier, quality_rules, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -212,3 +212,28 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(
         F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
     )
+
+
+OP2_SQL = """
+with t as (select distinct conv_id, turn, role, text from conversations),
+c as (
+  select conv_id, list({'turn': turn, 'role': role, 'text': text} order by turn, role, text) as l,
+    string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10)
+      || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' order by turn, role, text) as text
+  from t group by conv_id),
+p as (select distinct list_slice(l, 1, k) as l from (select l, unnest(range(1, len(l))) as k from c)),
+m as (select l, min(conv_id) as conv_id, count(*) as n_copies from c where l not in (select l from p) group by l)
+select conv_id, 0::bigint as segment, cast(len(m.l) as bigint) as n_turns, n_copies, c.text from m join c using (conv_id)
+"""
+
+
+@query("op2_snapshot_collapse", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rendered(table(spark, folder, "conversations"))
+
+
+@query("op5_site_bayes")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    df = quality_classifier.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    held = F.coalesce(quality_classifier.held_out(F.col("doc_id")), F.lit(False))
+    return df.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))

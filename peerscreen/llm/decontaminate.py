@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from peerscreen.llm.common import clear, let, text_or_empty
+from peerscreen.llm.common import clear, let, stored, text_or_empty
 
 # Fixed values of the word rule.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -137,3 +137,12 @@ def decontaminated(docs: DataFrame, items: DataFrame, carry: list[str], text: st
             "windows": F.coalesce("windows", F.array().cast("array<struct<start:int,n:int>>")),
         }
     ).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", size: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs without those in which a window of an item occurs."""
+    t = text_or_empty(text)
+    key = F.xxhash64(t, F.octet_length(t))
+    found = hits(docs.select(key.alias("key"), words(t).alias("words")), item_classes(items), size, gram)
+    keys = stored(found.select(F.col("key").alias("_key")).distinct(), "contaminated")
+    return docs.withColumn("_key", key).join(keys, "_key", "left_anti").drop("_key")

@@ -296,16 +296,18 @@ def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, node, class_id, n_links, n_copies), one row per document.
+    """(doc_id, text_hash, class_id, n_links, keeper), one row per document.
 
     class_id is the smallest id among documents connected by links; n_links counts the other
-    documents of similarity `threshold` or more, copies among them.
+    documents of similarity `threshold` or more, copies among them; keeper is true for the row
+    that stands for its class, and for rows equal to it.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("text_hash", F.xxhash64("text"))
     printed = source.select("doc_id", "text_hash", F.arrow_udf(_prints, PRINT)("text").alias("p")).select("doc_id", "text_hash", "p.*")
     printed = stored(printed, "prints")
-    nodes = stored(printed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    nodes = stored(printed.where("node is not null").groupBy("node").agg(F.min(own).alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes")
 
     # Buckets with two nodes or more; of buckets with the same nodes, one.
     in_bucket = printed.where("node is not null").select("node", F.xxhash64("node").alias("h"), F.explode("buckets").alias("key"))
@@ -326,9 +328,7 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     placed = stored(
         group_nodes.join(group_sizes.select("component", blocks), "component").select(F.xxhash64("component").alias("key"), "node", "rep", "copies", "blocks"), "placed"
     )
-    one = F.min(F.struct("doc_id", "text_hash")).alias("one")  # a row that has the node's text
-    wanted = printed.join(placed.select("node"), "node", "left_semi").groupBy("node").agg(one)
-    wanted = stored(wanted.select("node", F.col("one.doc_id").alias("wanted_id"), F.col("one.text_hash").alias("text_hash")), "wanted")
+    wanted = stored(placed.select("node", F.col("rep.doc_id").alias("wanted_id"), F.col("rep.text_hash").alias("text_hash")), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     texts = source.join(F.broadcast(wanted) if few else wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     texts = texts.select("node", "text").groupBy("node").agg(F.min("text").alias("text"))
@@ -336,14 +336,29 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     verified = stored(rows.groupBy("bin").applyInArrow(lambda t: _verify(threshold)(t), "node binary, links bigint, root binary"), "verified")
 
     classes = components(verified.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    named = classes.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
+    named = classes.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
     counted = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = stored(classes.join(named, "component").join(counted, "node").select("node", "component", "class_id", "links"), "linked")
-    out = printed.select("doc_id", "node").join(nodes, "node", "left").join(linked, "node", "left")
+    linked = stored(classes.join(named, "component").join(counted, "node").select("node", "first", "links"), "linked")
+    out = printed.select("doc_id", "text_hash", "node").join(nodes, "node", "left").join(linked, "node", "left")
+    out = out.withColumn("first", F.coalesce("first", "rep", own))
     return out.select(
         "doc_id",
-        F.coalesce("component", "node").alias("node"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("component").isNotNull(), F.col("class_id")).otherwise(F.col("rep")).alias("class_id"),
+        "text_hash",
+        F.col("first.doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("keeper"),
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each class. Rows are told apart by id and text; equal rows leave one."""
+    told = stored(joined(docs, doc_id, text).groupBy("doc_id", "text_hash").agg(F.max("keeper").alias("keeper"), F.count(F.lit(1)).alias("n")), "near-duplicates")
+    df = docs.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+
+    def rows(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_key"), F.col("text_hash").alias("_key_hash"))
+        return df.join(keys, (F.col("_hash") == F.col("_key_hash")) & F.col("_id").eqNullSafe(F.col("_key")), how)
+
+    single = rows(told.where("not keeper or n > 1"), "left_anti")
+    repeated = rows(told.where("keeper and n > 1"), "left_semi").dropDuplicates(["_id", "_hash"])
+    return single.unionByName(repeated).drop("_id", "_hash")

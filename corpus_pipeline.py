@@ -37,10 +37,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark, n_chars with them."""
-    found = secrets.findings(docs, secrets.scan(docs))
-    text = secrets.redacted(F.col("text"), F.col("spans"))
-    n_chars = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length(text))
-    return found.withColumns({"text": text, "n_chars": n_chars.cast("long")}).select(*COLUMNS)
+    found = secrets.findings(docs, secrets.scan(docs)).withColumn("clean", secrets.redacted(F.col("text"), F.col("spans")))
+    n_chars = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("clean")).cast("long")
+    return found.select("doc_id", F.col("clean").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

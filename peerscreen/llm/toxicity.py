@@ -19,6 +19,7 @@ their share; repeated documents score alike, each in its row.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from peerscreen.llm.common import clear
 
-MAX_ROWS = 8_000
-MAX_CHARS = 30_000_000
+MAX_ROWS = 6_000
+MAX_CHARS = 16_000_000
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIM = 8
@@ -74,7 +75,7 @@ def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = np.add.reduceat(code * powers[place], starts)
         rows.append(mixed(whole * np.uint64(31) + np.uint64(7)))
         owners.append(np.arange(len(words)))
-    return np.concatenate(rows).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(rows).astype(np.int32), np.concatenate(owners).astype(np.int32)
 
 
 def window_starts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,18 +107,19 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> tuple[np.n
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     bias = float(np.log(share / (1 - share)))
     known: dict[str, int] = {}
-    words = [w for t in texts for w in split(t)]
-    if not words or y.min(initial=1) == y.max(initial=0):
+    met, counts = array("i"), np.zeros(len(texts), dtype=np.int64)
+    for i, t in enumerate(texts):  # one text's words at a time
+        own = split(t)
+        counts[i] = len(own)
+        met.extend(known.setdefault(w, len(known)) for w in own)
+    if not met or y.min(initial=1) == y.max(initial=0):
         return np.zeros(BUCKETS, dtype=np.float32), bias
-    for w in words:
-        known.setdefault(w, len(known))
-    slots = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-    counts = np.array([len(split(t)) for t in texts], dtype=np.int64)
+    slots = np.frombuffer(met, dtype=np.int32)
     starts, text = window_starts(counts)
     lengths = np.diff(np.append(starts, len(slots)))
-    window = np.repeat(np.arange(len(starts)), lengths)
+    window = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
     row, owner = bags(list(known))
-    weight = (1 / np.bincount(owner, minlength=len(known)))[owner]
+    weight = (1 / np.bincount(owner, minlength=len(known))).astype(np.float32)[owner]
 
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))

@@ -144,5 +144,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", size: int = WIN
     t = text_or_empty(text)
     key = F.xxhash64(t, F.octet_length(t))
     found = hits(docs.select(key.alias("key"), words(t).alias("words")), item_classes(items), size, gram)
-    keys = stored(found.select(F.col("key").alias("_key")).distinct(), "contaminated")
-    return docs.withColumn("_key", key).join(keys, "_key", "left_anti").drop("_key")
+    keys = stored(found.select(F.col("key").alias("__text_key")).distinct(), "contaminated")
+    return docs.withColumn("__text_key", key).join(keys, "__text_key", "left_anti").drop("__text_key")

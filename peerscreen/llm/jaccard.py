@@ -353,12 +353,12 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class. Rows are told apart by id and text; equal rows leave one."""
     told = stored(joined(docs, doc_id, text).groupBy("doc_id", "text_hash").agg(F.max("keeper").alias("keeper"), F.count(F.lit(1)).alias("n")), "near-duplicates")
-    df = docs.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    df = docs.withColumns({"__id": F.col(doc_id), "__hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
 
     def rows(keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_key"), F.col("text_hash").alias("_key_hash"))
-        return df.join(keys, (F.col("_hash") == F.col("_key_hash")) & F.col("_id").eqNullSafe(F.col("_key")), how)
+        keys = keys.select(F.col("doc_id").alias("__told_id"), F.col("text_hash").alias("__told_hash"))
+        return df.join(keys, (F.col("__hash") == F.col("__told_hash")) & F.col("__id").eqNullSafe(F.col("__told_id")), how)
 
     single = rows(told.where("not keeper or n > 1"), "left_anti")
-    repeated = rows(told.where("keeper and n > 1"), "left_semi").dropDuplicates(["_id", "_hash"])
-    return single.unionByName(repeated).drop("_id", "_hash")
+    repeated = rows(told.where("keeper and n > 1"), "left_semi").dropDuplicates(["__id", "__hash"])
+    return single.unionByName(repeated).drop("__id", "__hash")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from peerscreen import schema as S
-from peerscreen.functions.columns import as_number, finite, percent_change, ratio
+from peerscreen.functions.columns import as_number, finite, percent_change, ratio, refuse_null
 from peerscreen.operators import ordering, peers
 
 GRID_LIMIT = 32
@@ -46,13 +46,15 @@ def _bend(t1, t2, tm, tn) -> F.Column:
 
 
 def acceleration(early: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Acceleration when the hours follow no small grid.
+    """Acceleration when the hours follow no small grid; of repeated hours the largest value counts.
 
     Only the two first and two last readings matter. Ranking with a bound of two
     lets Spark drop the rest on the map side, so no history is ever collected.
     """
     keys = list(keys)
 
+    early = early.groupBy(*keys, "hours").agg(F.max("measurement_value").alias("measurement_value"))
+
     def edge(order, a, b):
         w = Window.partitionBy(*keys).orderBy(order)
         top = early.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2)
@@ -68,7 +70,7 @@ def acceleration(early: DataFrame, keys: Sequence[str]) -> DataFrame:
     last = edge(F.col("hours").desc(), "_tn", "_tm")
     pair = lambda name: (F.col(f"{name}h"), F.col(f"{name}v"))
     bend = _bend(pair("_t1"), pair("_t2"), pair("_tm"), pair("_tn"))
-    return first.join(last, keys).select(*keys, bend.alias("_bend"))
+    return ordering.null_safe_join(first, last, keys, "inner").select(*keys, bend.alias("_bend"))
 
 
 def history_features(
@@ -105,10 +107,11 @@ def history_features(
         F.max_by("upper_limit", hours).alias("upper_limit"),
         *[F.max_by(c, hours).alias(c) for c in context],
         *[agg.alias(name) for name, agg in at_hour.items()],
+        *([F.bool_or(~hours.isin(*[float(h) for h in grid])).alias("_off_grid")] if grid is not None else []),
     ).filter(F.col("n_observations") >= minimum_observations)
     base = base.withColumn("slope", F.coalesce(finite("slope"), F.lit(0.0)))
     if grid is None:
-        base = base.join(acceleration(early, keys), keys, "left")
+        base = ordering.null_safe_join(base, acceleration(early, keys), keys)
         bend = F.col("_bend")
     elif at_hour:
         points = F.array(*[F.struct(F.lit(float(h)).alias("h"), F.col(n).alias("v")) for n, h in zip(at_hour, used)])
@@ -117,9 +120,11 @@ def history_features(
         bend = _bend(pair(1), pair(2), pair(-2), pair(-1))
     else:
         bend = F.lit(0.0)
-    base = base.withColumn(
-        "acceleration", F.when(F.col("n_observations") >= 3, F.coalesce(bend, F.lit(0.0))).otherwise(0.0)
-    ).drop("_bend", "_p", *at_hour)
+    bend = F.when(F.col("n_observations") >= 3, F.coalesce(bend, F.lit(0.0))).otherwise(0.0)
+    if grid is not None:
+        on_grid = F.when(~F.coalesce("_off_grid", F.lit(False)), True)
+        bend = refuse_null(bend, on_grid, "a reading's hour is not in the grid")
+    base = base.withColumn("acceleration", bend).drop("_bend", "_p", "_off_grid", *at_hour)
     for c in CONTEXT_COLUMNS:
         if c not in context:
             kind = "double" if c in S.OPTIONAL_NUMERIC else "string"

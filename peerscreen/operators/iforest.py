@@ -1,15 +1,17 @@
 """Isolation forest as Spark jobs.
 
-Each tree needs only a small random subset, so rows are first thinned to a
-bounded pool per scope by a hash threshold (no shuffle), then ranked per tree.
-Trees grow in parallel, one task group per (scope, tree). Scoring reads the
-rows where they lie when the forest is small enough to broadcast, and brings
-rows and trees together in bounded salted groups when it is not.
+Each tree needs only a small random subset of all rows of its scope. Rows are thinned by
+hash thresholds, first to as many as all trees draw together, then per tree, and ranked
+within the tree; every row has the same chance in every tree. Trees grow in parallel.
+Scoring sends points and scopes through Arrow where the forest is small enough to
+broadcast, and brings rows and trees together in bounded salted groups where it is not.
+A NULL scope is a scope like any other. Missing values take the scope's median from a
+sketch whose rank is off by at most a ten-thousandth of the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,6 @@ from peerscreen import schema as S
 from peerscreen.functions.columns import finite, ratio
 from peerscreen.operators import decide, ordering
 
-POOL_ROWS = 64 * 256
 BROADCAST_NODES = 2_000_000
 ROWS_PER_GROUP = 200_000
 TREES_PER_CALL = 10
@@ -141,7 +142,7 @@ class IsolationModel:
         if not self.keys:
             joined = placed.crossJoin(cuts)
         else:
-            joined = (ordering.salted_join if hot else DataFrame.join)(placed, cuts, self.keys, "left")
+            joined = (ordering.salted_join if hot else ordering.null_safe_join)(placed, cuts, self.keys)
         c = F.col("contamination")
         width = F.greatest(c / 3.0, F.lit(0.01))
         joined = joined.withColumns(
@@ -201,16 +202,17 @@ def fit(
     if not keys and facts.isEmpty():
         raise ValueError("at least eight reference components are required")
     identity = [F.col(c) for c in [*S.KEY4, "as_of_hour"]]
-    joined = train.join(facts, keys) if keys else train.crossJoin(facts)
-    pool = joined.filter(_fraction(*identity, F.lit(seed)) < F.lit(float(POOL_ROWS)) / F.col("_n"))
+    joined = ordering.null_safe_join(train, facts, keys, "inner") if keys else train.crossJoin(facts)
+    # Half more than the sample (over six standard deviations) per tree, before ranking,
+    # so little is shuffled.
+    drawn = 1.5 * sample
+    pool = joined.filter(_fraction(*identity, F.lit(seed)) < F.lit(n_trees * drawn) / F.col("_n"))
     point = F.array(*[F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in columns])
     pool = pool.select(*keys, "_n", F.xxhash64(*identity).alias("_id"), point.alias("_x"))
-    per_tree = pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    # Thin to half more than the sample (over six standard deviations) before
-    # ranking, so little is shuffled.
-    pool_size = F.least(F.col("_n"), F.lit(POOL_ROWS)).cast("double")
-    draw = _fraction("_id", "_tree", F.lit(seed))
-    thinned = per_tree.withColumn("_u", draw).filter(F.col("_u") < F.lit(1.5 * sample) / pool_size)
+    pool_size = F.least(F.col("_n").cast("double"), F.lit(n_trees * drawn))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("_tree"), _fraction(F.col("_id"), t, F.lit(seed)).alias("_u")))
+    hits = F.filter(draws, lambda d: d["_u"] < F.lit(drawn) / pool_size)
+    thinned = pool.select("*", F.inline(hits))
     # A Python call serves a bundle of trees; ranking and growing share one exchange.
     thinned = thinned.withColumn("_bundle", F.floor(F.col("_tree") / TREES_PER_CALL)).repartition(*keys, "_bundle")
     w = Window.partitionBy(*keys, "_bundle", "_tree").orderBy("_u", "_id")
@@ -246,7 +248,7 @@ def fit(
 def _score(features: DataFrame, model: IsolationModel) -> DataFrame:
     keys, columns = model.keys, model.columns
     medians = model.medians.select(*keys, *[F.col(c).alias(f"_med_{c}") for c in columns])
-    joined = features.join(medians, keys, "left") if keys else features.crossJoin(medians)
+    joined = ordering.null_safe_join(features, medians, keys) if keys else features.crossJoin(medians)
     point = F.array(*[F.coalesce(finite(c), F.col(f"_med_{c}")) for c in columns])
     rows = joined.withColumn("_x", point).drop(*[f"_med_{c}" for c in columns])
     nodes = model.forest.agg(F.sum(F.size("path")).alias("n")).first()["n"] or 0
@@ -261,33 +263,26 @@ def _as_score(x: np.ndarray, trees: pd.DataFrame) -> np.ndarray:
 
 def _score_in_place(rows: DataFrame, model: IsolationModel) -> DataFrame:
     """The node count was checked, so the forest travels as a broadcast variable."""
-    keys = model.keys
-    trees = model.forest.orderBy(*keys, "_tree").toPandas()
-    by_scope = {k: g for k, g in trees.groupby(keys)} if keys else {(): trees}
-    shared = rows.sparkSession.sparkContext.broadcast(by_scope)
-    schema = rows.drop("_x").schema.add("isolation_score", "double")
+    scope = F.to_json(F.struct(*model.keys)) if model.keys else F.lit("")
+    trees = model.forest.withColumn("_scope", scope).orderBy("_scope", "_tree").toPandas()
+    shared = rows.sparkSession.sparkContext.broadcast(dict(list(trees.groupby("_scope"))))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forests = shared.value
-        for batch in batches:
-            out = np.full(len(batch), np.nan)
-            groups = batch.groupby(keys, dropna=False).indices.items() if keys and len(batch) else [((), np.arange(len(batch)))]
-            for key, at in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                scope = forests.get(key)
-                if scope is not None and len(at):
-                    out[at] = _as_score(np.vstack(batch["_x"].to_numpy()[at]), scope)
-            yield batch.drop(columns="_x").assign(isolation_score=out)
-
-    scored = rows.mapInPandas(score, schema)
-    return scored.withColumn("isolation_score", finite("isolation_score"))
+    @F.pandas_udf("double")
+    def score(points: pd.Series, scopes: pd.Series) -> pd.Series:
+        out = np.full(len(points), np.nan)
+        for key, at in scopes.groupby(scopes).indices.items():
+            if key in shared.value:
+                out[at] = _as_score(np.vstack(points.to_numpy()[at]), shared.value[key])
+        return pd.Series(out)
+
+    return rows.withColumn("isolation_score", finite(score("_x", scope))).drop("_x")
 
 
 def _score_in_groups(rows: DataFrame, model: IsolationModel) -> DataFrame:
     """Rows and trees meet in groups of at most about ROWS_PER_GROUP rows."""
     keys = model.keys
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_GROUP).cast("int").alias("_salts"))
-    attach = lambda df: df.join(sizes, keys) if keys else df.crossJoin(sizes)
+    attach = lambda df: ordering.null_safe_join(df, sizes, keys, "inner") if keys else df.crossJoin(sizes)
     spread = attach(rows).withColumn("_salt", F.pmod(F.xxhash64(*S.KEY4), F.col("_salts")).cast("int")).drop("_salts")
     copies = attach(model.forest).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     schema = rows.drop("_x").schema.add("isolation_score", "double")
@@ -304,19 +299,12 @@ def _score_in_groups(rows: DataFrame, model: IsolationModel) -> DataFrame:
 
 
 def _training_share(rows: DataFrame, train_scores: DataFrame, keys: Sequence[str], *, hot: bool) -> DataFrame:
-    """Add ``_share``: part of the training scores at or below the row's score."""
+    """Add ``_share``: part of the training scores at or below the row's score; NULL for NULL scores."""
     keys, s = list(keys), "isolation_score"
-    if hot:
-        both = train_scores.select(*keys, s, F.lit(1).cast("bigint").alias("_w")).unionByName(
-            rows.select(*keys, s, F.lit(0).cast("bigint").alias("_w"))
-        )
-        totals = ordering.running_totals(both, keys, s, F.col("_w"), hot=True)
-        share = totals.select(*keys, s, ratio(F.col("before") + F.col("weight"), F.col("total")).alias("_share"))
-        return rows.join(share, [*keys, s], "left")
-    tagged = rows.withColumn("_w", F.lit(0)).unionByName(
-        train_scores.select(*keys, s).withColumn("_w", F.lit(1)), allowMissingColumns=True
+    both = train_scores.select(*keys, s, F.lit(1).cast("bigint").alias("_w")).unionByName(
+        rows.select(*keys, s, F.lit(0).cast("bigint").alias("_w"))
     )
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy(s).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    share = ratio(F.sum("_w").over(upto), F.sum("_w").over(group))
-    return tagged.withColumn("_share", share).filter(F.col("_w") == 0).drop("_w")
+    # Distinct scores are summed up, never the wide rows.
+    totals = ordering.running_totals(both, keys, s, F.col("_w"), hot=hot)
+    share = totals.select(*keys, s, ratio(F.col("before") + F.col("weight"), F.col("total")).alias("_share"))
+    return (ordering.salted_join if hot else ordering.null_safe_join)(rows, share, [*keys, s])

@@ -10,7 +10,6 @@ accumulated before being added back.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -62,15 +61,31 @@ def stable(df: DataFrame) -> DataFrame:
     """Materialise on shared storage so that every later reader sees the same rows.
 
     A checkpoint survives the loss of executors. The folder is the one the
-    cluster names; a temporary one is set only where none is configured.
+    session names in spark.checkpoint.dir.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="peerscreen-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; there is no fallback."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join in which a NULL key meets a NULL key, as it does in grouping and windows."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join one-row-per-group statistics to rows whose groups may be huge.
 
@@ -81,7 +96,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     left = big.withColumn("_salt", row_hash)
     salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
     right = small.withColumn("_salt", F.explode(salts))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return null_safe_join(left, right, [*keys, "_salt"], how).drop("_salt")
 
 
 def _hashable(df: DataFrame):
@@ -130,7 +145,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        placed.join(parts, [*keys, "_part"])
+        null_safe_join(placed, parts, [*keys, "_part"], "inner")
         .withColumn("before", F.col("_offset") + F.sum("weight").over(inside) - F.col("weight"))
         .select(*keys, value, "weight", "before", "total")
     )
@@ -197,4 +212,4 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str = "positi
     totals = running_totals(df, keys, order, hot=True).select(
         *keys, order, (F.col("before") + 1).alias(name), F.col("total").alias("group_size")
     )
-    return df.join(totals, [*keys, order])
+    return null_safe_join(df, totals, [*keys, order], "inner")

@@ -45,7 +45,7 @@ def center_and_spread(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     deviations = ordering.salted_join(tall, medians, tall_keys).withColumn("_d", F.abs(F.col("_x") - F.col("_med")))
     mads = ordering.group_median(deviations, tall_keys, "_d", "_mad", hot=True).drop("n")
     stds = tall.groupBy(*tall_keys).agg(F.stddev_samp("_x").alias("_std"))
-    stats = medians.join(mads, tall_keys).join(stds, tall_keys)
+    stats = ordering.null_safe_join(ordering.null_safe_join(medians, mads, tall_keys), stds, tall_keys)
     pick = lambda c, s: F.max(F.when(F.col("_c") == c, F.col(s)))
     wide = stats.groupBy(*keys).agg(
         *[pick(c, f"_{s}").alias(f"{c}_{s}") for c in columns for s in ("med", "mad", "std")]
@@ -128,7 +128,7 @@ def percentile_rank(
             column,
             ((F.col("before") + (F.col("weight") + 1) / 2) / F.col("total")).alias(name),
         )
-        return features.join(ranks, [*keys, column], "left")
+        return ordering.salted_join(features, ranks, [*keys, column])
     group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, column)
     rank = F.rank().over(group.orderBy(F.col(column).asc_nulls_last()))
     average = rank + (F.count(column).over(ties) - 1) / 2
@@ -162,8 +162,8 @@ def channel_peers(features: DataFrame, *, channel: str = "tester_channel", hot:
         hot=hot,
     )
     elevated = present.groupBy(*keys).agg(F.count_if(F.col(z) > S.CHANNEL_Z).alias("_high"))
-    stats = middle.join(elevated, keys)
-    join = ordering.salted_join(features, stats, keys) if hot else features.join(stats, keys, "left")
+    stats = ordering.null_safe_join(middle, elevated, keys)
+    join = (ordering.salted_join if hot else ordering.null_safe_join)(features, stats, keys)
     own, n = F.col(z), F.col("n")
     # m = n - 1 others. The k-th of the others is the (k+1)-th of all when the
     # own value sits at or below the k-th place, else the k-th.
@@ -202,7 +202,7 @@ def peer_statistics(
         size = cutoff.groupBy(*S.PEER).agg(
             F.count(F.lit(1)).alias("sample_size"), F.min(value).alias("peer_min"), F.max(value).alias("peer_max")
         )
-        stats = size.join(med, S.PEER).join(mad, S.PEER)
+        stats = ordering.null_safe_join(ordering.null_safe_join(size, med, S.PEER), mad, S.PEER)
     else:
         w = Window.partitionBy(*S.PEER)
         stats = (

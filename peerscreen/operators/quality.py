@@ -298,8 +298,12 @@ def preflight(df: DataFrame, family: str, measurement: str) -> DataFrame:
     ).select("x.*").withColumn("fatal", F.col("code") == "UNSUPPORTED_LOWER_LIMIT").filter("n > 0")
 
 
-def supported_profiles(df: DataFrame, supported: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with a supported profile_id and the rest with the reason."""
+def supported_profiles(df: DataFrame, supported: Sequence[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a supported profile_id and the rest with the reason; a table of profiles may have any size."""
+    if isinstance(supported, DataFrame):
+        names = supported.select("profile_id").distinct()
+        other = df.join(names, "profile_id", "left_anti").withColumn("reasons", F.array(F.lit(UNKNOWN_PROFILE)))
+        return df.join(names, "profile_id", "left_semi"), other
     ok = F.coalesce(F.col("profile_id").isin(list(supported)), F.lit(False))
     return df.filter(ok), df.filter(~ok).withColumn("reasons", F.array(F.lit(UNKNOWN_PROFILE)))
 

@@ -228,7 +228,7 @@ class Bundle:
     detector: iforest.IsolationModel
     contamination: float = 0.1
     alpha: float = 0.1
-    supported_profiles: list[str] = field(default_factory=list)
+    supported_profiles: DataFrame | None = None  # one column, profile_id
     condition_ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
     validation_mae: dict[str, float] = field(default_factory=dict)
 
@@ -307,7 +307,9 @@ def train_bundle(
     present = [c for c in S.CONDITION_FEATURES if c in train.columns]
     edge = train.agg(*[f(c).alias(f"{n}_{c}") for c in present for n, f in (("lo", F.min), ("hi", F.max))]).first() if present else {}
     ranges = {c: (edge[f"lo_{c}"], edge[f"hi_{c}"]) for c in present if edge[f"lo_{c}"] is not None}
-    profiles = sorted(r[0] for r in train.select("profile_id").distinct().limit(1000).collect() if r[0]) if "profile_id" in train.columns else []
+    profiles = None
+    if "profile_id" in train.columns:
+        profiles = ordering.stable(train.select("profile_id").where(F.coalesce("profile_id", F.lit("")) != "").distinct())
     bundle = Bundle(selected, models, radii, margins, detector, 0.1, alpha, profiles, ranges, mae)
     return bundle, evaluate_bundle(bundle, test)
 
@@ -414,7 +416,7 @@ def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
         "margins": bundle.margins,
         "contamination": bundle.contamination,
         "alpha": bundle.alpha,
-        "supported_profiles": bundle.supported_profiles,
+        "has_profiles": bundle.supported_profiles is not None,
         "condition_ranges": bundle.condition_ranges,
         "validation_mae": bundle.validation_mae,
         "detector_keys": bundle.detector.keys,
@@ -423,6 +425,8 @@ def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("errorifexists").text(os.path.join(path, "manifest"))
     for name, model in bundle.models.items():
         save_model(model, spark, os.path.join(path, "models", name))
+    if bundle.supported_profiles is not None:
+        bundle.supported_profiles.write.mode("errorifexists").parquet(os.path.join(path, "profiles"))
     for name in ("forest", "medians", "train_scores"):
         getattr(bundle.detector, name).write.mode("errorifexists").parquet(os.path.join(path, "detector", name))
 
@@ -436,5 +440,5 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     models = {n: load_model(spark, os.path.join(path, "models", n)) for n in facts["models"]}
     return Bundle(
         facts["selected"], models, facts["radii"], facts["margins"], detector, facts["contamination"], facts["alpha"],
-        facts["supported_profiles"], {c: tuple(r) for c, r in facts["condition_ranges"].items()}, facts["validation_mae"],
+        spark.read.parquet(os.path.join(path, "profiles")) if facts["has_profiles"] else None, {c: tuple(r) for c, r in facts["condition_ranges"].items()}, facts["validation_mae"],
     )

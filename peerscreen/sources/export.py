@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peerscreen import schema as S
-from peerscreen.operators import splits
+from peerscreen.operators import ordering, splits
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder (a local one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="peerscreen-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    """A new folder below the shared checkpoint folder."""
+    return os.path.join(ordering.shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

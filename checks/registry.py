@@ -127,9 +127,15 @@ def _(spark, d):
     return csv_source.read_text(spark, csv_copy(spark, d)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("readings"))
 
 
-@query("A-03_file_triage")
+@query("A-03_file_triage", Q.query(Q.READINGS, select="select 'text' as status, true as any_bytes, count(distinct batch_id) >= 1 as any_files from readings"))
 def _(spark, d):
-    return csv_source.triage(spark, csv_copy(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return csv_source.triage(spark, csv_copy(spark, d)).groupBy("status").agg((F.sum("length") > 0).alias("any_bytes"), (F.count(F.lit(1)) >= 1).alias("any_files"))
+
+
+@query("A-01_intake_job", Q.query(Q.READINGS, select=f"select {K}, count(*) as readings, round(sum(measurement_value), 6) + 0.0 as total from readings group by {K}"))
+def _(spark, d):
+    got = csv_source.ingest_files(spark, csv_copy(spark, d), max_bytes=2**31 - 1, max_rows=2**40)
+    return rounded(got.clean.groupBy(*KEY).agg(F.count(F.lit(1)).alias("readings"), F.sum("measurement_value").alias("total")))
 
 
 @query("A-04_decode", Q.query(Q.READINGS, select="select 'utf-8' as encoding, count(*) as data_lines from readings"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from peerscreen import schema as S
 from peerscreen.functions.columns import as_number, blank, parse_boolean
-from peerscreen.operators import quality
+from peerscreen.operators import ordering, quality
 
 # --- fixed values: leading bytes (hex) of formats that are not CSV text --------
 SIGNATURES = [
@@ -49,11 +52,11 @@ def triage(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, g
         "length",
         head.alias("_head"),
         found.alias("_label"),
-        F.trim(F.regexp_replace(F.substring("content", 1, 4096).cast("string"), r"\s", "")).alias("_text"),
+        (F.trim(F.regexp_replace(F.col("content").cast("string"), r"\s", "")) == "").alias("_blank"),
     )
     small = small.withColumn("_nul", F.col("_head").rlike("^([0-9A-F]{2})*?00"))
     status = (
-        F.when((F.col("length") == 0) | ((F.col("length") <= 4096) & (F.col("_text") == "")), "empty")
+        F.when(F.col("_blank"), "empty")
         .when(F.col("_label").isNotNull(), "container")
         .when(F.col("_nul"), "nul_bytes")
         .otherwise("text")
@@ -63,8 +66,10 @@ def triage(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, g
     )
     seen = small.select("path", "length", status.alias("status"), F.col("_label").alias("detail")).unionByName(large)
     # The file source yields no row for a file of zero bytes; the listing knows it.
-    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
-    hollow = listed.join(files.select("path"), "path", "left_anti").select(
+    # Listings and rows spell local paths with a different number of slashes.
+    spelled = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").withColumn("_spelled", spelled(F.col("path")))
+    hollow = listed.join(files.select(spelled(F.col("path")).alias("_spelled")), "_spelled", "left_anti").select(
         "path", F.lit(0).cast("bigint").alias("length"), F.lit("empty").alias("status"), F.lit(None).cast("string").alias("detail")
     )
     return seen.unionByName(hollow)
@@ -74,12 +79,13 @@ def decode(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, g
     """(path, line_number, line, encoding) of small files: UTF-8, or Windows-1252 with a note.
 
     Spark's CSV reader takes no Windows charset, so files that are not UTF-8 are
-    decoded in Arrow batches; each file is bounded by ``max_bytes``.
+    decoded in Arrow batches; each file is bounded by ``max_bytes``. A larger file is one
+    row without a line, encoding "too_large": :func:`read_text` takes such files.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-        .filter(F.col("length") <= max_bytes)
-        .select("path", "content", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = listed.filter(F.col("length") <= max_bytes).select("path", "content")
+    large = listed.filter(F.col("length") > max_bytes).select(
+        "path", F.lit(None).cast("int").alias("line_number"), F.lit(None).cast("string").alias("line"), F.lit("too_large").alias("encoding")
     )
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +103,110 @@ def decode(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, g
                     {"path": row.path, "line_number": range(1, len(parts) + 1), "line": parts, "encoding": name}
                 )
 
-    return files.mapInPandas(lines, "path string, line_number int, line string, encoding string")
+    return files.mapInPandas(lines, "path string, line_number int, line string, encoding string").unionByName(large)
+
+
+# --- fixed values: codes of refusals and notes -----------------------------------
+REFUSALS = {"too_large": "FILE_TOO_LARGE", "empty": "FILE_EMPTY", "container": "UNSUPPORTED_FILE_TYPE", "nul_bytes": "UNSUPPORTED_FILE_TYPE"}
+NOT_DECODED, NOT_PARSED, TOO_MANY, OTHER_ENCODING = "ENCODING_INVALID", "CSV_PARSE_FAILED", "TOO_MANY_ROWS", "NON_UTF8_ENCODING"
+MAX_ROWS = 100_000
+# --- end of fixed values ---------------------------------------------------------
+
+PARSED = "path string, line int, cells map<string,string>, code string, column_name string"
+
+
+def parse_file(raw: bytes, required: Sequence[str], max_rows: int) -> Iterator[tuple]:
+    """(line, cells, code, column_name) of one bounded file: its records, or why it is refused, and notes."""
+    try:
+        text = raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        try:
+            text = raw.decode("cp1252")
+        except UnicodeDecodeError:
+            yield None, None, NOT_DECODED, None
+            return
+        yield None, None, OTHER_ENCODING, None
+    reader = csv.reader(io.StringIO(text, newline=""), strict=True)
+    header, records, at = None, [], 0
+    try:
+        for cells in reader:
+            if header is None and any(c.strip() for c in cells):
+                header = [c.strip() for c in cells]
+            elif header is not None and cells:
+                if len(cells) > len(header):
+                    raise csv.Error("too many fields")
+                records.append((at + 1, cells))
+            at = reader.line_num
+    except csv.Error:
+        yield at + 1, None, NOT_PARSED, None
+        return
+    header = header or []
+    faults = [("DUPLICATE_HEADER", c) for c in dict.fromkeys(header) if c and header.count(c) > 1]
+    faults += [("MISSING_REQUIRED_COLUMNS", c) for c in required if c not in header]
+    if not header or not (faults or records):
+        faults = [("FILE_EMPTY", None)]
+    elif len(records) > max_rows:
+        faults.append((TOO_MANY, None))
+    for code, column in faults:
+        yield None, None, code, column
+    if not faults:
+        for line, cells in records:
+            yield line, dict(zip(header, cells + [""] * (len(header) - len(cells)), strict=True)), None, None
+
+
+def parse_files(
+    spark: SparkSession, path: str, *, required: Sequence[str] = tuple(S.REQUIRED_COLUMNS), max_bytes: int = MAX_FILE_BYTES, max_rows: int = MAX_ROWS, glob: str = "*.csv"
+) -> DataFrame:
+    """Records and refusals of many small files, quoted line breaks included, written once."""
+    status = triage(spark, path, max_bytes=max_bytes, glob=glob)
+    codes = F.create_map(*[F.lit(x) for pair in REFUSALS.items() for x in pair])
+    empty = F.lit(None).cast("map<string,string>")
+    refused = status.filter("status <> 'text'").select(
+        "path", F.lit(None).cast("int").alias("line"), empty.alias("cells"), codes[F.col("status")].alias("code"), F.lit(None).cast("string").alias("column_name")
+    )
+    content = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    texts = content.filter(F.col("length") <= max_bytes).join(status.filter("status = 'text'").select("path"), "path", "left_semi").select("path", "content")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                found = list(parse_file(bytes(row.content), required, max_rows))
+                out = pd.DataFrame(found, columns=["line", "cells", "code", "column_name"]).assign(path=row.path)
+                yield out.astype({"line": "Int32"})[["path", "line", "cells", "code", "column_name"]]
+
+    return ordering.stable(texts.mapInPandas(parse, PARSED).unionByName(refused))
+
+
+def ingest_files(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, max_rows: int = MAX_ROWS, glob: str = "*.csv") -> Intake:
+    """One intake job for uploads: triage, decoding, header, row cap, cells, structure.
+
+    Errors carry the file, the line where known, and the column. A file with an error gives no
+    rows; the structure of the rest is checked only where no cell is at fault.
+    """
+    parsed = parse_files(spark, path, max_bytes=max_bytes, max_rows=max_rows, glob=glob)
+    notes = parsed.filter(F.col("code") == OTHER_ENCODING).select("path", "code")
+    errors = parsed.filter(F.col("code").isNotNull() & (F.col("code") != OTHER_ENCODING)).select("path", "line", "column_name", "code")
+    known = [*S.REQUIRED_COLUMNS, *S.OPTIONAL_NUMERIC, *S.OPTIONAL_TEXT]
+    rows = parsed.filter(F.col("cells").isNotNull())
+    text = rows.select(F.col("path").alias("file_path"), "line", *[F.coalesce(F.col("cells")[c], F.lit("")).alias(c) for c in dict.fromkeys(known)])
+    cells = cell_errors(text, S.REQUIRED_NUMERIC, S.OPTIONAL_NUMERIC).withColumnRenamed("file_path", "path")
+    errors = ordering.stable(errors.unionByName(cells.select("path", "line", "column_name", "code")))
+    clean = typed(text.join(errors.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti"))
+    if errors.isEmpty():
+        nowhere = (F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"))
+        errors = structural_errors(clean).select(*nowhere, "column_name", "code")
+    return Intake(clean, errors, notes)
+
+
+def broken_records(spark: SparkSession, path: str, *, glob: str = "*.csv") -> DataFrame:
+    """(path, code) of files with a line whose quotes don't pair up: a quoted line break.
+
+    :func:`read_text` splits files by line and would cut such a record; send them through
+    :func:`parse_files`, or refuse them.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).text(path)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    return lines.filter(odd).select(F.col("_metadata.file_path").alias("path"), F.lit(NOT_PARSED).alias("code")).distinct()
 
 
 def header_names(spark: SparkSession, path: str, *, glob: str = "*.csv") -> DataFrame:

@@ -119,3 +119,50 @@ def test_split_export_and_flat_tables(spark, tmp_path, drifting):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == flagged.count()
     sample = export.sample_slice(readings.filter("hours <= 24"), readings.filter("hours > 24"), components=3)
     assert [r.component_id for r in sample.filter("hours = 168").collect()] == ["D0000", "D0001", "D0002"]
+
+
+def test_triage_lists_every_file_once(spark, tmp_path):
+    for name, data in (("a.csv", b"x,y\n1,2\n"), ("b c.csv", b""), ("blank.csv", b" \n" * 3000), ("big.csv", b"z" * 7000)):
+        path = write(tmp_path / "all", name, data)
+    got = sorted((r.path.rsplit("/", 1)[-1], r.status) for r in csv.triage(spark, path, max_bytes=6500).collect())
+    assert got == [("a.csv", "text"), ("b c.csv", "empty"), ("big.csv", "too_large"), ("blank.csv", "empty")]
+    assert {r.encoding for r in csv.decode(spark, path, max_bytes=6500).collect() if r.path.endswith("big.csv")} == {"too_large"}
+
+
+def test_intake_job(spark, tmp_path):
+    row = "c{0},b,f,{1},m,1.5,2\n"
+    files = {
+        "good.csv": HEAD + "\n" + row.format(1, 0) + "\n" + row.format(1, 24),
+        "quoted.csv": HEAD + '\n"c\n2",b,f,0,m,1,2\n"c\n2",b,f,24,m,1,2\n',
+        "windows.csv": (HEAD + "\nµ3,b,f,0,m,1,2\n").encode("cp1252"),
+        "undecodable.csv": HEAD.encode() + b"\n\x81\x8d,b,f,0,m,1,2\n",
+        "header_only.csv": HEAD + "\n",
+        "double.csv": HEAD + ",hours\n" + "c,b,f,0,m,1,2,0\n",
+        "missing.csv": "component_id,batch_id\nc,b\n",
+        "many.csv": HEAD + "\n" + "".join(row.format(9, h) for h in range(6)),
+        "open_quote.csv": HEAD + '\n"c,b,f,0,m,1,2\n',
+        "wide.csv": HEAD + "\n" + "c,b,f,0,m,1,2,3,4\n",
+        "zip.csv": b"PK\x03\x04abc",
+        "cells.csv": HEAD + "\nc,b,f,0,m,1,2\nc,b,f,0,m,oops,2\n",
+    }
+    for name, data in files.items():
+        path = write(tmp_path / "intake", name, data)
+    got = csv.ingest_files(spark, path, max_rows=5)
+    short = lambda p: p.rsplit("/", 1)[-1]
+    errors = {(short(r.path), r.line, r.column_name, r.code) for r in got.errors.collect()}
+    missing = {("missing.csv", None, c, "MISSING_REQUIRED_COLUMNS") for c in HEAD.split(",")[2:]}
+    assert errors == missing | {
+        ("undecodable.csv", None, None, "ENCODING_INVALID"),
+        ("header_only.csv", None, None, "FILE_EMPTY"),
+        ("double.csv", None, "hours", "DUPLICATE_HEADER"),
+        ("many.csv", None, None, "TOO_MANY_ROWS"),
+        ("open_quote.csv", 2, None, "CSV_PARSE_FAILED"),
+        ("wide.csv", 2, None, "CSV_PARSE_FAILED"),
+        ("zip.csv", None, None, "UNSUPPORTED_FILE_TYPE"),
+        ("cells.csv", 3, "measurement_value", "NON_FINITE_VALUE"),
+    }
+    assert sorted((short(r.file_path), r.line, r.component_id) for r in got.clean.collect()) == [
+        ("good.csv", 2, "c1"), ("good.csv", 4, "c1"), ("quoted.csv", 2, "c\n2"), ("quoted.csv", 4, "c\n2"), ("windows.csv", 2, "µ3")
+    ]
+    assert [(short(r.path), r.code) for r in got.warnings.collect()] == [("windows.csv", "NON_UTF8_ENCODING")]
+    assert {short(r.path) for r in csv.broken_records(spark, path).collect()} == {"quoted.csv", "open_quote.csv"}

@@ -3,8 +3,8 @@
 A page is cut into tags and text and read into a small tree. Boilerplate elements go first.
 Every paragraph then passes points for its length and commas to its ancestors, less with each
 step up; a container's points are discounted by the share of its text that sits in links. The
-best container is taken together with those of its siblings that score or read like text, and
-the text of its blocks, in page order, is the result.
+best container (or the article or main element around it) is taken together with those of its
+siblings that score or read like text, and the text of its blocks, in page order, is the result.
 
 Edge cases: null and empty pages give an empty text; unclosed and stray tags are repaired the way
 browsers do for paragraphs and list items; a page without any block element is one block; a page
@@ -52,11 +52,12 @@ ENDS = {
 BOILERPLATE = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|overlay"
     r"|nav\w*|menus?|breadcrumbs?|toolbar|sidebars?|side|aside|related|recommend\w*|widgets?|footer|foot|header|masthead|topbar|site-?header|page-?header"
-    r"|comments?|commentlist|disqus|replies|reply|respond|discussion|share|sharing|social|subscribe|subscription|newsletter|signup|login|search|pagination|pager|skip|copyright|legal)(?:$|[-_\s\d])",
+    r"|comments?|commentlist|disqus|replies|reply|respond|responses?|discussion|trending|popular|share|sharing|social|subscribe|subscription|newsletter|signup|login|search|pagination|pager|skip|copyright|legal)(?:$|[-_\s\d])",
     re.I,
 )
 LAYOUT = re.compile(r"\b(?:has|with|no|without)-[-\w]*", re.I)  # says what a page has, not what an element is
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog"}
+READABLE = {"p", "h1", "h2", "h3", "h4", "blockquote", "pre", "figure", "table", "ul", "ol", "dl"}
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd"}
 TAG_POINTS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0}
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "blockquote", "center"}
@@ -240,18 +241,29 @@ def main_text(html: str | None) -> str:
     best = max(candidates, key=worth)  # the first in page order where equal
     if best.parent is None:
         return "\n".join(blocks([best]))
+    # Inside an article, or else a main element, that element is the container: its boilerplate is gone.
+    for name in ("article", "main"):
+        up = best
+        while up is not None and up.name != name:
+            up = up.parent
+        if up is not None:
+            best = up
+            break
     # An only container of its parent's text stands for the parent.
     while best.parent.parent is not None and best.parent.chars == best.chars:
         best = best.parent
     least = max(10.0, worth(best) * 0.2)
-    parts = []
-    for c in best.parent.children:
-        if c is best:
-            parts.append(c)
-        elif isinstance(c, Node) and not c.dropped and c.chars:
-            density = c.linked / c.chars
-            if c.name in CONTAINERS and worth(c) >= least or c.name in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "figure", "table", "ul", "ol", "dl") and density < 0.25:
-                parts.append(c)
+
+    def belongs(c: Node) -> bool:
+        if c.dropped or not c.chars:
+            return False
+        if c.name in CONTAINERS and worth(c) >= least:
+            return True
+        if c.linked / c.chars >= 0.25:
+            return False
+        return c.name in READABLE or c.name in CONTAINERS and any(isinstance(x, Node) and x.name in READABLE for x in c.children)
+
+    parts = [c for c in best.parent.children if c is best or isinstance(c, Node) and belongs(c)]
     return "\n".join(blocks(parts))
 
 

@@ -33,6 +33,13 @@ def test_boilerplate_goes(page):
     assert main_text(page) == "A paragraph of some length, with commas, and words enough to count as text.\nAnother one, also long, with é, & and é in it."
 
 
+def test_parts_of_an_article_stay_together():
+    page = f"<article><section>{BODY * 6}</section><section><p>Short end, of it.</p></section><div class='share'>Share</div></article>"
+    assert main_text(page).count("\n") == 12 and main_text(page).endswith("Short end, of it.")
+    page = f"<body><div id='top'><div class='part'>{BODY * 6}</div><div class='part'><p>Short end, of it.</p></div></div></body>"
+    assert main_text(page).endswith("Short end, of it.")
+
+
 def test_siblings_and_links():
     links = "".join(f"<li><a href=/{i}>A link, with words, number {i}</a></li>" for i in range(30))
     page = f"<div><div><ul>{links}</ul></div><div>{BODY}</div><h2>Heading</h2><div>{BODY}</div></div>"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks import sql as Q
 from checks.registry import CARRY, HEAT, KEY, READ, feature_table, labels, query, rounded, tables_grid
 from peerscreen import schema as S
 from peerscreen.operators import boosting, forecast, iforest, metrics, ordering, splits
@@ -256,3 +257,92 @@ def _(spark, d):
     stressed = r.withColumn("measurement_value", F.when(F.col("hours") > 24, F.col("measurement_value") * 1e6).otherwise(F.col("measurement_value")))
     a, b = (screening.screen(x).select(*KEY, F.round("anomaly_score", 9).alias("s"), "recommendation") for x in (r, stressed))
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("changed_rows"))
+
+
+# --- What SQL can say about learned models: which rows come back, and rules they must keep ---
+
+Z_ROWS = (Q.READINGS, Q.features(), Q.Z)
+TRAINED = (Q.READINGS, Q.LABELS, Q.features(), Q.Z, Q.ERRORS)
+SIDES = Q.split(0.4, 7)
+K = Q.KEY
+
+
+@query(
+    "J-02_trees_per_scope",
+    Q.query(*Z_ROWS, SIDES, select="select component_family, measurement_name, 250 as trees, least(256, count(*)) as rows_per_tree, true as grown from z join split_t using (batch_id) where side = 'train' group by 1, 2 having count(*) >= 8"),
+)
+def _(spark, d):
+    train, _test = sides(spark, d)
+    forest = iforest.fit(train, keys=S.SCOPE).forest
+    return forest.groupBy(*S.SCOPE).agg(F.count(F.lit(1)).alias("trees"), F.max("n_sample").alias("rows_per_tree"), (F.min(F.size("path")) > 1).alias("grown"))
+
+
+@query(
+    "J-03_scores_in_range",
+    Q.query(*Z_ROWS, SIDES, f"n as (select component_family, measurement_name, count(*) >= 8 as fitted from z join split_t using (batch_id) where side = 'train' group by 1, 2)",
+            select=f"select {', '.join('z.' + c for c in S.KEY4)}, coalesce(fitted, false) as scored, true as in_range, true as flagged_above_cut from z join split_t using (batch_id) left join n using (component_family, measurement_name) where side = 'test'"),
+)
+def _(spark, d):
+    train, test = sides(spark, d)
+    model = iforest.fit(train, keys=S.SCOPE)
+    out = model.score(test, hot=HEAT(spark, d).scope)
+    cuts = model.thresholds([0.1]).drop("contamination")
+    out = ordering.null_safe_join(out, cuts, S.SCOPE)
+    s, m = F.col("isolation_score"), F.col("model_anomaly_score")
+    return out.select(
+        *KEY,
+        s.isNotNull().alias("scored"),
+        F.coalesce((s > 0) & (s < 1) & (m >= 0) & (m <= 1), s.isNull()).alias("in_range"),
+        F.coalesce(F.col("is_model_anomaly") == (s > F.col("score_cut")), s.isNull()).alias("flagged_above_cut"),
+    )
+
+
+@query("J-06_pooled_rows", Q.query(*Z_ROWS, SIDES, select=f"select {K}, true as scored from z join split_t using (batch_id) where side = 'test'"))
+def _(spark, d):
+    train, test = sides(spark, d)
+    config = evaluation.ScreeningConfig(fit_scope="pooled")
+    out = evaluation.screen_components(test, config, detector=evaluation.fit_detectors(train, config))
+    return out.select(*KEY, (F.col("isolation_forest_score").isNotNull() & F.col("isolation_forest_flag").isNotNull()).alias("scored"))
+
+
+GATED = "abs(slope_batch_robust_z) < 2 and abs(current_batch_robust_z) < 2"
+
+
+@query("J-09_gate_and_sign", Q.query(*TRAINED, select=f"select {K}, round(y, 6) + 0.0 as y, case when {GATED} then round(p_pers, 6) + 0.0 end as gated, true as sensible from y0"))
+def _(spark, d):
+    rows = ordering.stable(table(spark, d))
+    out = boosting.fit_model(ABSOLUTE, rows).transform(rows)
+    return rounded(out.select(*KEY, "y", F.when(F.expr(GATED), F.col("pred")).alias("gated"), ((F.col("pred") >= 0) & F.col("pred").isNotNull()).alias("sensible")))
+
+
+@query("J-16_contributions_sum_up", Q.query(*TRAINED, select=f"select {K}, {len(ABSOLUTE.feature_columns) + 1} as parts, true as sums_up from y0"))
+def _(spark, d):
+    rows = ordering.stable(table(spark, d))
+    model = boosting.fit_model(ABSOLUTE, rows)
+    sums = model.contributions(rows, KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("parts"), F.sum("contribution").alias("s"))
+    out = model.transform(rows).join(sums, KEY)
+    return out.select(*KEY, "parts", (F.abs(F.greatest(F.col("s"), F.lit(0.0)) - F.col("pred")) < 1e-9).alias("sums_up"))
+
+
+@query("A-17_reload_changes_nothing", Q.query(*TRAINED, select="select count(*) as compared, 0 as changed from y0"))
+def _(spark, d):
+    rows = ordering.stable(table(spark, d))
+    model = training.fit_final(rows, ABSOLUTE)
+    path = export.scratch(spark, "candidate")
+    training.save_model(model, spark, path)
+    both = training.load_model(spark, path).transform(rows).select(*KEY, F.col("pred").alias("again")).join(model.transform(rows), KEY, "full")
+    return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("again").eqNullSafe(F.col("pred"))).alias("changed"))
+
+
+@query(
+    "J-19_baseline_errors",
+    Q.query(*TRAINED, Q.split(0.25, 26170, stratum=None), select="select config, round(avg(abs(pred - y)), 6) + 0.0 as validation_mae from yy join split_t using (batch_id) where side = 'test' group by 1"),
+)
+def _(spark, d):
+    rows = ordering.stable(table(spark, d))
+    held = splits.select_side(rows, splits.make_batch_split(rows, test_fraction=0.25), "test")
+    out = None
+    for c in boosting.COMPARISON[:2]:
+        one = boosting.fit_model(c, held).transform(held).withColumn("config", F.lit(c.name))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out.groupBy("config").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("validation_mae")))

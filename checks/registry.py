@@ -274,10 +274,14 @@ def _(spark, d):
     return rounded(out.select(*KEY, "hours", "measurement_value"))
 
 
-@query("A-18_fingerprint")
+@query(
+    "A-18_fingerprint",
+    Q.query(Q.READINGS, select=f"select count(*) as rows, cast(sum(h) as varchar) as hash_sum, bit_xor(h) as hash_xor from (select ('0x' || substr(md5(concat_ws('|', {K}, cast(hours as varchar))), 1, 15))::bigint as h from readings)"),
+)
 def _(spark, d):
     df = READ(spark, d).select(*KEY, "hours")
-    return export.fingerprint(df).select("rows", F.col("hash_sum").cast("string").alias("hash_sum"), "hash_xor")
+    row_hash = F.conv(F.substring(F.md5(F.concat_ws("|", *KEY, F.col("hours").cast("string"))), 1, 15), 16, 10).cast("bigint")
+    return export.fingerprint(df, row_hash=row_hash).select("rows", F.col("hash_sum").cast("string").alias("hash_sum"), "hash_xor")
 
 
 @query("A-19_non_finite_to_null", Q.query(Q.READINGS, select=f"select {K}, hours, case when cast(substr(component_id, 2) as int) % 3 > 0 then round(measurement_value, 6) + 0.0 end as measurement_value from readings"))

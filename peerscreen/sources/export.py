@@ -6,7 +6,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from peerscreen import schema as S
 from peerscreen.operators import ordering, splits
@@ -17,9 +17,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ordering.shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-insensitive content fingerprint: rows, sum and xor of row hashes."""
-    h = F.xxhash64(*[F.col(c) for c in (columns or df.columns)])
+def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, row_hash: Column | None = None) -> DataFrame:
+    """Order-insensitive content fingerprint: rows, sum and xor of row hashes.
+
+    ``row_hash`` (a bigint) replaces Spark's own hash where another engine must agree.
+    """
+    h = row_hash if row_hash is not None else F.xxhash64(*[F.col(c) for c in (columns or df.columns)])
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(h.cast("decimal(38,0)")).alias("hash_sum"),

@@ -271,12 +271,19 @@ FM = f"""count(*) as components, {r6('avg(abs(pred - y)) as mae_normalized', 'sq
  count(*) filter (limit_fraction < 1 and y >= 1 and pred >= 1) as new_tp, count(*) filter (limit_fraction < 1 and y < 1 and pred >= 1) as new_fp,
  round(count(*) filter (limit_fraction < 1 and y >= 1 and pred >= 1) / nullif(count(*) filter (limit_fraction < 1 and y >= 1), 0), 6) + 0.0 as new_recall,
  round(count(*) filter (limit_fraction < 1 and y < 1 and pred >= 1) / nullif(count(*) filter (limit_fraction < 1 and y < 1), 0), 6) + 0.0 as new_fpr,
- {r6('avg(case when pred <= 0 then 1.0 else 0.0 end) as share_clipped_at_zero', 'avg(case when is_healthy then abs(pred - y) end) as healthy_mae', 'avg(case when not is_healthy then abs(pred - y) end) as nonhealthy_mae')}"""
+ {r6('avg(case when pred <= 0 then 1.0 else 0.0 end) as share_clipped_at_zero', 'avg(case when is_healthy then abs(pred - y) end) as healthy_mae', 'avg(case when not is_healthy then abs(pred - y) end) as nonhealthy_mae', 'avg(case when is_healthy then pred - y end) as healthy_mean_signed_error')}"""
+LATENT = "is_defect and first_exceedance_hour is not null"
+LATENT_FM = f"""count(*) filter (not is_tester_fault and {LATENT} and pred >= 1) as latent_tp, count(*) filter (not is_tester_fault and {LATENT} and pred < 1) as latent_fn,
+ count(*) filter (not is_tester_fault and not ({LATENT}) and pred >= 1) as latent_fp, count(*) filter (not is_tester_fault and not ({LATENT}) and pred < 1) as latent_tn,
+ round(count(*) filter (not is_tester_fault and {LATENT} and pred >= 1) / nullif(count(*) filter (not is_tester_fault and {LATENT}), 0), 6) + 0.0 as latent_recall,
+ round(count(*) filter (not is_tester_fault and not ({LATENT}) and pred >= 1) / nullif(count(*) filter (not is_tester_fault and not ({LATENT})), 0), 6) + 0.0 as latent_fpr,
+ round(count(*) filter (not is_tester_fault and {LATENT} and pred >= 1) / nullif(count(*) filter (not is_tester_fault and pred >= 1), 0), 6) + 0.0 as latent_precision"""
 
 
-@query("E-15_forecast_metrics", Q.query(*ERR, select=f"select config, {FM} from yy group by config"))
+@query("E-15_forecast_metrics", Q.query(*ERR, select=f"select config, {FM}, {LATENT_FM} from yy group by config"))
 def _(spark, d):
-    return rounded(metrics.forecast_metrics(error_rows(spark, d), keys=["config"], hot=HEAT(spark, d).table))
+    rows = error_rows(spark, d).withColumn("is_future_failure", F.expr(LATENT))
+    return rounded(metrics.forecast_metrics(rows, keys=["config"], hot=HEAT(spark, d).table))
 
 
 DIMS = ["profile_id", "scenario", "stratum", "is_healthy"]

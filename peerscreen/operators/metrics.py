@@ -170,9 +170,9 @@ def summarize_repeated_splits(metrics: DataFrame) -> DataFrame:
     )
 
 
-def confusion(truth: Column, on: Column, prefix: str = "") -> list[Column]:
-    """Reusable aggregate list: tp, fn, fp, tn, recall, false_positive_rate, precision."""
-    n = F.count_if
+def confusion(truth: Column, on: Column, prefix: str = "", within: Column | None = None) -> list[Column]:
+    """Reusable aggregate list: tp, fn, fp, tn, recall, false_positive_rate, precision; of rows ``within`` if given."""
+    n = (lambda c: F.count_if(c)) if within is None else (lambda c: F.count_if(within & c))
     tp, fn, fp, tn = n(truth & on), n(truth & ~on), n(~truth & on), n(~truth & ~on)
     return [
         tp.alias(f"{prefix}tp"),
@@ -186,10 +186,15 @@ def confusion(truth: Column, on: Column, prefix: str = "") -> list[Column]:
 
 
 def forecast_metrics(df: DataFrame, *, keys: Sequence[str] = (), medians: bool = True, hot: bool | None = None) -> DataFrame:
-    """Error and crossing metrics of ``pred`` against ``y`` (both in limit fractions)."""
+    """Error and crossing metrics of ``pred`` against ``y`` (both in limit fractions).
+
+    Where the true final value is known apart from the tester (``is_future_failure`` with
+    ``is_tester_fault``), latent_* rates crossings without the tester's faults.
+    """
     keys = list(keys)
+    latent = {"is_future_failure", "is_tester_fault"} <= set(df.columns)
     if medians:  # read twice: keep the few columns instead of computing the rows again
-        used = [*keys, "pred", "y", "upper_limit", "limit_fraction", "is_healthy"]
+        used = [*keys, "pred", "y", "upper_limit", "limit_fraction", "is_healthy", "is_future_failure", "is_tester_fault"]
         df = ordering.stable(df.select(*dict.fromkeys(c for c in used if c in df.columns)))
     pred, y, limit = F.col("pred"), F.col("y"), F.col("upper_limit")
     error = pred - y
@@ -215,6 +220,8 @@ def forecast_metrics(df: DataFrame, *, keys: Sequence[str] = (), medians: bool =
         F.avg((pred <= 0).cast("double")).alias("share_clipped_at_zero"),
         F.avg(F.when(healthy, F.abs(error))).alias("healthy_mae"),
         F.avg(F.when(~healthy, F.abs(error))).alias("nonhealthy_mae"),
+        F.avg(F.when(healthy, error)).alias("healthy_mean_signed_error"),
+        *(confusion(~F.col("is_tester_fault") & F.col("is_future_failure"), on, "latent_", ~F.col("is_tester_fault")) if latent else []),
     )
     if not medians:
         return out

@@ -153,6 +153,8 @@ class Scorer:
         self.per_row, self.bias, self.known = per_row, bias, {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        if not self.per_row.any():  # nothing was learnt
+            return np.full(len(texts), 1 / (1 + np.exp(-self.bias)))
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         words: list[str] = []

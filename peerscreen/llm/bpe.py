@@ -32,8 +32,8 @@ from peerscreen.llm.common import clear
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 LONG = 64
-MAX_NODES = 600_000
-CHUNK = 4_000_000  # characters encoded at a time
+MAX_NODES = 300_000
+CHUNK = 1_000_000  # characters encoded at a time
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,26 +43,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def byte_strings(data: dict) -> list[bytes]:
+    """The bytes of every id."""
+    letters = byte_letters()
+    special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
+    found = {i: bytes(letters[c] for c in name) for name, i in data["model"]["vocab"].items() if name not in special}
+    found |= {i: name.encode() for name, i in special.items()}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
 class Vocabulary:
     """Tokens, merges and which token may follow which."""
 
     def __init__(self, source: str):
         data = json.loads(source)
-        letters = byte_letters()
         ids = data["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         named = {name: i for name, i in ids.items() if name not in self.special}
-        as_bytes = {i: bytes(letters[c] for c in name) for name, i in named.items()}
-        as_bytes |= {i: name.encode() for name, i in self.special.items()}
-        self.bytes_of = [as_bytes.get(i, b"") for i in range(max(as_bytes) + 1)]
+        self.bytes_of = byte_strings(data)
         merges = (m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"])
         self.rank: dict[tuple[int, int], int] = {}
         made: dict[int, tuple[int, int]] = {}
         for r, (a, b) in enumerate(merges):
             self.rank[ids[a], ids[b]] = r
             made.setdefault(ids[a + b], (ids[a], ids[b]))
-        self.right = {i: self._edge(i, made, 1) for i in named.values()}
-        self.left = {i: self._edge(i, made, 0) for i in named.values()}
+        self.made = made
         #: Every ending of a token: the token it is, or -1.
         self.ending: dict[bytes, int] = {}
         for i in named.values():
@@ -71,11 +76,11 @@ class Vocabulary:
         self.ending |= {self.bytes_of[i]: i for i in named.values()}
         self.follows: dict[int, bool] = {}  # a << 32 | b, as far as asked
 
-    def _edge(self, token: int, made: dict[int, tuple[int, int]], side: int) -> list[tuple[int, float, float]]:
+    def _edge(self, token: int, side: int) -> list[tuple[int, float, float]]:
         """Tokens at one edge while `token` is being merged: token, rank that made it, rank that consumed it."""
         out, until = [], inf
         while True:
-            pair = made.get(token)
+            pair = self.made.get(token)
             born = self.rank[pair] if pair else -1
             out.append((token, born, until))
             if not pair:
@@ -87,12 +92,13 @@ class Vocabulary:
 
         Where one rule could apply at two places, the left one goes first.
         """
+        left = self._edge(b, 0)
         known = not any(
             (m := self.rank.get((x, y))) is not None and born_x < m < until_x and born_y < m <= until_y
-            for x, born_x, until_x in self.right[a]
-            for y, born_y, until_y in self.left[b]
+            for x, born_x, until_x in self._edge(a, 1)
+            for y, born_y, until_y in left
         )
-        if len(self.follows) > 1_000_000:
+        if len(self.follows) > 500_000:
             self.follows.clear()
         self.follows[a << 32 | b] = known
         return known
@@ -187,7 +193,7 @@ class Encoder:
 
 class Decoder:
     def __init__(self, source: str):
-        table = Vocabulary(source).bytes_of
+        table = byte_strings(json.loads(source))
         self.sizes = np.array([len(b) for b in table] + [0], dtype=np.int64)  # the last stands for unknown ids
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.flat = np.frombuffer(b"".join(table), dtype=np.uint8)
@@ -231,6 +237,14 @@ def _vocabulary_text(path: str) -> str:
         return f.read()
 
 
+def chunks(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, about CHUNK characters at a time."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(texts), 0))
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield texts.slice(a, b - a).to_pylist()
+
+
 def encoder(df: DataFrame, path: str):
     """An Arrow function from texts to token ids; the vocabulary file (a few MB) is read here and broadcast."""
     source = df.sparkSession.sparkContext.broadcast(_vocabulary_text(path))
@@ -239,15 +253,28 @@ def encoder(df: DataFrame, path: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _of(Encoder, source.value)
         for texts in batches:
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(texts), 0))
-            chunk = np.cumsum(sizes) // CHUNK
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
-            parts = [own.encode(texts.slice(a, b - a).to_pylist()) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.concat_arrays(parts)
+            yield pa.concat_arrays([own.encode(part) for part in chunks(texts)])
 
     return encode
 
 
+def round_tripper(df: DataFrame, path: str):
+    """An Arrow function from texts to (token ids, text of those ids): both steps in one Python worker."""
+    source = df.sparkSession.sparkContext.broadcast(_vocabulary_text(path))
+
+    @F.arrow_udf("struct<ids:array<int>,text:string>")
+    def trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode, decode = _of(Encoder, source.value).encode, _of(Decoder, source.value).decode
+        for texts in batches:
+            parts = []
+            for part in chunks(texts):
+                ids = encode(part)
+                parts.append(pa.StructArray.from_arrays([ids, decode(ids)], names=["ids", "text"]))
+            yield pa.concat_arrays(parts)
+
+    return trip
+
+
 def decoder(df: DataFrame, path: str):
     source = df.sparkSession.sparkContext.broadcast(_vocabulary_text(path))
 
@@ -270,3 +297,10 @@ def encoded(df: DataFrame, path: str, text: str | Column = "text", out: str = "t
 def decoded(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the text of a column of token ids."""
     return clear(df, out).withColumn(out, decoder(df, path)(ids))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "token_ids", back: str = "decoded") -> DataFrame:
+    """df with the token ids of a text column and what they decode to, in one pass over the texts."""
+    named = clear(df.withColumn("_text", F.col(text).cast("string")), out, back)
+    both = named.withColumn("_both", round_tripper(df, path)("_text")).drop("_text")
+    return both.withColumns({out: F.col("_both.ids"), back: F.col("_both.text")}).drop("_both")

@@ -146,8 +146,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_trie_bpe")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encoded(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
-    both = bpe.decoded(ids, path)
+    both = bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), path)
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -121,10 +121,11 @@ def judge(docs: DataFrame, carry: list[str], text: str = "text", host: str = "so
     The counts are computed in one pass and written with the carried columns; the rates
     by host then read two columns of that table, and verdicts return by a join on the host.
     """
-    df = clear(docs, "_host").withColumn("_host", F.col(host).cast("string"))
+    df = clear(docs, "__host").withColumn("__host", F.col(host).cast("string"))
     have = [c for c in carry if c.lower() not in MEASURES]
-    rows = stored(measured(df, text).select("_host", *have, *MEASURES), "quality-rules")
-    verdicts = host_verdicts(rows, "_host", max_rate).select(F.col("host").alias("_host"), "host_rate", "host_rejected")
-    out = clear(rows, "host_rate", "host_rejected", "kept").join(verdicts, "_host", "left")
+    rows = stored(measured(df, text).select("__host", *have, *MEASURES), "quality-rules")
+    verdicts = host_verdicts(rows, "__host", max_rate).select(F.col("host").alias("__host"), "host_rate", "host_rejected")
+    verdicts = stored(verdicts, "host-verdicts")  # its size is known then: rows move only if it is too large to broadcast
+    out = clear(rows, "host_rate", "host_rejected", "kept").join(verdicts, "__host", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False))
-    return out.withColumn("kept", kept).drop("_host", "host_rejected")
+    return out.withColumn("kept", kept).drop("__host", "host_rejected")

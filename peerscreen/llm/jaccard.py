@@ -316,7 +316,8 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x"))
     sizes = sizes.groupBy("m", "s", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     units = stored(members.join(sizes, "key").select("key", "node", "blocks"), "units")
-    prints = printed.join(units.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sig")
+    prints = printed.where("node is not null").select("node", "n", "sig").dropDuplicates(["node"])  # copies merge before they move
+    prints = prints.join(units.select("node").distinct(), "node", "left_semi")
     dealt = _dealt(units, "blocks").join(prints, "node")
     links = dealt.groupBy("bin").applyInArrow(lambda t: _prune(threshold, tolerance)(t), "a binary, b binary")
 
@@ -359,6 +360,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         keys = keys.select(F.col("doc_id").alias("__told_id"), F.col("text_hash").alias("__told_hash"))
         return df.join(keys, (F.col("__hash") == F.col("__told_hash")) & F.col("__id").eqNullSafe(F.col("__told_id")), how)
 
-    single = rows(told.where("not keeper or n > 1"), "left_anti")
-    repeated = rows(told.where("keeper and n > 1"), "left_semi").dropDuplicates(["__id", "__hash"])
+    # Each side is written by itself: a small one is then known to be small, and texts stay where they are.
+    single = rows(stored(told.where("not keeper or n > 1"), "dropped"), "left_anti")
+    repeated = rows(stored(told.where("keeper and n > 1"), "repeated"), "left_semi").dropDuplicates(["__id", "__hash"])
     return single.unionByName(repeated).drop("__id", "__hash")

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from peerscreen.llm.common import stored
+
 SEGMENT = 256
 
 # Fixed values of the template.
@@ -34,8 +36,9 @@ def _turns(chats: DataFrame) -> DataFrame:
         F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
-    ).distinct()
-    return rows.withColumns({"key": F.coalesce("key", F.lit("")), "segment": F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(1 << 62))).cast("long")})
+    )
+    rows = rows.withColumns({"key": F.coalesce("key", F.lit("")), "segment": F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(1 << 62))).cast("long")})
+    return rows.repartition("key", "segment").distinct()  # texts move once; windows and groups by segment find them in place
 
 
 def prefixes(chats: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def prefixes(chats: DataFrame) -> DataFrame:
 
 def maximal(chats: DataFrame) -> DataFrame:
     """(key, conv_id, n_copies) of conversations that no longer one continues, one of each."""
-    rows = prefixes(chats)
+    rows = stored(prefixes(chats), "prefixes")
     whole = rows.where("last").groupBy("h0", "h1").agg(F.min(F.struct("conv_id", "key")).alias("one"), F.count(F.lit(1)).alias("n_copies"))
     inner = rows.where(~F.col("last")).select("h0", "h1").distinct()
     return whole.join(inner, ["h0", "h1"], "left_anti").select("one.key", "n_copies")

@@ -7,11 +7,11 @@ with the smallest id stays. What is left is rendered.
 
 Hashes roll by xor over position-bound turn hashes, so that a conversation of any length can be
 cut into segments of SEGMENT turn numbers, rolled within them, and joined up by the segments'
-totals; texts too are rendered one row per conversation and segment.
+totals; texts too are rendered by segment and then put together, one row per conversation.
 
 Edge cases: turns are taken in the order of turn, role, text, and a turn logged twice counts once;
 null roles render as "unknown" and null texts as empty, and both differ from empty ones in the
-hash; a null turn number comes first; rows without a conversation id form one conversation
+hash; null turn numbers, roles and texts come last, as in SQL; rows without a conversation id form one conversation
 whose id is null; markers inside texts are broken up; an empty table gives no rows.
 """
 
@@ -29,6 +29,10 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 SEEDS = (17, 71)
 
 
+def _order() -> list[Column]:
+    return [c for name in ("turn", "role", "text") for c in (F.isnull(name).alias(f"no_{name}"), F.col(name))]
+
+
 def _turns(chats: DataFrame) -> DataFrame:
     rows = chats.select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("key"),
@@ -37,13 +41,13 @@ def _turns(chats: DataFrame) -> DataFrame:
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
     )
-    rows = rows.withColumns({"key": F.coalesce("key", F.lit("")), "segment": F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(1 << 62))).cast("long")})
+    rows = rows.withColumns({"key": F.coalesce("key", F.lit("")), "segment": F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(1 << 62)).cast("long")})
     return rows.repartition("key", "segment").distinct()  # texts move once; windows and groups by segment find them in place
 
 
 def prefixes(chats: DataFrame) -> DataFrame:
     """(key, conv_id, h0, h1, last): the rolling hash after every turn; `last` marks whole conversations."""
-    ordered = Window.partitionBy("key", "segment").orderBy("turn", "role", "text")
+    ordered = Window.partitionBy("key", "segment").orderBy(*_order())
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     hashed = _turns(chats).withColumns({f"g{i}": F.xxhash64(F.lit(s), "turn", F.isnull("role"), "role", F.isnull("text"), "text") for i, s in enumerate(SEEDS)})
     rolled = hashed.withColumns({f"p{i}": F.bit_xor(f"g{i}").over(so_far) for i in range(2)}).withColumn("final", F.lead("key").over(ordered).isNull())
@@ -71,11 +75,24 @@ def rendered_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), broken(role, "unknown"), F.lit("\n"), broken(text, ""), F.lit(CLOSE))
 
 
-def rendered(chats: DataFrame) -> DataFrame:
-    """(conv_id, segment, n_turns, n_copies, text) of the maximal conversations."""
+def _parts(chats: DataFrame) -> DataFrame:
     turns = _turns(chats).join(maximal(chats), "key")
-    one = F.struct("turn", "role", "text", rendered_turn(F.col("role"), F.col("text")).alias("line"))
+    one = F.struct(*_order(), rendered_turn(F.col("role"), F.col("text")).alias("line"))
     out = turns.groupBy("key", "segment").agg(
         F.first("conv_id").alias("conv_id"), F.first("n_copies").alias("n_copies"), F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(one)).alias("lines")
     )
-    return out.select("conv_id", "segment", "n_turns", "n_copies", F.array_join(F.col("lines")["line"], "").alias("text"))
+    return out.select("key", "conv_id", "segment", "n_turns", "n_copies", F.array_join(F.col("lines")["line"], "").alias("text"))
+
+
+def rendered(chats: DataFrame) -> DataFrame:
+    """(conv_id, segment, n_turns, n_copies, text) of the maximal conversations, cut into segments."""
+    return _parts(chats).drop("key")
+
+
+def whole(chats: DataFrame) -> DataFrame:
+    """(conv_id, segment, n_turns, n_copies, text): one row per maximal conversation, as segment 0."""
+    out = _parts(chats).groupBy("key").agg(
+        F.first("conv_id").alias("conv_id"), F.lit(0).cast("long").alias("segment"), F.sum("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"),
+        F.array_sort(F.collect_list(F.struct("segment", "text"))).alias("parts"),
+    )
+    return out.select("conv_id", "segment", "n_turns", "n_copies", F.array_join(F.col("parts")["text"], "").alias("text"))

@@ -228,7 +228,7 @@ select conv_id, 0::bigint as segment, cast(len(m.l) as bigint) as n_turns, n_cop
 
 @query("op2_snapshot_collapse", OP2_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.rendered(table(spark, folder, "conversations"))
+    return chat.whole(table(spark, folder, "conversations"))
 
 
 @query("op5_site_bayes")

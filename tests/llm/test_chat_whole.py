@@ -31,3 +31,20 @@ def test_long_conversations_are_one_row(spark, tmp_path):
     got = sorted(tuple(r[c] for c in ("conv_id", "segment", "n_turns", "n_copies", "text")) for r in chat.whole(df).collect())
     assert [g[:3] for g in got] == [(1, 0, 700), (3, 0, 256), (4, 0, 11), (5, 0, 5), (7, 0, 4), (8, 0, 2)]
     assert got == oracle(df, tmp_path)
+
+
+def test_blocks_are_bounded_and_change_nothing(spark, tmp_path, monkeypatch):
+    """Repeated, null and equal turn numbers, and many rows without an id, none of which a range of turn numbers bounds."""
+    rows = long_chats() + [(None, i % 7 or None, "user", f"no id {i}") for i in range(900)] * 2
+    rows += [(20, 4, "user", f"same turn {i}") for i in range(600)] + [(21, None, "user", f"no turn {i}") for i in range(600)]
+    rows += [(22, 4, "user", "same turn 0")] + [(23, i * 300, "user", f"sparse {i}") for i in range(500)] + [(24, i * 300, "user", f"sparse {i}") for i in range(450)]
+    df = spark.createDataFrame(rows, SHAPE)
+    names = ("conv_id", "segment", "n_turns", "n_copies", "text")
+    told = lambda d: sorted((tuple(r[c] for c in names) for r in d.collect()), key=str)
+    plain, cut = told(chat.whole(df)), told(chat.rendered(df))
+    monkeypatch.setattr(chat, "BLOCK_ROWS", 100)
+    blocks = chat._turns(df).groupBy("key", "block").count()
+    assert blocks.agg({"count": "max"}).first()[0] <= 300 and blocks.where("key = 'c23'").count() > 1 and blocks.where("key = ''").count() > 1
+    assert told(chat.whole(df)) == plain and told(chat.rendered(df)) == cut
+    with_id = sorted(p for p in plain if p[0] is not None)
+    assert len(with_id) == len(plain) - 1 and with_id == oracle(df, tmp_path)

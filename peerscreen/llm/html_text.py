@@ -1,6 +1,9 @@
 """Main text of web pages by tree scoring.
 
-A page is cut into tags and text and read into a small tree. Boilerplate elements go first.
+A page is cut into tags and text and read into a small tree. Boilerplate elements go first: those
+of such a tag, role or style always, those of such a class or id unless they hold much of the page's
+paragraph text or are a titled part of it, which lowers their points instead. Where little or
+nothing is left, the page is scored again without the names.
 Every paragraph then passes points for its length and commas to its ancestors, less with each
 step up; a container's points are discounted by the share of its text that sits in links. The
 best container (or the article or main element around it) is taken together with those of its
@@ -8,7 +11,7 @@ siblings that score or read like text, and the text of its blocks, in page order
 
 Edge cases: null and empty pages give an empty text; unclosed and stray tags are repaired the way
 browsers do for paragraphs and list items; a page without any block element is one block; a page
-whose blocks all are boilerplate gives an empty text; very long pages are read whole, in one pass,
+whose blocks all are boilerplate without a paragraph gives an empty text; very long pages are read whole, in one pass,
 and deep nesting is walked without recursion.
 """
 
@@ -56,6 +59,16 @@ BOILERPLATE = re.compile(
     re.I,
 )
 LAYOUT = re.compile(r"\b(?:has|with|no|without)-[-\w]*", re.I)  # says what a page has, not what an element is
+#: Names of what other people wrote or sell: these are spared only where nothing else is on the page.
+FOREIGN = re.compile(
+    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|comments?|commentlist|disqus|replies|reply|respond|newsletter|subscri\w+|signup|login|pagination|pager)(?:$|[-_\s\d])",
+    re.I,
+)
+CONTENT = re.compile(r"(?:^|\s)(?:\w{1,4}-)?(?:content|main|page|layout|article|entry|story)(?:$|\s)", re.I)
+STATE = re.compile(r"(?:^|(?<=\s))[-\w]+-(?:left|right|top|bottom|fixed|sticky|static|open|opened|closed|on|off|active|visible|hidden|collapsed|expanded|none)(?=$|\s)", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Paragraph characters of the page that a named element must hold to be spared, and that a result must have to stand.
+SPARED_SHARE, LEAST_SHARE, NAMED_POINTS = 0.4, 0.25, -5.0
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog"}
 READABLE = {"p", "h1", "h2", "h3", "h4", "blockquote", "pre", "figure", "table", "ul", "ol", "dl"}
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd"}
@@ -64,13 +77,15 @@ CONTAINERS = {"article", "main", "section", "div", "td", "body", "blockquote", "
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "points", "chars", "linked")
+    __slots__ = ("name", "parent", "children", "dropped", "named", "points", "chars", "linked", "text")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool):
         self.name, self.parent, self.dropped = name, parent, dropped
         self.children: list[Node | str] = []
         self.points = TAG_POINTS.get(name, 0.0)
         self.chars = self.linked = 0
+        self.named = ""  # what its class or id says: "", "id", "class" or "foreign"
+        self.text = 0  # characters of the paragraphs in it
 
 
 def _is_boilerplate(name: str, attributes: str, within_article: bool) -> bool:
@@ -80,8 +95,6 @@ def _is_boilerplate(name: str, attributes: str, within_article: bool) -> bool:
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and BOILERPLATE.search(LAYOUT.sub("", value)):
-            return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -89,6 +102,21 @@ def _is_boilerplate(name: str, attributes: str, within_article: bool) -> bool:
     return False
 
 
+def _named(name: str, attributes: str) -> str:
+    if not attributes or name in HEADINGS or name in ("html", "body", "article", "main"):
+        return ""
+    found = ""
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), LAYOUT.sub("", value.strip("\"'"))
+        if key == "class" and CONTENT.search(value):
+            value = STATE.sub("", value)  # as in "content sidebar-right"
+        if key in ("class", "id") and BOILERPLATE.search(value):
+            if FOREIGN.search(value):
+                return "foreign"
+            found = "class" if key == "class" or found == "class" else "id"
+    return found
+
+
 def tree(html: str) -> Node:
     root = node = Node("body", None, False)
     at, n = 0, len(html)
@@ -140,6 +168,7 @@ def tree(html: str) -> Node:
             if last is not None:
                 node = close(last)
         child = Node(name, node, node.dropped or _is_boilerplate(name, m[3], opened["article"] > 0))
+        child.named = _named(name, m[3])
         node.children.append(child)
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue
@@ -194,9 +223,11 @@ def blocks(parts: list[Node]) -> list[str]:
     return out
 
 
-def _score(nodes: list[Node]) -> None:
-    """Sizes from below, then points of paragraphs to their ancestors."""
+def _own_text(nodes: list[Node]) -> dict[int, list[str]]:
+    """Texts of paragraphs and containers by id(), with those of their inline elements; sizes from below."""
     own_text: dict[int, list[str]] = {}
+    for node in nodes:
+        node.chars = node.linked = 0
     for node in reversed(nodes):
         text = [c for c in node.children if isinstance(c, str)]
         node.chars += sum(len(t.strip()) for t in text)
@@ -209,14 +240,20 @@ def _score(nodes: list[Node]) -> None:
             own_text.setdefault(id(node.parent), []).extend(own_text.pop(id(node), []) + text)
         else:
             own_text.setdefault(id(node), []).extend(text)
+    ids = {id(n) for n in nodes if n.name in PARAGRAPHS or n.name in CONTAINERS}
+    return {k: text for k, text in own_text.items() if k in ids and sum(map(len, text)) >= 25}
+
+
+def _score(nodes: list[Node]) -> None:
+    """Points of paragraphs to their ancestors."""
+    own_text = _own_text(nodes)
+    for node in nodes:
+        node.points = NAMED_POINTS if node.named else TAG_POINTS.get(node.name, 0.0)
     for node in nodes:
         text = own_text.get(id(node))
-        if not text or node.name not in PARAGRAPHS and node.name not in CONTAINERS:
-            continue
-        size = sum(map(len, text))
-        if size < 25:
+        if not text:
             continue
-        points = 1.0 + sum(t.count(",") + t.count("，") + t.count("、") for t in text) + min(size // 100, 3)
+        points = 1.0 + sum(t.count(",") + t.count("，") + t.count("、") for t in text) + min(sum(map(len, text)) // 100, 3)
         up = node.parent if node.name in PARAGRAPHS else node
         for share in (1.0, 0.5, 1 / 3, 0.25):
             if up is None:
@@ -225,10 +262,56 @@ def _score(nodes: list[Node]) -> None:
             up = up.parent
 
 
+def _judge(nodes: list[Node]) -> tuple[list[Node], list[Node]]:
+    """Named elements to drop, and those of foreign names. Counts paragraph characters, without foreign ones, as Node.text."""
+    own_text = _own_text(nodes)
+    for node in reversed(nodes):
+        if node.named != "foreign":
+            node.text += sum(map(len, own_text.get(id(node), ())))
+            if node.parent is not None:
+                node.parent.text += node.text
+    whole = nodes[0].text
+    inside: set[int] = set()  # id() of articles and what is in them
+    for node in nodes:
+        if node.name in ("article", "main") or id(node.parent) in inside:
+            inside.add(id(node))
+
+    def part(node: Node) -> bool:
+        """Whether an id names a part of the text, not what the element is for."""
+        if node.named != "id" or not node.text or node.linked >= 0.25 * node.chars:
+            return False
+        first = next((c.name for c in node.children if isinstance(c, Node)), "")
+        return node.name == "section" or first in HEADINGS or id(node) in inside
+
+    foreign = [n for n in nodes if n.named == "foreign"]
+    return [n for n in nodes if n.named in ("id", "class") and not part(n) and (not n.text or n.text < SPARED_SHARE * whole)], foreign
+
+
+def _mark(parts: list[Node], dropped: bool) -> None:
+    for node in parts:
+        node.dropped = dropped
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = tree(html)
+    nodes = list(_in_order(root))
+    if not any(n.named for n in nodes):
+        return _best_text(root)
+    named, foreign = _judge(nodes)
+    _mark(named + foreign, True)
+    text = _best_text(root)
+    if len(text) < LEAST_SHARE * root.text:
+        _mark(named, False)
+        text = max(text, _best_text(root), key=len)
+    if not text and any(n.chars >= 25 for n in foreign):
+        _mark(named + foreign, False)
+        text = _best_text(root)
+    return text
+
+
+def _best_text(root: Node) -> str:
     nodes = list(_in_order(root))
     _score(nodes)
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from peerscreen.llm.common import clear
 
@@ -177,15 +177,26 @@ class Scorer:
         return 1 / (1 + np.exp(-(smooth_max(z, text, len(texts))[0] + self.bias)))
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[np.ndarray, float]:
-    """The model from labelled rows outside the held-out fifth; at most about max_rows and max_chars of them."""
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(text, toxic) of labelled rows outside the held-out fifth, each pair of doc_id and text once, in the order of
+    a hash of both: never more than max_rows rows or max_chars characters (nor a text of more than these)."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = rows.select("doc_id", F.length("text").alias("n")).join(known, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars")).first()
-    share = min(1.0, max_rows / max(sizes["n"], 1), max_chars / max(sizes["chars"] or 0, 1))
-    taken = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = rows.join(taken, "doc_id").orderBy("doc_id", "text").toArrow()
+    rows = rows.withColumns({"h": F.xxhash64("doc_id", "text", F.lit(11)), "n": F.length("text").cast("long")}).where(F.col("n") <= max_chars)
+    sizes = rows.select("doc_id", "h", "n").distinct().join(known, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars")).first()
+    drawn = min((max_rows << 64) // max(sizes["n"], 1), (max_chars << 64) // max(sizes["chars"] or 0, 1))  # of 2^64 hashes
+    if drawn < 1 << 64:
+        rows = rows.where(F.col("h") < drawn - (1 << 63))
+    order = ["h", "doc_id", "text"]
+    taken = rows.join(known, "doc_id").distinct().orderBy(*order).limit(max_rows)
+    so_far = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over at most max_rows rows
+    return taken.withColumn("so_far", so_far).where(F.col("so_far") <= max_chars).orderBy(*order).select("text", "toxic")
+
+
+def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[np.ndarray, float]:
+    """The model from a sample of labelled rows; see sampled()."""
+    sample = sampled(docs, labels, max_rows, max_chars).toArrow()
     return fit(sample["text"].to_pylist(), np.array(sample["toxic"].to_pylist(), dtype=np.int64))
 
 

@@ -109,13 +109,16 @@ K = Q.KEY
 # --- A: sources and sinks --------------------------------------------------------
 
 
-def csv_copy(spark, d, df=None):
+def csv_copy(spark, d, df=None, per_file=0):
     path = export.scratch(spark, "csv")
     df = df if df is not None else READ(spark, d)
-    df.write.option("header", True).csv(path)
+    df.write.option("header", True).option("maxRecordsPerFile", per_file).csv(path)
     return path
 
 
+UPLOAD_ROWS = 20_000  # within the bounds of an upload, 10 MB and 100 000 rows
+
+
 @query("A-01_csv_scan", Q.query(Q.READINGS, select=f"select {K}, hours, round(measurement_value, 6) + 0.0 as measurement_value, upper_limit from readings"))
 def _(spark, d):
     text = csv_source.read_text(spark, csv_copy(spark, d))
@@ -134,7 +137,7 @@ def _(spark, d):
 
 @query("A-01_intake_job", Q.query(Q.READINGS, select=f"select {K}, count(*) as readings, round(sum(measurement_value), 6) + 0.0 as total from readings group by {K}"))
 def _(spark, d):
-    got = csv_source.ingest_files(spark, csv_copy(spark, d), max_bytes=2**31 - 1, max_rows=2**40)
+    got = csv_source.ingest_files(spark, csv_copy(spark, d, per_file=UPLOAD_ROWS))
     return rounded(got.clean.groupBy(*KEY).agg(F.count(F.lit(1)).alias("readings"), F.sum("measurement_value").alias("total")))
 
 

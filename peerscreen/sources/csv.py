@@ -6,6 +6,7 @@ import csv
 import io
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import batched
 from urllib.parse import unquote
 
 import pandas as pd
@@ -112,6 +113,7 @@ NOT_DECODED, NOT_PARSED, TOO_MANY, OTHER_ENCODING = "ENCODING_INVALID", "CSV_PAR
 MAX_ROWS = 100_000
 # --- end of fixed values ---------------------------------------------------------
 
+AT_ONCE = 10_000  # records of a file in memory as dicts
 PARSED = "path string, line int, cells map<string,string>, code string, column_name string"
 
 
@@ -170,9 +172,9 @@ def parse_files(
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                found = list(parse_file(bytes(row.content), required, max_rows))
-                out = pd.DataFrame(found, columns=["line", "cells", "code", "column_name"]).assign(path=row.path)
-                yield out.astype({"line": "Int32"})[["path", "line", "cells", "code", "column_name"]]
+                for found in batched(parse_file(bytes(row.content), required, max_rows), AT_ONCE):
+                    out = pd.DataFrame(list(found), columns=["line", "cells", "code", "column_name"]).assign(path=row.path)
+                    yield out.astype({"line": "Int32"})[["path", "line", "cells", "code", "column_name"]]
 
     return ordering.stable(texts.mapInPandas(parse, PARSED).unionByName(refused))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from peerscreen.llm import bpe, chat, decontaminate, html_text, jaccard, quality_classifier, quality_rules, secrets, toxicity, warc
+from peerscreen.llm import bpe, chat, decontaminate, hard_negatives, html_text, jaccard, kmeans_tree, quality_classifier, quality_rules, secrets, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -236,3 +236,44 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     df = quality_classifier.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
     held = F.coalesce(quality_classifier.held_out(F.col("doc_id")), F.lit(False))
     return df.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))
+
+
+@query("op11_block_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    df = whitening.whitened(table(spark, folder, "embeddings"))
+    each = df.select("vec_id", "n", "deviation", F.posexplode("whitened").alias("at", "whitened"), "explained", "identity_error")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+@query("op12_kmeans_tree")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeans_tree.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP13_SQL = """
+with r as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+t as (select * from r where len(v) = (select len(v) from r group by 1 order by count(*) desc, 1 desc limit 1)),
+n as (select *, row_number() over () as row from t),
+s as (
+  select a.row as anchor, a.vec_id as anchor_id, a.label = x.label as same, x.vec_id, x.row, cast(list_inner_product(a.v, x.v) as bigint) as score
+  from n a join n x on a.vec_id <> x.vec_id or a.label <> x.label where a.vec_id % 100 = 0),
+p as (
+  select anchor, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor order by score desc, vec_id) as place
+  from s where same qualify place <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by p.anchor, place order by score desc, vec_id) as int) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor, anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+
+@query("op13_segment_bounds", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=label)

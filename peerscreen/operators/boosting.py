@@ -1,27 +1,25 @@
-"""Learned forecasts: ridge and boosted trees on Spark ML, scored from small tree tables.
+"""Learned forecasts: ridge on Spark ML and boosted trees, scored from small tree tables.
 
-Fitting is Spark ML throughout (GBTRegressor for squared error; for the other
-losses a loop of DecisionTreeRegressor on pseudo-residuals whose leaf values are
-one bounded grouped aggregate). A fitted ensemble is a few thousand nodes, so
-scoring evaluates it in Arrow batches where the rows lie: no shuffle.
+Boosted trees of all configurations, training sets and seeds asked for are grown together
+(operators/trees.py). A fitted ensemble is a few thousand nodes, so scoring evaluates it in
+Arrow batches where the rows lie: no shuffle.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from peerscreen import schema as S
 from peerscreen.functions.columns import finite
-from peerscreen.operators import forecast, ordering
+from peerscreen.operators import forecast, ordering, selection, trees
 
 OBJECTIVES = ["squared", "absolute", "pseudo_huber", "quantile"]
 
@@ -35,12 +33,10 @@ BOOST_PARAMS = {
     "columns": 0.9,
     "penalty": 10.0,
 }
-HIST_PARAMS = {"rounds": 250, "depth": 4, "learning_rate": 0.07, "min_rows": 20, "subsample": 1.0, "columns": 1.0, "penalty": 5.0}
+HIST_PARAMS = {"rounds": 250, "depth": None, "leaves": 15, "learning_rate": 0.07, "min_rows": 20, "subsample": 1.0, "columns": 1.0, "penalty": 5.0}
 RIDGE_PENALTY = 10.0
 HUBER_SLOPE = 0.05
 # --- end of fixed values -----------------------------------------------------------
-MAX_BINS = 64
-CHECKPOINT_EVERY = 10
 
 
 @dataclass(frozen=True)
@@ -91,17 +87,10 @@ RIDGE = CandidateConfig("ridge", "ridge", "normalized", "v1_all")
 # --- end of fixed values ---------------------------------------------------------------
 
 
-def medians(df: DataFrame, columns: Sequence[str], *, hot: bool | None = None) -> DataFrame:
+def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: the exact median of every column, 0 for a column without values."""
-    tall = df.select(
-        F.explode(
-            F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[finite(c) for c in columns]))
-        ).alias("_c", "_x")
-    )
-    if hot is None:
-        hot = ordering.has_hot_group(tall, ["_c"])
-    found = ordering.group_median(tall, ["_c"], "_x", "_m", hot=hot)
-    return found.agg(*[F.coalesce(F.max(F.when(F.col("_c") == c, F.col("_m"))), F.lit(0.0)).alias(c) for c in columns])
+    found = selection.column_quantiles(df, columns, [0.5])
+    return df.sparkSession.createDataFrame([[found.get(c, [0.0])[0] for c in columns]], ", ".join(f"`{c}` double" for c in columns))
 
 
 def features_array(columns: Sequence[str], fill: dict[str, float]) -> Column:
@@ -111,35 +100,13 @@ def features_array(columns: Sequence[str], fill: dict[str, float]) -> Column:
 # --- tree tables ----------------------------------------------------------------------
 
 
-def tree_arrays(model) -> dict[str, list]:
-    """A Spark ML regression tree as parallel arrays, nodes in depth-first order."""
-    out: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "value": [], "cover": []}
-
-    def walk(node) -> int:
-        at = len(out["feature"])
-        for key, empty in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1)):
-            out[key].append(empty)
-        out["value"].append(float(node.prediction()))
-        out["cover"].append(float(node.impurityStats().count()))
-        if node.subtreeDepth() > 0:
-            split = node.split()
-            out["feature"][at] = int(split.featureIndex())
-            out["threshold"][at] = float(split.threshold())
-            out["left"][at] = walk(node.leftChild())
-            out["right"][at] = walk(node.rightChild())
-        return at
-
-    walk(model._java_obj.rootNode())
-    return out
-
-
 @dataclass
 class Ensemble:
     """Weighted trees over a fixed feature order plus a constant."""
 
     columns: list[str]
     base: float
-    trees: list[dict]  # feature, threshold, left, right, value, cover, weight
+    trees: list[dict]  # feature, threshold, left, right, value, cover, gain, weight
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
@@ -186,16 +153,16 @@ class Ensemble:
         return out
 
     def importance(self) -> dict[str, float]:
-        """Share of squared-value spread removed by the splits of each feature."""
-        gain = dict.fromkeys(self.columns, 0.0)
+        """Mean gain of the splits of each feature, as shares of one."""
+        gain, splits = dict.fromkeys(self.columns, 0.0), dict.fromkeys(self.columns, 0)
         for t in self.trees:
-            mean, spread = _node_moments(t)
-            for at, f in enumerate(t["feature"]):
+            for f, g in zip(t["feature"], t["gain"], strict=True):
                 if f >= 0:
-                    l, r = t["left"][at], t["right"][at]
-                    gain[self.columns[f]] += t["weight"] ** 2 * max(spread[at] - spread[l] - spread[r], 0.0)
-        total = sum(gain.values()) or 1.0
-        return {c: g / total for c, g in gain.items()}
+                    gain[self.columns[f]] += g
+                    splits[self.columns[f]] += 1
+        mean = {c: gain[c] / splits[c] if splits[c] else 0.0 for c in self.columns}
+        total = sum(mean.values()) or 1.0
+        return {c: g / total for c, g in mean.items()}
 
 
 def _leaf_paths(t: dict):
@@ -218,115 +185,6 @@ def _leaf_paths(t: dict):
             stack.append((child, {**path, f: step}))
 
 
-def _node_moments(t: dict):
-    mean, spread = [0.0] * len(t["value"]), [0.0] * len(t["value"])
-    for at in range(len(t["value"]) - 1, -1, -1):
-        if t["feature"][at] < 0:
-            mean[at] = t["value"][at]
-            continue
-        l, r = t["left"][at], t["right"][at]
-        n = t["cover"][l] + t["cover"][r]
-        mean[at] = (t["cover"][l] * mean[l] + t["cover"][r] * mean[r]) / n if n else 0.0
-        spread[at] = spread[l] + spread[r] + t["cover"][l] * (mean[l] - mean[at]) ** 2 + t["cover"][r] * (mean[r] - mean[at]) ** 2
-    return mean, spread
-
-
-# --- fitting ----------------------------------------------------------------------------
-
-
-def _fit_squared(rows: DataFrame, columns: list[str], p: dict, seed: int) -> Ensemble:
-    """Columns needed in ``rows``: _x (array), _y (encoded target)."""
-    data = rows.select(array_to_vector("_x").alias("features"), F.col("_y").alias("label"))
-    learner = GBTRegressor(
-        maxIter=p["rounds"],
-        stepSize=p["learning_rate"],
-        maxDepth=p["depth"],
-        minInstancesPerNode=p["min_rows"],
-        subsamplingRate=p["subsample"],
-        featureSubsetStrategy="all" if p["columns"] >= 1.0 else str(p["columns"]),
-        maxBins=MAX_BINS,
-        lossType="squared",
-        seed=seed,
-        checkpointInterval=CHECKPOINT_EVERY,
-    )
-    model = learner.fit(data)
-    trees = [tree_arrays(t) | {"weight": float(w)} for t, w in zip(model.trees, model.treeWeights)]
-    return Ensemble(columns, 0.0, trees)
-
-
-def _pseudo(objective: str, residual: Column, p: dict) -> Column:
-    """What the next tree is fitted to."""
-    if objective == "absolute":
-        return F.signum(residual)
-    if objective == "quantile":
-        q = float(p["quantile"])
-        return F.when(residual > 0, q).otherwise(q - 1.0)
-    scaled = residual / float(p.get("huber_slope", HUBER_SLOPE))
-    return residual / F.sqrt(1.0 + scaled * scaled)
-
-
-def _leaf_value(objective: str, residual: Column, p: dict) -> Column:
-    """Aggregate giving the leaf's step: a bounded sketch or two sums."""
-    if objective == "absolute":
-        return F.percentile_approx(residual, 0.5, 10_000)
-    if objective == "quantile":
-        return F.percentile_approx(residual, float(p["quantile"]), 10_000)
-    scaled = residual / float(p.get("huber_slope", HUBER_SLOPE))
-    curve = F.pow(1.0 + scaled * scaled, F.lit(-1.5))
-    return F.sum(residual / F.sqrt(1.0 + scaled * scaled)) / (F.sum(curve) + float(p["penalty"]))
-
-
-def _fit_loop(rows: DataFrame, columns: list[str], objective: str, p: dict, seed: int, centered: bool) -> Ensemble:
-    """Boosting over regression trees; each round is one tree fit and one grouped aggregate.
-
-    The running prediction is cut from its lineage every few rounds.
-    """
-    level = float(p["quantile"]) if objective == "quantile" else 0.5
-    base = 0.0 if centered else float(rows.agg(F.percentile_approx("_y", level, 10_000)).first()[0] or 0.0)
-    work = ordering.stable(rows.select("_id", "_x", "_y").withColumn("_f", F.lit(base)))
-    rng = random.Random(seed)
-    keep = max(1, math.ceil(len(columns) * p["columns"]))
-    trees: list[dict] = []
-    for number in range(p["rounds"]):
-        used = sorted(rng.sample(range(len(columns)), keep))
-        residual = F.col("_y") - F.col("_f")
-        chosen = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit(number)), F.lit(1_000_000)) < int(p["subsample"] * 1_000_000)
-        vector = array_to_vector(F.array(*[F.element_at("_x", i + 1) for i in used]))
-        fit_rows = work.filter(chosen).select(
-            vector.alias("features"), _pseudo(objective, residual, p).alias("label"), residual.alias("_r")
-        )
-        learner = DecisionTreeRegressor(
-            maxDepth=p["depth"], minInstancesPerNode=p["min_rows"], maxBins=MAX_BINS, seed=seed + number, leafCol="_leaf"
-        )
-        model = learner.fit(fit_rows)
-        steps = {
-            int(r["_leaf"]): float(r["v"])
-            for r in model.transform(fit_rows).groupBy("_leaf").agg(_leaf_value(objective, F.col("_r"), p).alias("v")).collect()
-        }  # at most 2^depth rows
-        tree = tree_arrays(model)
-        leaf = 0
-        for at, f in enumerate(tree["feature"]):
-            if f >= 0:
-                tree["feature"][at] = used[f]
-            else:
-                tree["value"][at] = steps.get(leaf, 0.0)
-                leaf += 1
-        trees.append(tree | {"weight": float(p["learning_rate"])})
-        work = work.withColumn("_f", F.col("_f") + p["learning_rate"] * tree_column(tree, F.col("_x")))
-        if (number + 1) % CHECKPOINT_EVERY == 0:
-            work = ordering.stable(work)
-    return Ensemble(columns, base, trees)
-
-
-def tree_column(tree: dict, x: Column, at: int = 0) -> Column:
-    """One shallow tree as a CASE expression."""
-    f = tree["feature"][at]
-    if f < 0:
-        return F.lit(float(tree["value"][at]))
-    go_left = F.element_at(x, f + 1) <= float(tree["threshold"][at])
-    return F.when(go_left, tree_column(tree, x, tree["left"][at])).otherwise(tree_column(tree, x, tree["right"][at]))
-
-
 @dataclass
 class FittedModel:
     config: CandidateConfig
@@ -356,9 +214,7 @@ class FittedModel:
         return forecast.gate(decoded, gate) if gate is not None else decoded
 
     def transform(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        missing = [c for c in self.columns if c not in df.columns] if self.config.model not in forecast.BASELINES else []
-        if missing:
-            raise ValueError(f"missing feature columns: {', '.join(missing)}")
+        require_columns(self.config, df)
         return df.withColumn(name, self.prediction(df))
 
     def contributions(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -404,6 +260,42 @@ def _raw_udf(ensemble: Ensemble):
     return raw
 
 
+def joint_predictions(models: Sequence[FittedModel]) -> Column:
+    """array<double>: the forecast of every model for a row; gaps are filled by each model's own medians."""
+    learned = [m for m in models if m.config.model not in forecast.BASELINES]
+    columns = list(dict.fromkeys(c for m in learned for c in m.columns))
+    own = [([columns.index(c) for c in m.columns], np.array([m.medians[c] for c in m.columns]), m.ensemble, m.linear) for m in learned]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def raw(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        every = np.vstack(x.to_numpy()).astype(float)
+        out = []
+        for at, fill, ensemble, linear in own:
+            filled = np.where(np.isfinite(every[:, at]), every[:, at], fill)
+            out.append(ensemble.raw(filled) if linear is None else filled @ np.array(linear[0]) + linear[1])
+        return pd.Series(list(np.column_stack(out)))
+
+    raws = raw(F.array(*[finite(c) for c in columns])) if learned else None
+    if raws is None:
+        return F.array(*[forecast.baseline(m.config.model) for m in models])
+
+    def each(r: Column) -> Column:
+        found, at = [], 0
+        for m in models:
+            c = m.config
+            if c.model in forecast.BASELINES:
+                found.append(forecast.baseline(c.model))
+                continue
+            at += 1
+            decoded = forecast.decode_prediction(F.element_at(r, at), c.target)
+            found.append(forecast.gate(decoded, c.params["gate"]) if c.params.get("gate") is not None else decoded)
+        return F.array(*found)
+
+    return F.element_at(F.transform(F.array(raws), each), 1)
+
+
 def _share_udf(ensemble: Ensemble):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def shares(x: pd.Series) -> pd.Series:
@@ -421,32 +313,78 @@ def top_contributions(contributions: DataFrame, keys: Sequence[str], n: int = 5)
     return ranked.filter(F.col("rank") <= n)
 
 
-def fit_model(config: CandidateConfig, train: DataFrame, *, seed: int = 26170, hot: bool | None = None) -> FittedModel:
-    """Fit on rows with a known ``y``; medians come from these rows only."""
-    if config.model in forecast.BASELINES:
-        return FittedModel(config, {})
-    columns = config.feature_columns
-    # One row, one number per feature.
-    fill = medians(train, columns, hot=hot).first().asDict()
-    encoded = forecast.encode_target(F.col("y"), config.target)
-    rows = train.filter(F.col("y").isNotNull()).select(
-        F.xxhash64(*S.KEY4).alias("_id"), features_array(columns, fill).alias("_x"), encoded.alias("_y")
+@dataclass(frozen=True)
+class Job:
+    """One model of a joint fit."""
+
+    config: CandidateConfig
+    seed: int = 26170
+    member: int = 0  # which training set
+
+
+def settings(config: CandidateConfig) -> dict:
+    return {**BOOST_PARAMS, "huber_slope": HUBER_SLOPE, **{k: v for k, v in config.params.items() if k not in ("gate", "bags")}}
+
+
+def require_columns(config: CandidateConfig, df: DataFrame) -> None:
+    """Fails with the names of the features that df lacks."""
+    missing = [c for c in config.feature_columns if c not in df.columns]
+    if missing and config.model not in forecast.BASELINES:
+        raise ValueError(f"missing feature columns: {', '.join(missing)}")
+
+
+def fit_many(table: DataFrame, jobs: Sequence[Job], members: Sequence[Column] | None = None) -> list[FittedModel]:
+    """All jobs on one table, boosted ones in the same passes over it.
+
+    members[i] says which rows belong to training set i (default: one set of all); rows without ``y``
+    belong to none. Medians
+    of a training set come from its rows only.
+    """
+    members = members or [F.lit(True)]
+    for job in jobs:
+        require_columns(job.config, table)
+    learned = [j for j in jobs if j.config.model not in forecast.BASELINES]
+    if not learned:
+        return [FittedModel(j.config, {}) for j in jobs]
+    columns = list(dict.fromkeys(c for j in learned for c in j.config.feature_columns))
+    targets = list(dict.fromkeys(j.config.target for j in learned))
+    rows = table.filter(F.col("y").isNotNull()).select(
+        F.xxhash64(*S.KEY4).alias("id"),
+        F.array(*[finite(c) for c in columns]).alias("x"),
+        F.array(*[forecast.encode_target(F.col("y"), t) for t in targets]).alias("targets"),
+        F.array(*[F.coalesce(m, F.lit(False)) for m in members]).alias("members"),
     )
-    if config.model == "ridge":
-        return FittedModel(config, fill, linear=_fit_ridge(rows))
-    p = BOOST_PARAMS | {k: v for k, v in config.params.items() if k not in ("gate", "bags")}
-    # Canonical placement: learners draw samples per partition, so the fit must
-    # not depend on the order in which rows arrived.
-    rows = ordering.stable(rows.repartition("_id").sortWithinPartitions("_id"))
-    bags = int(config.params.get("bags", 1))
-    parts = []
-    for k in range(bags):
-        if config.objective == "squared":
-            parts.append(_fit_squared(rows, columns, p, seed + k))
-        else:
-            parts.append(_fit_loop(rows, columns, config.objective, p, seed + k, config.target.endswith("residual_over_persistence")))
-    trees = [t | {"weight": t["weight"] / bags} for e in parts for t in e.trees]
-    return FittedModel(config, fill, ensemble=Ensemble(columns, sum(e.base for e in parts) / bags, trees))
+    rows = ordering.stable(rows)
+    fits, owner = [], []
+    for at, j in enumerate(jobs):
+        if j.config.model == "boosted":
+            own = tuple(columns.index(c) for c in j.config.feature_columns)
+            for k in range(int(j.config.params.get("bags", 1))):
+                centred = j.config.target.endswith("residual_over_persistence")
+                fits.append(trees.Fit(own, targets.index(j.config.target), j.member, j.config.objective, settings(j.config), j.seed + k, centred))
+                owner.append(at)
+    fill, grown = trees.grown(rows, len(columns), len(members), fits)
+    out = []
+    for at, j in enumerate(jobs):
+        c = j.config
+        if c.model in forecast.BASELINES:
+            out.append(FittedModel(c, {}))
+            continue
+        own = {name: float(fill[j.member][columns.index(name)]) for name in c.feature_columns}
+        if c.model == "ridge":
+            x = F.array(*[F.coalesce(F.element_at("x", columns.index(n) + 1), F.lit(own[n])) for n in c.feature_columns])
+            part = rows.filter(F.element_at("members", j.member + 1)).select(x.alias("_x"), F.element_at("targets", targets.index(c.target) + 1).alias("_y"))
+            out.append(FittedModel(c, own, linear=_fit_ridge(part)))
+            continue
+        parts = [g for g, o in zip(grown, owner) if o == at]
+        every = [t | {"weight": t["weight"] / len(parts)} for g in parts for t in g.trees]
+        out.append(FittedModel(c, own, ensemble=Ensemble(c.feature_columns, sum(g.base for g in parts) / len(parts), every)))
+    return out
+
+
+def fit_model(config: CandidateConfig, train: DataFrame, *, seed: int = 26170) -> FittedModel:
+    """Fit on rows with a known ``y``; medians come from these rows only."""
+    return fit_many(train, [Job(config, seed)])[0]
 
 
 def _fit_ridge(rows: DataFrame) -> tuple[list[float], float]:

@@ -1,7 +1,7 @@
 """Training, cross-validation, interval experiments and persisted models.
 
-Only the loop over fits runs on the driver; every fit, score and metric is a
-Spark job. Out-of-fold rows of all configurations end up in one table.
+All models of a job, whatever their configuration, fold and seed, are fitted in the same passes over
+one table, and score it in one pass. Out-of-fold rows of all configurations end up in one table.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from peerscreen.functions.columns import refuse_null
 from peerscreen.operators import boosting, forecast, iforest, intervals, metrics, ordering, splits
 from peerscreen.operators.boosting import CandidateConfig, Ensemble, FittedModel
 
-FORMAT = "peerscreen-bundle-1"
+FORMAT = "peerscreen-bundle-2"
 
 
 # --- cross-validation ---------------------------------------------------------------
@@ -42,28 +42,32 @@ def run_cross_validation(
 ) -> DataFrame:
     """Out-of-fold rows: the held-out batches of every fold, scored by a model that never saw them.
 
-    ``train_filter`` thins the training rows only (prevalence read-out).
+    ``train_filter`` thins the training rows only (prevalence read-out). ``train_mae`` is the error
+    of the row's model on its own training rows.
     """
     names = [c.name for c in configs]
     if len(set(names)) != len(names):
-        raise ValueError("configuration names must be unique")
+        raise ValueError("two configurations share a name")
+    return _out_of_fold(table, [(c.name, c, seed) for c in configs], folds, train_filter)
+
+
+def _out_of_fold(table: DataFrame, named: Sequence[tuple[str, CandidateConfig, int]], folds: DataFrame, train_filter=None) -> DataFrame:
+    """One row per held-out row and (name, configuration, seed)."""
     table = ordering.stable(table.join(folds.select("batch_id", "fold"), "batch_id"))
     numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # the number of folds
-    parts = []
-    for config in configs:
-        if config.model in forecast.BASELINES:
-            parts.append(FittedModel(config, {}).transform(table).withColumn("config", F.lit(config.name)))
-            continue
-        for k in numbers:
-            train = table.filter(F.col("fold") != k)
-            train = train.filter(train_filter) if train_filter is not None else train
-            model = boosting.fit_model(config, train, seed=seed)
-            held = model.transform(table.filter(F.col("fold") == k))
-            parts.append(held.withColumn("config", F.lit(config.name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    inside = [(F.col("fold") != k) & (F.coalesce(train_filter, F.lit(False)) if train_filter is not None else F.lit(True)) for k in numbers]
+    jobs = [boosting.Job(c, seed, at) for _, c, seed in named for at in range(len(numbers))]
+    models = boosting.fit_many(table, jobs, inside)
+    scored = ordering.stable(table.withColumn("_p", boosting.joint_predictions(models)))
+    error = lambda i: F.avg(F.when(inside[i % len(numbers)], F.abs(F.element_at("_p", i + 1) - F.col("y"))))
+    fitted = scored.agg(*[error(i).alias(f"e{i}") for i in range(len(jobs))]).first()  # one number per model
+    own = F.array_position(F.array(*[F.lit(k) for k in numbers]), F.col("fold")).cast("int")
+    entries = []
+    for at, (name, _, _) in enumerate(named):
+        first = at * len(numbers)
+        errors = F.array(*[F.lit(fitted[f"e{first + i}"]).cast("double") for i in range(len(numbers))])
+        entries.append(F.struct(F.lit(name).alias("config"), F.element_at("_p", own + first).alias("pred"), F.element_at(errors, own).alias("train_mae")))
+    return scored.withColumn("_e", F.explode(F.array(*entries))).select(*table.columns, "_e.*")
 
 
 def cross_validation_report(oof: DataFrame, configs: Sequence[CandidateConfig] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,7 +75,8 @@ def cross_validation_report(oof: DataFrame, configs: Sequence[CandidateConfig] =
     excluded = [c.name for c in configs if c.model not in forecast.BASELINES and uses_conditions(c)]
     oof = ordering.stable(oof)
     pooled = metrics.forecast_metrics(oof, keys=["config"])
-    per_fold = ordering.stable(metrics.forecast_metrics(oof, keys=["config", "fold"], medians=False))
+    fitted = oof.groupBy("config", "fold").agg(F.max("train_mae").alias("train_mae"))
+    per_fold = ordering.stable(metrics.forecast_metrics(oof, keys=["config", "fold"], medians=False).join(fitted, ["config", "fold"]))
     per_batch = ordering.stable(metrics.batch_mae(oof))
     return metrics.comparison_table(pooled, per_fold, per_batch, excluded), per_fold, per_batch
 
@@ -82,12 +87,9 @@ def uses_conditions(config: CandidateConfig) -> bool:
 
 def run_seed_check(table: DataFrame, config: CandidateConfig, folds: DataFrame, seeds: Sequence[int]) -> DataFrame:
     """Pooled error of one configuration per seed."""
-    out = None
-    for seed in seeds:
-        oof = run_cross_validation(table, [config], folds, seed=seed)
-        one = metrics.forecast_metrics(oof, keys=["config"], medians=False).withColumn("seed", F.lit(int(seed)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    oof = _out_of_fold(table, [(str(int(x)), config, int(x)) for x in seeds], folds)
+    found = metrics.forecast_metrics(oof, keys=["config"], medians=False)
+    return found.withColumns({"seed": F.col("config").cast("int"), "config": F.lit(config.name)})
 
 
 def run_prevalence_readout(
@@ -138,21 +140,30 @@ def run_interval_experiment(
     """
     table = ordering.stable(table.join(folds.select("batch_id", "fold"), "batch_id"))
     numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # the number of folds
-    out = None
+    batches = table.select("batch_id", "profile_id", "fold").distinct()
+    reserved = None
     for k in numbers:
-        train, held = table.filter(F.col("fold") != k), table.filter(F.col("fold") == k)
-        chosen = ordering.stable(splits.calibration_batches(train.select("batch_id", "profile_id").distinct(), per_profile=per_profile, rotation=k))
-        if not chosen.filter("not enough").isEmpty():
-            raise ValueError("not enough batches per profile to reserve a calibration subset")
-        fit_rows = train.join(chosen, "batch_id", "left_anti")
-        cal = train.join(chosen.select("batch_id"), "batch_id", "left_semi")
-        model = boosting.fit_model(config, fit_rows, seed=seed)
-        cal = ordering.stable(model.transform(cal).withColumn("residual", F.col("y") - F.col("pred")))
-        held = ordering.stable(model.transform(held))
-        part = _fold_intervals(cal, held, alpha)
+        one = splits.calibration_batches(batches.filter(F.col("fold") != k).drop("fold"), per_profile=per_profile, rotation=k).withColumn("_k", F.lit(k))
+        reserved = one if reserved is None else reserved.unionByName(one)
+    reserved = ordering.stable(reserved)
+    if not reserved.filter("not enough").isEmpty():
+        raise ValueError("a profile has too few batches to set some aside for calibration")
+    held_out = reserved.groupBy("batch_id").agg(F.collect_set("_k").alias("_reserved"))  # folds for which a batch calibrates
+    table = ordering.stable(table.join(held_out, "batch_id", "left").withColumn("_reserved", F.coalesce("_reserved", F.array().cast("array<int>"))))
+    calibrates = lambda k: F.array_contains("_reserved", k)
+    configs = [config, *(quantile_configs(config, alpha) if with_quantiles else ())]
+    jobs = [boosting.Job(c, seed, at) for at in range(len(numbers)) for c in configs]
+    models = boosting.fit_many(table, jobs, [(F.col("fold") != k) & ~calibrates(k) for k in numbers])
+    scored = ordering.stable(table.withColumn("_p", boosting.joint_predictions(models)))
+    out = None
+    for at, k in enumerate(numbers):
+        own = {n: F.element_at("_p", at * len(configs) + i + 1) for i, n in enumerate(("pred", "_ql", "_qh")[: len(configs)])}
+        here = scored.withColumns(own).drop("_p", "_reserved")
+        cal = scored.withColumns(own).filter((F.col("fold") != k) & calibrates(k)).drop("_p", "_reserved").withColumn("residual", F.col("y") - F.col("pred"))
+        held = here.filter(F.col("fold") == k)
+        part = _fold_intervals(cal.drop("_ql", "_qh"), held.drop("_ql", "_qh"), alpha)
         if with_quantiles:
-            low, high = (boosting.fit_model(c, fit_rows, seed=seed) for c in quantile_configs(config, alpha))
-            part = part.unionByName(_cqr(low, high, cal, held, alpha))
+            part = part.unionByName(_widened(cal, held, alpha))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -176,13 +187,15 @@ def _fold_intervals(cal: DataFrame, held: DataFrame, alpha: float) -> DataFrame:
 
 
 def _cqr(low: FittedModel, high: FittedModel, cal: DataFrame, held: DataFrame, alpha: float) -> DataFrame:
-    """Conformalized quantile regression: widen the quantile band by one order statistic."""
-    keep = [c for c in held.columns if c not in ("lower", "upper")]
+    """Conformalized quantile regression by two fitted models."""
+    band = lambda df: high.transform(low.transform(df, "_ql"), "_qh")
+    return _widened(band(cal), band(held), alpha)
 
-    def band(df):
-        df = high.transform(low.transform(df, "_ql"), "_qh")
-        return df.withColumns({"_lo": F.least("_ql", "_qh"), "_hi": F.greatest("_ql", "_qh")})
 
+def _widened(cal: DataFrame, held: DataFrame, alpha: float) -> DataFrame:
+    """The band between _ql and _qh, widened by one order statistic of what calibration rows miss it by."""
+    keep = [c for c in held.columns if c not in ("lower", "upper", "_ql", "_qh")]
+    band = lambda df: df.withColumns({"_lo": F.least("_ql", "_qh"), "_hi": F.greatest("_ql", "_qh")})
     scores = band(cal).withColumn("_s", F.greatest(F.col("_lo") - F.col("y"), F.col("y") - F.col("_hi")))
     rank = lambda n: F.ceil((n + 1).cast("double") * F.lit(1.0 - alpha))
     adjust = ordering.order_statistics(scores, [], "_s", {"_adjust": rank}).select("_adjust")
@@ -242,7 +255,7 @@ class Bundle:
 
         name = model or self.selected
         if name not in self.models:
-            raise ValueError(f"Unknown forecast model: {name}")
+            raise ValueError(f"the bundle has no model named {name}")
         scored = self.detector.score(features, contamination=self.contamination)
         stratified = name == boosting.FINAL.name
         out = screening.decide_all(
@@ -280,30 +293,33 @@ def train_bundle(
         if not splits.set_overlaps(a, b).isEmpty():
             raise ValueError("whole batches and devices must be disjoint between the tables")
     if train.select("batch_id").distinct().limit(5).count() < 5:
-        raise ValueError("At least five training batches are needed for internal model selection")
+        raise ValueError("selecting a model takes five training batches or more")
     baselines = [CandidateConfig(n, n) for n in forecast.BASELINES]
     inner = splits.make_batch_split(train, test_fraction=0.25, seed=seed)
-    inner_fit, inner_val = splits.select_side(train, inner, "train"), ordering.stable(splits.select_side(train, inner, "test"))
-    mae = {}
-    for c in [*baselines, *configs]:
-        model = boosting.fit_model(c, inner_fit, seed=seed)
-        mae[c.name] = model.transform(inner_val).agg(F.avg(F.abs(F.col("pred") - F.col("y")))).first()[0]
+    sides = ordering.stable(train.join(inner.select("batch_id", F.col("side").alias("_side")), "batch_id"))
+    every = [*baselines, *configs]
+    # Models for selection and the final ones are fitted together.
+    fitted = boosting.fit_many(sides, [boosting.Job(c, seed, at) for at in (0, 1) for c in every], [F.col("_side") == "train", F.lit(True)])
+    probes, finals = fitted[: len(every)], fitted[len(every) :]
+    errors = [F.avg(F.abs(F.element_at("_p", i + 1) - F.col("y"))).alias(f"e{i}") for i in range(len(every))]
+    tried = sides.filter(F.col("_side") == "test").withColumn("_p", boosting.joint_predictions(probes)).agg(*errors).first()
+    mae = {c.name: tried[f"e{i}"] for i, c in enumerate(every)}
     selected = min(mae, key=mae.get)
-    models = {c.name: boosting.fit_model(c, train, seed=seed) for c in [*baselines, *configs]}
+    models = {c.name: m for c, m in zip(every, finals)}
     detector = iforest.fit(train, seed=seed)
     radii = {}
     for name, model in models.items():
         residuals = model.transform(calibration).withColumn("residual", F.col("y") - F.col("pred"))
         radius = intervals.conformal_radius(residuals, "residual", alpha=alpha).first()["radius"]
         if radius is None:
-            raise ValueError("Too few calibration components for a finite interval at this alpha")
+            raise ValueError("the calibration table is too small for this alpha")
         radii[name] = float(radius)
     margins = []
     if boosting.FINAL.name in models:
         residuals = models[boosting.FINAL.name].transform(calibration).withColumn("residual", F.col("y") - F.col("pred"))
         margins = [r.asDict() for r in intervals.stratified_margins(residuals, "residual", alpha=alpha).collect()]  # three rows
         if any(m[c] is None for m in margins for c in intervals.MARGINS):
-            raise ValueError("Too few calibration components for asymmetric bounds at this alpha")
+            raise ValueError("the calibration table is too small for one-sided bounds at this alpha")
     present = [c for c in S.CONDITION_FEATURES if c in train.columns]
     edge = train.agg(*[f(c).alias(f"{n}_{c}") for c in present for n, f in (("lo", F.min), ("hi", F.max))]).first() if present else {}
     ranges = {c: (edge[f"lo_{c}"], edge[f"hi_{c}"]) for c in present if edge[f"lo_{c}"] is not None}
@@ -350,7 +366,7 @@ def frozen_review(bundle_model: FittedModel, named: dict[str, DataFrame]) -> Dat
     for name, table in named.items():
         ids = table.select("batch_id", "component_id").distinct()
         if seen is not None and not splits.set_overlaps(seen, ids).isEmpty():
-            raise ValueError(f"Overlapping identities in {name}")
+            raise ValueError(f"table {name} shares a batch or device with an earlier one")
         seen = ids if seen is None else seen.unionByName(ids)
         both = bundle_model.transform(table).withColumn("config", F.lit(bundle_model.config.name)).unionByName(
             table.withColumn("pred", forecast.persistence()).withColumn("config", F.lit("persistence"))
@@ -380,9 +396,9 @@ def save_model(model: FittedModel, spark: SparkSession, path: str) -> None:
     }
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("errorifexists").text(os.path.join(path, "model"))
     if model.ensemble is not None:
-        shape = "number int, weight double, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>, cover array<double>"
+        shape = "number int, weight double, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>, cover array<double>, gain array<double>"
         rows = [
-            (i, t["weight"], t["feature"], t["threshold"], t["left"], t["right"], t["value"], t["cover"])
+            (i, t["weight"], t["feature"], t["threshold"], t["left"], t["right"], t["value"], t["cover"], t["gain"])
             for i, t in enumerate(model.ensemble.trees)
         ]
         spark.createDataFrame(rows, shape).coalesce(1).write.mode("errorifexists").parquet(os.path.join(path, "trees"))
@@ -392,15 +408,15 @@ def load_model(spark: SparkSession, path: str) -> FittedModel:
     """Refuses another format or a feature list that differs from the configuration's."""
     facts = json.loads(spark.read.text(os.path.join(path, "model")).first()["value"])
     if facts.get("format") != FORMAT:
-        raise ValueError("Unsupported model version")
+        raise ValueError("the model was saved in another format")
     config = CandidateConfig(**facts["config"])
     if facts["feature_columns"] != config.feature_columns:
-        raise ValueError("Unsupported feature schema")
+        raise ValueError("the model was saved for other features")
     model = FittedModel(config, facts["medians"])
     if facts["linear"] is not None:
         model.linear = (facts["linear"][0], facts["linear"][1])
     if facts["base"] is not None:
-        keys = ["weight", "feature", "threshold", "left", "right", "value", "cover"]
+        keys = ["weight", "feature", "threshold", "left", "right", "value", "cover", "gain"]
         rows = spark.read.parquet(os.path.join(path, "trees")).orderBy("number").collect()  # a few hundred trees
         model.ensemble = Ensemble(config.feature_columns, facts["base"], [{k: r[k] for k in keys} for r in rows])
     return model
@@ -434,7 +450,7 @@ def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     facts = json.loads(spark.read.text(os.path.join(path, "manifest")).first()["value"])
     if facts.get("format") != FORMAT or facts.get("feature_columns") != S.FORECAST_FEATURES:
-        raise ValueError("Unsupported model version or feature schema")
+        raise ValueError("the bundle was saved in another format or for other features")
     read = lambda n: spark.read.parquet(os.path.join(path, "detector", n))
     detector = iforest.IsolationModel(facts["detector_keys"], facts["detector_columns"], read("forest"), read("medians"), read("train_scores"))
     models = {n: load_model(spark, os.path.join(path, "models", n)) for n in facts["models"]}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Hashable, Iterator, Sequence
+from functools import partial, reduce
 from typing import Any
 
 import numpy as np
@@ -25,9 +26,18 @@ MANY = 16  # partitions beyond which partial results are merged in rounds
 
 
 def gathered(blocks, part: Callable[[Any], Any], merge: Callable[[Any, Any], Any]):
-    """part(block) of all blocks, merged: within partitions, then among them."""
-    each = blocks.map(part)
-    return each.reduce(merge) if blocks.getNumPartitions() <= MANY else each.treeReduce(merge)
+    """part(block) of all blocks, merged: within partitions, then among them.
+
+    Functions of modules and partial() calls of them travel by name, which keeps short jobs short.
+    """
+    if blocks.getNumPartitions() > MANY:
+        return blocks.mapPartitions(partial(_within, part, merge)).treeReduce(merge)
+    return reduce(merge, blocks.context.runJob(blocks, partial(_within, part, merge)))
+
+
+def _within(part: Callable, merge: Callable, blocks: Iterator) -> list:
+    found = [part(b) for b in blocks]
+    return [reduce(merge, found)] if found else []
 
 
 def ordered(values: np.ndarray) -> np.ndarray:
@@ -59,6 +69,27 @@ def added(a, b, shift: int):
     return "counts", names, np.bincount(at, weights=np.concatenate([a[2], b[2]])).astype(np.int64)
 
 
+def _pass(values: Callable, wanted: dict | None, shift: int, block) -> dict:
+    """What one block says about each group, or about each open bucket of a group."""
+    found = {}
+    for group, x in values(block).items():
+        if wanted is None:
+            if len(x):
+                found[group] = told(ordered(x), shift)
+        elif group in wanted:
+            keys = ordered(x)
+            upper = keys >> np.uint64(shift + BITS)
+            at = np.minimum(np.searchsorted(wanted[group], upper), len(wanted[group]) - 1)
+            hit = wanted[group][at] == upper
+            for k in np.unique(at[hit]):
+                found[group, int(wanted[group][k])] = told(keys[hit & (at == k)], shift)
+    return found
+
+
+def _merged(shift: int, a: dict, b: dict) -> dict:
+    return a | {k: added(a[k], v, shift) if k in a else v for k, v in b.items()}
+
+
 def order_statistics(
     blocks, values: Callable[[Any], dict[Hashable, np.ndarray]], ranks: Callable[[Hashable, int], Sequence[int]]
 ) -> dict[Hashable, dict[int, float]]:
@@ -71,27 +102,7 @@ def order_statistics(
     for shift in (48, 32, 16, 0):
         wanted = None if open_ is None else {g: np.array(sorted(b), dtype=np.uint64) for g, b in open_.items()}
 
-        def part(block, wanted=wanted, shift=shift):
-            found = {}
-            for group, x in values(block).items():
-                if wanted is None:
-                    if len(x):
-                        found[group] = told(ordered(x), shift)
-                elif group in wanted:
-                    keys = ordered(x)
-                    upper = keys >> np.uint64(shift + BITS)
-                    at = np.minimum(np.searchsorted(wanted[group], upper), len(wanted[group]) - 1)
-                    hit = wanted[group][at] == upper
-                    for k in np.unique(at[hit]):
-                        found[group, int(wanted[group][k])] = told(keys[hit & (at == k)], shift)
-            return found
-
-        def merge(a, b, shift=shift):
-            for k, v in b.items():
-                a[k] = added(a[k], v, shift) if k in a else v
-            return a
-
-        found = gathered(blocks, part, merge)
+        found = gathered(blocks, partial(_pass, values, wanted, shift), partial(_merged, shift))
         if open_ is None:
             size = lambda t: len(t[1]) if t[0] == "keys" else int(t[2].sum())
             asked = {g: [(r, r) for r in ranks(g, size(t))] for g, t in found.items()}

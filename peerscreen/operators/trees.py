@@ -25,6 +25,7 @@ import pickle
 import random
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def blocks_of(df: DataFrame, models: int) -> RDD:
 
 def fills(blocks: RDD, features: int, sets: int) -> np.ndarray:
     """Exact medians per training set and feature, 0 without values."""
-    got = selection.quantiles(blocks, lambda b: _finite(b, features, sets), lambda g: (0.5,))
+    got = selection.quantiles(blocks, partial(_finite, features=features, sets=sets), lambda g: (0.5,))
     return np.array([[got.get((s, f), [0.0])[0] for f in range(features)] for s in range(sets)])
 
 
@@ -109,7 +110,7 @@ def edges(blocks: RDD, features: int, sets: int, fill: np.ndarray) -> list[list[
     def ranks(group, n):
         return sorted({max(math.ceil(n * i / BINS) - 1, 0) for i in range(1, BINS)})
 
-    got = selection.order_statistics(blocks, lambda b: _filled(b, features, sets, fill), ranks)
+    got = selection.order_statistics(blocks, partial(_filled, features=features, sets=sets, fill=fill), ranks)
     return [[np.unique(list(got.get((s, f), {}).values())) for f in range(features)] for s in range(sets)]
 
 
@@ -227,13 +228,17 @@ def _added(a: dict, b: dict) -> dict:
     return {m: a[m] + v for m, v in b.items()}
 
 
-def _updated(b: Block, fits: Sequence[Fit], steps: dict[int, tuple[Shape, np.ndarray]]) -> Block:
+def _updated(b: Block, members: list[int], steps: dict[int, tuple[Shape, np.ndarray]]) -> Block:
     forecasts = b["forecasts"].copy()
     for m, (tree, values) in steps.items():
-        forecasts[:, m] += values[tree.at(b["bins"][fits[m].member])]
+        forecasts[:, m] += values[tree.at(b["bins"][members[m]])]
     return b | {"forecasts": forecasts}
 
 
+def _each(change, blocks: Iterator[Block]) -> Iterator[Block]:
+    return map(change, blocks)
+
+
 def _leaf_residuals(b: Block, fits: Sequence[Fit], number: int, trees: dict[int, Shape]) -> dict[tuple[int, int], np.ndarray]:
     out = {}
     for m, tree in trees.items():
@@ -386,7 +391,7 @@ def _leaf_values(state: RDD, fits: Sequence[Fit], number: int, finals: dict[int,
         out[m] = np.array([0.0 if n.feature >= 0 else -n.gradient / (n.curvature + p["penalty"]) if n.rows else 0.0 for n in nodes])
     chosen = {m: shape(nodes) for m, nodes in finals.items() if selects(fits[m].objective)}
     if chosen:
-        got = selection.quantiles(state, lambda b: _leaf_residuals(b, fits, number, chosen), lambda g: (fits[g[0]].params.get("quantile", 0.5),))
+        got = selection.quantiles(state, partial(_leaf_residuals, fits=fits, number=number, trees=chosen), lambda g: (fits[g[0]].params.get("quantile", 0.5),))
         for m, tree in chosen.items():
             out[m] = np.array([got.get((m, k), [0.0])[0] if f < 0 else 0.0 for k, f in enumerate(tree.feature)])
     return {m: v * fits[m].params["learning_rate"] for m, v in out.items()}
@@ -402,16 +407,17 @@ def grown(df: DataFrame, features: int, sets: int, fits: Sequence[Fit]) -> tuple
         return fill, []
     cuts = edges(raw, features, sets, fill)
     start = _bases(raw, fits)
-    state = raw.map(lambda b: _binned(b, cuts, fill, start)).persist(level)
+    state = raw.mapPartitions(partial(_each, partial(_binned, cuts=cuts, fill=fill, start=start))).persist(level)
+    members = [f.member for f in fits]
     old, out, steps = raw, [Grown(float(s), []) for s in start], {}
     for number in range(max(f.params["rounds"] for f in fits)):
         if steps:
-            old, state = state, state.map(lambda b, steps=steps: _updated(b, fits, steps)).persist(level)
+            old, state = state, state.mapPartitions(partial(_each, partial(_updated, members=members, steps=steps))).persist(level)
             if number % CHECKPOINT_EVERY == 0:
                 state.checkpoint()
         growths = {m: Growth(f, columns_of(f, number)) for m, f in enumerate(fits) if number < f.params["rounds"]}
         while asked := {m: (shape(g.nodes), g.asked, g.columns) for m, g in growths.items() if g.asked}:
-            sums = selection.gathered(state, lambda b, n=number, asked=asked: histograms(b, fits, n, asked), _added)
+            sums = selection.gathered(state, partial(histograms, fits=fits, number=number, asked=asked), _added)
             for m, s in sums.items():
                 growths[m].learn(s)
             if old is not None:

@@ -49,8 +49,9 @@ def tables(rng, short):
 
 
 @pytest.mark.parametrize("short", [False, True])
-@pytest.mark.parametrize(("size", "gram"), [(10, 5), (10, 7), (6, 3)])
-def test_against_brute_force(spark, short, size, gram):
+@pytest.mark.parametrize(("size", "gram", "filter_"), [(10, 5, 50_000), (10, 7, 0), (6, 3, 50_000), (10, 5, 0)])
+def test_against_brute_force(spark, monkeypatch, short, size, gram, filter_):
+    monkeypatch.setattr(decontaminate, "FILTER", filter_)  # 0: all fingerprints meet in a shuffled join
     docs, items = tables(random.Random(size + short), short)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")

@@ -1,16 +1,18 @@
 """Byte-pair encoding and decoding with a prefix trie of words.
 
-A text is cut into words by the vocabulary's own pattern. Distinct words go into a byte trie
-whose nodes hold the last token of the encoding of their prefix. That state follows from the
+A text is cut into words by the vocabulary's own pattern. The distinct words of a batch make a byte
+trie whose nodes hold the last token of the encoding of their prefix. That state follows from the
 states above: the last token of a prefix is the one vocabulary entry t that ends it and that the
-encoding of what lies before t may be followed by. Prefixes that words share are therefore
-encoded once, and a word's tokens are read off by walking its path back, token by token.
+encoding of what lies before t may be followed by. The trie is walked depth first as it is built:
+sorted words are its leaves in that order, so the path to the last word is all that has to be kept,
+states of the prefix that the next word shares with it stand, and only the rest is added. Prefixes
+that words share are therefore encoded once, and a word's tokens are read off by walking its path
+back, token by token.
 
-Each task keeps its own trie from batch to batch and starts a new one when it has grown to a
-fixed size, so memory is bounded and nothing is shuffled; results don't depend on it.
+Each task keeps the tokens of the words it has met from batch to batch and starts anew when they
+have grown to MAX_WORDS, so memory is bounded and nothing is shuffled; results don't depend on it.
 
-Edge cases: a null text counts as empty and has no tokens; a word longer than LONG bytes runs
-through the same states without entering the trie; the strings of special tokens in a text become
+Edge cases: a null text counts as empty and has no tokens; a word of any length is one path; the strings of special tokens in a text become
 those tokens; null or unknown ids are skipped in decoding, null lists give an empty text, and bytes
 that aren't UTF-8 become replacement characters.
 """
@@ -31,8 +33,7 @@ from peerscreen.llm.common import clear
 # Fixed value: how byte-level vocabularies cut text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-LONG = 64
-MAX_NODES = 300_000
+MAX_WORDS = 400_000
 CHUNK = 1_000_000  # characters encoded at a time
 
 
@@ -74,6 +75,7 @@ class Vocabulary:
             for k in range(1, len(self.bytes_of[i])):
                 self.ending.setdefault(self.bytes_of[i][k:], -1)
         self.ending |= {self.bytes_of[i]: i for i in named.values()}
+        self.sizes = [len(x) for x in self.bytes_of]
         self.follows: dict[int, bool] = {}  # a << 32 | b, as far as asked
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float, float]]:
@@ -115,57 +117,54 @@ class Encoder:
         self.restart()
 
     def restart(self) -> None:
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node
-        self.state: list[int] = [-1]  # of each node
-        self.slot: dict[str, int] = {}
-        self.tokens = np.zeros(1024, dtype=np.int32)
-        self.starts: list[int] = [0]
-        for name, i in self.vocabulary.special.items():
-            self._keep(name, [i])
-
-    def _keep(self, word: str, ids: list[int]) -> None:
-        at = self.starts[-1]
-        if at + len(ids) > len(self.tokens):
-            self.tokens = np.concatenate([self.tokens, np.zeros(max(len(self.tokens), len(ids)), dtype=np.int32)])
-        self.tokens[at : at + len(ids)] = ids
-        self.slot[word] = len(self.starts) - 1
-        self.starts.append(at + len(ids))
-
-    def insert(self, word: str) -> None:
-        """Go down the trie, adding the nodes and states that are missing, and keep the word's tokens.
-
-        last[d] is the last token of the encoding of the first d bytes.
+        special = self.vocabulary.special
+        self.slot: dict[str, int] = {name: k for k, name in enumerate(special)}
+        self.tokens = np.array(list(special.values()), dtype=np.int32)
+        self.starts = np.arange(len(special) + 1, dtype=np.int64)
+
+    def walk(self, words: list[str]) -> None:
+        """Go over the trie of sorted words and keep the tokens of each.
+
+        last[d] is the last token of the encoding of the first d bytes of the current path.
         """
-        raw, last, node = word.encode("utf-8", "surrogatepass"), [-1], 0
         ending, known, may_follow = self.vocabulary.ending, self.vocabulary.follows.get, self.vocabulary.may_follow
-        child, state = self.child, self.state
-        in_trie = len(raw) <= LONG
-        for end in range(1, len(raw) + 1):
-            if in_trie:
-                key = node << 8 | raw[end - 1]
-                node = child.get(key, 0)
-                if node:
-                    last.append(state[node])
-                    continue
-            size = 1
-            while True:
-                token = ending[raw[end - size : end]]  # a shorter ending fits before this can fail
-                if token >= 0:
-                    if size == end:
-                        break
-                    fits = known(last[end - size] << 32 | token)
-                    if fits or fits is None and may_follow(last[end - size], token):
-                        break
-                size += 1
-            last.append(token)
-            if in_trie:
-                child[key] = node = len(state)
-                state.append(token)
-        ids, end = [], len(raw)
-        while end:
-            ids.append(last[end])
-            end -= len(self.vocabulary.bytes_of[last[end]])
-        self._keep(word, ids[::-1])
+        sizes = self.vocabulary.sizes
+        last, path, first = [-1], b"", len(self.starts) - 1
+        tokens: list[int] = []
+        ends: list[int] = []
+        for k, word in enumerate(words):
+            raw = word.encode("utf-8", "surrogatepass")
+            length, shared = len(raw), 0
+            for x, y in zip(raw, path):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            path = raw
+            for end in range(shared + 1, length + 1):
+                size = 1
+                while True:
+                    token = ending[raw[end - size : end]]  # a shorter ending fits before this can fail
+                    if token >= 0:
+                        if size == end:
+                            break
+                        before = last[end - size]
+                        fits = known(before << 32 | token)
+                        if fits or fits is None and may_follow(before, token):
+                            break
+                    size += 1
+                last.append(token)
+            ids, end = [], length
+            while end:
+                token = last[end]
+                ids.append(token)
+                end -= sizes[token]
+            tokens += ids[::-1]
+            ends.append(len(tokens))
+            self.slot[word] = first + k
+        if words:
+            self.starts = np.concatenate([self.starts, np.array(ends, dtype=np.int64) + self.starts[-1]])
+            self.tokens = np.concatenate([self.tokens, np.array(tokens, dtype=np.int32)])
 
     def pieces(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.vocabulary.special):
@@ -173,7 +172,7 @@ class Encoder:
         return [w for part in self.cut.split(text) for w in ([part] if part in self.vocabulary.special else self.words.findall(part))]
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
-        if len(self.state) > MAX_NODES or len(self.slot) > MAX_NODES:
+        if len(self.slot) > MAX_WORDS:
             self.restart()
         words: list[str] = []
         ends = [0]
@@ -181,14 +180,15 @@ class Encoder:
             if t:
                 words += self.pieces(t)
             ends.append(len(words))
-        for w in sorted(set(words) - self.slot.keys()):  # neighbours share their prefix
-            self.insert(w)
+        self.walk(sorted(set(words) - self.slot.keys()))
         slots = np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words))
-        starts = np.asarray(self.starts, dtype=np.int64)
-        sizes = (starts[1:] - starts[:-1])[slots]
+        sizes = np.diff(self.starts)[slots]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.repeat(starts[slots] - before[:-1], sizes) + np.arange(before[-1])
-        return pa.ListArray.from_arrays(pa.array(before[ends], type=pa.int32()), pa.array(self.tokens[places]))
+        places = np.repeat(self.starts[slots] - before[:-1], sizes) + np.arange(before[-1])
+        found = pa.ListArray.from_arrays(pa.array(before[ends], type=pa.int32()), pa.array(self.tokens[places]))
+        if len(self.tokens) > 8 * MAX_WORDS:  # very long words
+            self.restart()
+        return found
 
 
 class Decoder:

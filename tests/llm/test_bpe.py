@@ -23,21 +23,29 @@ def test_equals_the_tokenizers_library(spark):
 
 
 def test_trie_restarts_change_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_NODES", 50)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 5)
     with open(PATH, encoding="utf-8") as f:
         encoder = bpe.Encoder(f.read())
     texts = ["prefix prefixes prefixed unprefixed", "prefer preferred", "zebra zebras " * 20]
     want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
     for _ in range(3):
         assert [encoder.encode([t]).to_pylist()[0] for t in texts] == want
-    assert len(encoder.state) < 400
+    assert len(encoder.slot) < 20
 
 
-def test_shared_prefixes_are_nodes_once():
+def test_shared_prefixes_are_walked_once():
     with open(PATH, encoding="utf-8") as f:
         encoder = bpe.Encoder(f.read())
-    encoder.encode(["abcdefgh abcdefgi abcdefgh"])
-    assert len(encoder.state) == 1 + len("abcdefgh") + len(" abcdefgh") + 1
+    asked = []
+
+    class Watched(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    encoder.vocabulary.ending = Watched(encoder.vocabulary.ending)
+    encoder.walk(["abcdefgh", "abcdefgi"])
+    assert sum(k == b"a" for k in asked) == 1 and b"c" in asked and sum(k[-1:] == b"c" and len(k) == 1 for k in asked) == 1
 
 
 def test_edges(spark, hostile):

@@ -18,9 +18,11 @@ and deep nesting is walked without recursion.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -77,17 +79,22 @@ CONTAINERS = {"article", "main", "section", "div", "td", "body", "blockquote", "
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "named", "points", "chars", "linked", "text")
+    __slots__ = ("name", "parent", "children", "dropped", "named", "points", "chars", "linked", "text", "depth", "block")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool):
         self.name, self.parent, self.dropped = name, parent, dropped
         self.children: list[Node | str] = []
+        self.depth = parent.depth + 1 if parent else 0
+        self.block: Node = self if parent is None or name in BLOCK else parent.block  # the nearest block around
         self.points = TAG_POINTS.get(name, 0.0)
         self.chars = self.linked = 0
         self.named = ""  # what its class or id says: "", "id", "class" or "foreign"
         self.text = 0  # characters of the paragraphs in it
 
 
+_depth = attrgetter("depth")
+
+
 def _is_boilerplate(name: str, attributes: str, within_article: bool) -> bool:
     if name in DROPPED:
         return not (name == "header" and within_article)
@@ -120,13 +127,13 @@ def _named(name: str, attributes: str) -> str:
 def tree(html: str) -> Node:
     root = node = Node("body", None, False)
     at, n = 0, len(html)
-    opened: Counter[str] = Counter()  # names of the open elements
+    opened: defaultdict[str, list[Node]] = defaultdict(list)  # the open elements of each name, by depth
 
     def close(last: Node) -> Node:
         """Ends `last` and what is open inside it; the element that is then open."""
         walk: Node | None = node
         while walk is not last.parent:
-            opened[walk.name] -= 1
+            opened[walk.name].pop()
             walk = walk.parent
         return walk
 
@@ -148,26 +155,18 @@ def tree(html: str) -> Node:
             continue
         if m[1]:
             if opened[name]:
-                up = node
-                while up.name != name:
-                    up = up.parent
-                node = close(up)
+                node = close(opened[name][-1])
             continue
-        if name in ENDS_PARAGRAPH and opened["p"]:
-            up = node
-            while up is not root and up.name not in BLOCK:
-                up = up.parent
-            if up.name == "p":
-                node = close(up)
+        if name in ENDS_PARAGRAPH:
+            if node.block.name == "p":
+                node = close(node.block)
         elif name in ENDS:
             names, borders = ENDS[name]
-            up, last = node, None
-            while up is not root and up.name not in borders and any(opened[x] for x in names):
-                last = up if up.name in names else last
-                up = up.parent
-            if last is not None:
-                node = close(last)
-        child = Node(name, node, node.dropped or _is_boilerplate(name, m[3], opened["article"] > 0))
+            border = max((opened[x][-1].depth for x in borders if opened[x]), default=0)
+            inside = [opened[x][i] for x in names if (i := bisect_right(opened[x], border, key=_depth)) < len(opened[x])]
+            if inside:
+                node = close(min(inside, key=_depth))
+        child = Node(name, node, node.dropped or _is_boilerplate(name, m[3], bool(opened["article"])))
         child.named = _named(name, m[3])
         node.children.append(child)
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
@@ -176,7 +175,7 @@ def tree(html: str) -> Node:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        opened[name] += 1
+        opened[name].append(child)
         node = child
     return root
 

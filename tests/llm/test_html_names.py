@@ -1,5 +1,6 @@
 import pytest
 
+from peerscreen.llm import html_text
 from peerscreen.llm.html_text import main_text
 
 BODY = "".join(f"<p>A paragraph of some length, with commas, and words enough to count as text, number {i}.</p>" for i in range(6))
@@ -40,3 +41,14 @@ def test_names_alone():
     assert main_text(f"<div class='comments'>{BODY}</div>").count("A paragraph") == 6
     links = "".join(f"<li><a href=/{i}>A link, with words, number {i}</a></li>" for i in range(9))
     assert "A link" not in main_text(f"<article>{BODY}<div id='related'><h3>Related</h3><ul>{links}</ul></div></article>")
+
+
+def test_tree_building_takes_linear_time():
+    import time
+
+    n = 60_000
+    pages = ["<div>" * n + "<li>a<dd>" * n, "<p><table>" + "<i>" * n + "<div></div>" * n, "<ul>" * n + "<li>x" * n, "<p><b>" * n]
+    for page in pages:  # about a megabyte and less
+        began = time.time()
+        html_text.tree(page)
+        assert time.time() - began < 10

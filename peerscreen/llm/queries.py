@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peerscreen.llm import bpe, chat, decontaminate, hard_negatives, html_text, jaccard, kmeans_tree, quality_classifier, quality_rules, secrets, toxicity, warc, whitening
+from peerscreen.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,8 +97,12 @@ from d left join g using (r)
 
 @query("op9_blob_ledger", OP9_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger knows the English blobs from an earlier run; the second run scans what it lacks."""
     docs = table(spark, folder, "documents")
-    found = secrets.findings(docs.select("doc_id", "text"), secrets.scan(docs)).drop("text")
+    path = fresh_path(spark, "secret-ledger")
+    secrets.begin(spark, path)
+    secrets.scan(docs.where("lang = 'en'"), path)
+    found = secrets.findings(docs.select("doc_id", "text"), secrets.scan(docs, path)).drop("text")
     told = secrets.label(F.col("spans"))
     return found.select(
         "doc_id",

@@ -25,22 +25,40 @@ ASSIGN_LEAST = 6
 
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
 MARK = "[SECRET]"
+SALTS = 16
+MANY = 32
+
+
+def running(values: Column, join) -> Column:
+    """Running totals under `join`, where 0 changes nothing: within parts, then over the parts.
+
+    Parts as long as there are parts keep the copies that appending makes at n * sqrt(n).
+    """
+    longs = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), longs.alias("out"))
+    after = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.array_append(acc["out"], join(acc["at"], x)).alias("out"))
+    before = lambda acc, x: F.struct(join(acc["at"], F.element_at(x, -1)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
+    def in_parts(v: Column) -> Column:
+        length = F.ceil(F.sqrt(F.size(v))).cast("int")
+        first = F.sequence(F.lit(1), F.size(v), length)
+        return F.transform(first, lambda i: F.aggregate(F.slice(v, i, length), start, after, lambda acc: acc["out"]))
+
+    def over_parts(parts: Column) -> Column:
+        heads = F.aggregate(parts, start, before, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, heads, lambda x, h: F.transform(x, lambda e: join(h, e))))
+
+    return F.when(F.size(values) == 0, longs).otherwise(let(values, lambda v: let(in_parts(v), over_parts)))
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
     """Code-point spans of all matches: the pieces between matches give the positions."""
 
     def positioned(gaps: Column, hits: Column) -> Column:
-        steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).cast("long").alias("g"), F.length(h).cast("long").alias("h")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
-        step = lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["h"]).alias("at"),
-            F.concat(
-                acc["found"],
-                F.array(F.struct((acc["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["g"] + x["h"]).alias("stop"))),
-            ).alias("found"),
-        )
-        return F.aggregate(steps, start, step, lambda acc: acc["found"])
+        lengths = F.transform(hits, lambda h: F.length(h).cast("long"))
+        steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), lengths, lambda g, h: F.length(g) + h)
+        stops = running(steps, lambda a, b: a + b)
+        return F.zip_with(stops, lengths, lambda e, h: F.struct((e - h).alias("start"), F.lit(kind).alias("kind"), e.alias("stop")))
 
     spans = positioned(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     if least:
@@ -90,24 +108,47 @@ def begin(spark: SparkSession, path: str) -> None:
 def findings(docs: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
     """docs with `spans`: the ledger's findings joined back to every row, by content.
 
-    Only blobs with findings take part, so most rows meet no partner.
+    Only blobs with findings take part, so most rows meet no partner. Runs that were repeated or ran
+    at once may have entered a blob twice: it counts once. Copies of one text are dealt over SALTS
+    groups by the partition in which they lie.
     """
-    df = clear(docs, "_blob", "spans").withColumn("_blob", blob_id(text_or_empty(text)))
-    hits = entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
-    return df.join(hits, "_blob", "left").drop("_blob").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    df = clear(docs, "_blob", "_salt", "spans").withColumns({"_blob": blob_id(text_or_empty(text)), "_salt": F.pmod(F.spark_partition_id(), F.lit(SALTS))})
+    once = entries.where(F.size("spans") > 0).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+    hits = once.select(F.col("blob").alias("_blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return df.join(hits, ["_blob", "_salt"], "left").drop("_blob", "_salt").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each run of overlapping spans replaced by one mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["stop"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"])
-        .otherwise(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(MARK)))
-        .alias("out"),
-    )
-    done = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(found) == 0, text).otherwise(done)
+    """The text with each run of overlapping spans replaced by one mark.
+
+    A substring is found by counting from the text's beginning, so texts of more than MANY spans
+    are cut into their characters once instead; the result is the same.
+    """
+    stops = running(F.transform(found, lambda s: s["stop"]), F.greatest)
+
+    def runs(reached: Column) -> Column:
+        """(start, stop) of each run: a span that begins at or beyond all earlier stops opens one."""
+        before = lambda i: F.when(i > 0, F.get(reached, i - 1)).otherwise(0)
+        opens = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.get(found, i)["start"] >= before(i))
+
+        def closed(o: Column) -> Column:
+            last = lambda k: F.coalesce(F.get(o, k + 1), F.size(found)) - 1
+            return F.transform(o, lambda i, k: F.struct(F.get(found, i)["start"].cast("int").alias("start"), F.get(reached, last(k)).cast("int").alias("stop")))
+
+        return let(opens, closed)
+
+    def pieces(r: Column, part) -> Column:
+        """What lies before each run, and after the last."""
+        left = lambda k: F.when(k > 0, F.get(r, k - 1)["stop"]).otherwise(0)
+        kept = F.transform(F.sequence(F.lit(0), F.size(r)), lambda k: part(left(k), F.coalesce(F.get(r, k)["start"], F.char_length(text))))
+        return F.array_join(kept, MARK)
+
+    def done(r: Column) -> Column:
+        few = pieces(r, lambda a, b: F.substring(text, a + 1, b - a))
+        many = let(F.split(text, ""), lambda c: pieces(r, lambda a, b: F.array_join(F.slice(c, a + 1, b - a), "")))
+        return F.when(F.size(found) > MANY, many).otherwise(few)
+
+    return F.when(F.size(found) == 0, text).otherwise(let(let(stops, runs), done))
 
 
 def label(found: Column) -> Column:

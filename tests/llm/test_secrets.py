@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,25 @@ def test_edges(spark, hostile):
     assert len(rows) == hostile.count()
     assert {r.doc_id: len(r.spans) > 0 for r in rows if r.doc_id in (2, 3, 4, 5, 6)} == {2: False, 3: False, 4: False, 5: True, 6: True}
     assert secrets.scan(hostile.limit(0)).collect() == []
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 50_000
+    text = " ".join(f"{i:024x}" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "é" + text[:2000] + "🙂 token=abcdef12")], "doc_id long, text string")
+    began = time.time()
+    rows = secrets.findings(df, secrets.scan(df)).select("doc_id", secrets.label(F.col("spans")).alias("told"), secrets.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
+    assert time.time() - began < 60
+    whole, part = sorted(rows, key=lambda r: r.doc_id)
+    assert whole.told == brute(text) and whole.clean == " ".join([secrets.MARK] * n)
+    assert part.told == brute("é" + text[:2000] + "🙂 token=abcdef12") and part.clean.startswith("é" + secrets.MARK) and part.clean.endswith("🙂 " + secrets.MARK)
+
+
+def test_a_doubled_ledger_counts_once(spark):
+    path = fresh_path(spark, "ledger")
+    df = spark.createDataFrame([(1, "token=abcdef12"), (2, "clean")], "doc_id long, text string")
+    secrets.begin(spark, path)
+    entries = secrets.scan(df, path)
+    entries.write.mode("append").parquet(path + "-copy")
+    doubled = entries.unionByName(secrets.ledger(spark, path + "-copy"))
+    assert sorted((r.doc_id, len(r.spans)) for r in secrets.findings(df, doubled).collect()) == [(1, 1), (2, 0)]

@@ -76,11 +76,17 @@ class Vocabulary:
                 self.ending.setdefault(self.bytes_of[i][k:], -1)
         self.ending |= {self.bytes_of[i]: i for i in named.values()}
         self.sizes = [len(x) for x in self.bytes_of]
+        self.edges: dict[int, list[tuple[int, float, float]]] = {}  # at most two a token
         self.follows: dict[int, bool] = {}  # a << 32 | b, as far as asked
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float, float]]:
         """Tokens at one edge while `token` is being merged: token, rank that made it, rank that consumed it."""
-        out, until = [], inf
+        key = token << 1 | side
+        if key in self.edges:
+            return self.edges[key]
+        out: list[tuple[int, float, float]] = []
+        until = inf
+        self.edges[key] = out
         while True:
             pair = self.made.get(token)
             born = self.rank[pair] if pair else -1
@@ -94,14 +100,14 @@ class Vocabulary:
 
         Where one rule could apply at two places, the left one goes first.
         """
-        left = self._edge(b, 0)
-        known = not any(
-            (m := self.rank.get((x, y))) is not None and born_x < m < until_x and born_y < m <= until_y
-            for x, born_x, until_x in self._edge(a, 1)
-            for y, born_y, until_y in left
-        )
         if len(self.follows) > 500_000:
             self.follows.clear()
+        rank, left, known = self.rank.get, self._edge(b, 0), True
+        for x, born_x, until_x in self._edge(a, 1):
+            for y, born_y, until_y in left:
+                m = rank((x, y))
+                if m is not None and born_x < m < until_x and born_y < m <= until_y:
+                    known = False
         self.follows[a << 32 | b] = known
         return known
 
@@ -142,17 +148,17 @@ class Encoder:
             del last[shared + 1 :]
             path = raw
             for end in range(shared + 1, length + 1):
-                size = 1
+                start = end - 1
                 while True:
-                    token = ending[raw[end - size : end]]  # a shorter ending fits before this can fail
+                    token = ending[raw[start:end]]  # a shorter ending fits before this can fail
                     if token >= 0:
-                        if size == end:
+                        if not start:
                             break
-                        before = last[end - size]
+                        before = last[start]
                         fits = known(before << 32 | token)
                         if fits or fits is None and may_follow(before, token):
                             break
-                    size += 1
+                    start -= 1
                 last.append(token)
             ids, end = [], length
             while end:

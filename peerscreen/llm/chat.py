@@ -15,7 +15,7 @@ conversation of more text than a Spark row takes (2 GB) fails.
 Edge cases: turns are taken in the order of turn, role, text, and a turn logged twice counts once;
 null roles render as "unknown" and null texts as empty, and both differ from empty ones in the
 hash; null turn numbers, roles and texts come last, as in SQL; rows without a conversation id form one conversation
-whose id is null; markers inside texts are broken up; an empty table gives no rows.
+whose id is null, and which yields to an equal one that has an id; markers inside texts are broken up; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 def maximal(turns: DataFrame) -> DataFrame:
     """(key, conv_id, n_copies) of conversations that no longer one continues, one of each."""
     rows = stored(prefixes(turns), "prefixes")
-    whole = rows.where("last").groupBy("h0", "h1").agg(F.min(F.struct("conv_id", "key")).alias("one"), F.count(F.lit(1)).alias("n_copies"))
+    whole = rows.where("last").groupBy("h0", "h1").agg(F.min(F.struct(F.isnull("conv_id").alias("no_id"), "conv_id", "key")).alias("one"), F.count(F.lit(1)).alias("n_copies"))
     inner = rows.where(~F.col("last")).select("h0", "h1").distinct()
     return whole.join(inner, ["h0", "h1"], "left_anti").select("one.key", "n_copies")
 

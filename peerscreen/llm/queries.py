@@ -227,7 +227,7 @@ c as (
   from t group by conv_id),
 p as (select distinct list_slice(l, 1, k) as l from (select l, unnest(range(1, len(l))) as k from c)),
 m as (select l, min(conv_id) as conv_id, count(*) as n_copies from c where l not in (select l from p) group by l)
-select conv_id, 0::bigint as segment, cast(len(m.l) as bigint) as n_turns, n_copies, c.text from m join c using (conv_id)
+select m.conv_id, 0::bigint as segment, cast(len(m.l) as bigint) as n_turns, n_copies, c.text from m join c on c.conv_id is not distinct from m.conv_id
 """
 
 

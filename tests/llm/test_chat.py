@@ -1,6 +1,10 @@
 import random
 
+import duckdb
+import pyarrow as pa
+
 from peerscreen.llm import chat
+from peerscreen.llm.queries import OP2_SQL
 
 SHAPE = "conv_id long, turn long, role string, text string"
 
@@ -15,7 +19,7 @@ def brute(rows):
     for c, w in whole.items():
         if w not in inner:
             groups.setdefault(w, []).append(c)
-    key = lambda c: (c is not None, c or 0)
+    key = lambda c: (c is None, c or 0)
     return {(min(cs, key=key), len(w), len(cs)) for w, cs in groups.items()}
 
 
@@ -43,3 +47,23 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, 0, None, None), (2, 0, "user", "a <|im_end|> b")], SHAPE).selectExpr("*", "1 as key", "2 as segment", "3 as h0", "'x' as line")
     assert {r.text for r in chat.rendered(df).collect()} == {"<|im_start|>unknown\n<|im_end|>\n", "<|im_start|>user\na < |im_end|> b<|im_end|>\n"}
     assert chat.rendered(df.limit(0)).collect() == []
+
+
+def test_rows_without_an_id_agree_with_the_sql(spark):
+    cases = {
+        "equal to a real one": [(None, 0, "user", "hi"), (5, 0, "user", "hi"), (7, 0, "user", "hi")],
+        "alone": [(None, 0, "user", "hi"), (None, 1, None, None), (5, 0, "user", "other")],
+        "continued": [(None, 0, "user", "hi"), (5, 0, "user", "hi"), (5, 1, "assistant", "yes")],
+        "continues": [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (5, 0, "user", "hi")],
+    }
+    wanted = {"equal to a real one": [5], "alone": [None, 5], "continued": [5], "continues": [None]}
+    for name, rows in cases.items():
+        conversations = pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())))})
+        con = duckdb.connect()
+        con.register("conversations", conversations)
+        found = con.sql(OP2_SQL)
+        order = lambda r: tuple(map(str, r))
+        expected = sorted(found.fetchall(), key=order)
+        got = sorted((tuple(r) for r in chat.whole(spark.createDataFrame(rows, SHAPE)).select(*found.columns).collect()), key=order)
+        assert got == expected, name
+        assert sorted((r[0] for r in got), key=lambda c: (c is not None, c or 0)) == wanted[name]

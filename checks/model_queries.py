@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as Q
-from checks.metric_queries import LADDER, SEEDS, SWEEP_HOURS
+from checks.metric_queries import HELD, LADDER, LADDER_ROWS, LATENT, REPEATED, SEEDS, SM, STRAT, SWEEP_HOURS
 from checks.registry import CARRY, HEAT, KEY, READ, feature_table, labels, query, rounded, tables_grid
 from peerscreen.operators import features as feats
 from peerscreen import schema as S
@@ -421,3 +421,156 @@ def _(spark, d):
         one = boosting.fit_model(c, held).transform(held).withColumn("config", F.lit(c.name))
         out = one if out is None else out.unionByName(one)
     return rounded(out.groupBy("config").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("validation_mae")))
+
+
+# --- A bundle of the baselines alone, which SQL can follow to the last digit -------------------
+
+
+def plain_bundle(spark, d):
+    """Calibrated on batches of their own; persistence has the margins, the robust rule flags alone."""
+    truth = labels(spark, d).select(*KEY, F.expr(LATENT).alias("is_future_failure"))
+    rows = ordering.stable(table(spark, d).join(truth, KEY))
+    split = splits.three_way_split(rows)
+    train, calibration, test = (splits.select_side(rows, split, s, "split") for s in ("train", "calibration", "test"))
+    return training.train_bundle(train, calibration, test, configs=(), stratified="persistence", with_detector=False)[0], test
+
+
+BUNDLE = (
+    *TRAINED, Q.SCORED, Q.THREE_WAY,
+    "cal as (select yy.* from yy join parts using (batch_id, profile_id) where split = 'calibration')",
+    "ranked as (select config, abs(y - pred) as e, row_number() over (partition by config order by abs(y - pred)) as rn, count(*) over (partition by config) as n from cal)",
+    "radius as (select config, max(case when rn = ceil((n + 1) * 0.9) then e end) as r from ranked group by config)",
+    "iv as (select t.*, greatest(pred - r, 0) as lo, pred + r as hi from yy t join parts using (batch_id, profile_id) join radius using (config) where split = 'test')",
+    SM.replace("from y0)", "from cal where config = 'persistence')"),
+    f"""st as (select iv.*, m.stratum, greatest(p_pers + m.lower, 0) as slo, p_pers + m.upper as shi, greatest(p_pers + m.lower_two_sided, 0) as wlo, p_pers + m.upper_two_sided as whi
+  from iv join margins m on m.stratum = {STRAT} where config = 'persistence')""",
+    f"""rec0 as (select st.*, s.anomaly_score, s.is_anomaly, p_pers * st.upper_limit as final_unit, slo * st.upper_limit as lower_unit, shi * st.upper_limit as upper_unit
+  from st join scored s using ({K}))""",
+    """rec as (select *, case when current_value >= upper_limit then 'ENGINEER_REVIEW' when is_anomaly and (final_unit >= upper_limit or lower_unit >= upper_limit) then 'ENGINEER_REVIEW'
+  when anomaly_score >= 0.8 or final_unit >= upper_limit then 'RETEST' when is_anomaly or upper_unit >= upper_limit then 'MONITOR' else 'ACCEPT' end as recommendation from rec0)""",
+)
+INSIDE = "avg(case when y between {} and {} then 1.0 else 0.0 end)".format
+
+
+@query("E-21_bundle_profiles", Q.query(*BUNDLE, select=f"""select config, profile_id, count(*) as components, {Q.r6('avg(abs(pred - y)) as mae_normalized', 'avg(abs(pred - y) * upper_limit) as mae_unit', INSIDE('lo', 'hi') + ' as interval_coverage', 'avg((hi - lo) * upper_limit) as mean_width_unit')} from iv group by 1, 2"""))
+def _(spark, d):
+    return rounded(training.evaluate_whole(*plain_bundle(spark, d), model="persistence").profiles)
+
+
+@query("E-21_bundle_stratified", Q.query(*BUNDLE, select=f"""select * from (select config, count(*) as components, {Q.r6(INSIDE('slo', 'shi') + ' as coverage', 'avg(case when y <= shi then 1.0 else 0.0 end) as upper_only_coverage', INSIDE('wlo', 'whi') + ' as two_sided_coverage', 'avg(shi - slo) as mean_width', 'median((shi - slo) * upper_limit) as median_width_unit', 'avg(case when shi >= 1 then 1.0 else 0.0 end) as share_upper_at_or_above_limit', 'avg(case when is_healthy then case when y between slo and shi then 1.0 else 0.0 end end) as coverage_healthy', 'avg(case when not is_healthy then case when y between slo and shi then 1.0 else 0.0 end end) as coverage_nonhealthy')} from st group by 1) a
+cross join (select {Q.r6('min(c) as batch_coverage_min', 'max(c) as batch_coverage_max')} from (select batch_id, {INSIDE('slo', 'shi')} as c from st group by 1) x) b"""))
+def _(spark, d):
+    block = training.evaluate_whole(*plain_bundle(spark, d), model="persistence").stratified
+    names = ["config", "components", "coverage", "upper_only_coverage", "two_sided_coverage", "mean_width", "median_width_unit", "share_upper_at_or_above_limit", "coverage_healthy", "coverage_nonhealthy", "batch_coverage_min", "batch_coverage_max"]
+    return rounded(block.select(*names))
+
+
+def alert_sql(alert, on, target, truth, within):
+    n = lambda c: f"count(*) filter (({within}) and {c})"
+    tp, fn, fp, tn = n(f"({truth}) and ({on})"), n(f"({truth}) and not ({on})"), n(f"not ({truth}) and ({on})"), n(f"not ({truth}) and not ({on})")
+    rate = lambda a, b, name: f"round({a} / nullif({b}, 0), 6) + 0.0 as {name}"
+    counts = f"{n('true')} as components, {tp} as tp, {fn} as fn, {fp} as fp, {tn} as tn"
+    return f"select '{alert}' as alert, '{target}' as target, {counts}, {rate(tp, f'({tp} + {fn})', 'recall')}, {rate(fp, f'({fp} + {tn})', 'fpr')}, {rate(tp, f'({tp} + {fp})', 'precision')} from rec"
+
+
+ALERTS = {"combined_screening": "recommendation <> 'ACCEPT'", "anomaly_detection": "is_anomaly"}
+TARGETS = {"observed_final_crossing": ("y >= 1", "true"), "latent_crossing_without_tester_faults": (LATENT, "not is_tester_fault")}
+
+
+@query("E-21_bundle_alerts", Q.query(*BUNDLE, select=" union all ".join(alert_sql(a, on, t, *truth) for a, on in ALERTS.items() for t, truth in TARGETS.items())))
+def _(spark, d):
+    return rounded(training.evaluate_whole(*plain_bundle(spark, d), model="persistence").alerts)
+
+
+@query("E-21_bundle_actions", Q.query(*BUNDLE, select="""select 'action' as kind, recommendation as level, count(*) as components, cast(null as double) as alert_rate from rec group by 2
+union all select 'scenario', scenario, count(*), round(avg(case when recommendation <> 'ACCEPT' then 1.0 else 0.0 end), 6) + 0.0 from rec group by 2"""))
+def _(spark, d):
+    found = training.evaluate_whole(*plain_bundle(spark, d), model="persistence")
+    actions = found.actions.select(F.lit("action").alias("kind"), F.col("recommendation").alias("level"), "components", F.lit(None).cast("double").alias("alert_rate"))
+    return rounded(actions.unionByName(found.scenarios.select(F.lit("scenario").alias("kind"), F.col("scenario").alias("level"), "components", "alert_rate")))
+
+
+@query("J-20_calibrated_records", Q.query(*BUNDLE, select=f"""select {K}, 'persistence' as forecast_model, concat('slope_z_stratum_', cast(stratum as varchar)) as interval_stratum,
+ {Q.r6('final_unit as predicted_final_value', 'lower_unit as prediction_lower', 'upper_unit as prediction_upper', 'wlo * upper_limit as prediction_lower_two_sided', 'whi * upper_limit as prediction_upper_two_sided', '0.8 as interval_nominal_coverage')}, recommendation from rec"""))
+def _(spark, d):
+    bundle, test = plain_bundle(spark, d)
+    out = bundle.screen(test, model="persistence")
+    units = ["predicted_final_value", "prediction_lower", "prediction_upper", "prediction_lower_two_sided", "prediction_upper_two_sided"]
+    return rounded(out.select(*KEY, "forecast_model", "interval_stratum", *units, "interval_nominal_coverage", "recommendation"))
+
+
+@query("K-20_model_invariance", Q.query(*TRAINED, select="select count(*) as compared, 0 as changed from z"))
+def _(spark, d):
+    """A fitted ridge forecast and a fitted forest give every early score again when later readings grow a million times."""
+    r = READ(spark, d)
+    stressed = r.withColumn("measurement_value", F.when(F.col("hours") > 24, F.col("measurement_value") * 1e6).otherwise(F.col("measurement_value")))
+
+    def early(readings):
+        extras = feats.capacitor_extras(with_conditions(readings.filter(F.col("hours").isin(S.CHECKPOINTS))))
+        f = feats.build_component_features(readings, grid=tables_grid(), carry=CARRY, hot=HEAT(spark, d).peer)
+        return ordering.stable(screening.augment_features(f.join(extras, KEY), hot=HEAT(spark, d).peer))
+
+    before, after = early(r), early(stressed)
+    model, forest = boosting.fit_model(boosting.RIDGE, ordering.stable(full_table(spark, d))), iforest.fit(before)
+    told = lambda f, end: model.transform(forest.score(f, hot=HEAT(spark, d).table)).select(*KEY, F.round("pred", 9).alias(f"p{end}"), F.round("isolation_score", 9).alias(f"s{end}"))
+    both = told(before, 0).join(told(after, 1), KEY, "full")
+    same = F.col("p0").eqNullSafe(F.col("p1")) & F.col("s0").eqNullSafe(F.col("s1")) & F.col("p0").isNotNull() & F.col("s0").isNotNull()
+    return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(~same).alias("changed"))
+
+
+# --- Jobs with a forest: rows, truth counts and ranges that any forest must keep -----------------
+
+FOREST = ["isolation_forest", "combined"]
+
+
+def review_rows(df, keys):
+    rates = [c for c in ("review_recall", "false_positive_rate", "precision", "defect_recall") if c in df.columns]
+    tp, fn, fp, tn = (F.col(c) for c in ("true_positive", "false_negative", "false_positive", "true_negative"))
+    sound = F.col("flagged_components") == tp + fp
+    for c in rates:
+        sound = sound & F.coalesce(F.col(c).between(0.0, 1.0), F.lit(True))
+    return df.select(*keys, "method", "evaluated_components", (tp + fn).alias("faulty"), (fp + tn).alias("sound"), sound.alias("consistent"))
+
+
+def review_sql(keys, methods):
+    return f"select {keys}, method, count(*) as evaluated_components, count(*) filter (truth) as faulty, count(*) filter (not truth) as sound, true as consistent from m cross join (select unnest({methods}) as method) x group by {keys}, method"
+
+
+@query("K-05_forest_rows", Q.query(*HELD, select=review_sql("as_of_hour", ["fixed_limit", "robust_mad", *FOREST])))
+def _(spark, d):
+    r = READ(spark, d)
+    return review_rows(evaluation.evaluate_dataset(r, labels(spark, d), splits.split_batches(r), grid=tables_grid(), heat=HEAT(spark, d))[0], ["as_of_hour"])
+
+
+@query("K-07_forest_rows", Q.query(*REPEATED, select=review_sql("split_seed, as_of_hour", ["fixed_limit", "robust_mad", *FOREST])))
+def _(spark, d):
+    return review_rows(evaluation.evaluate_repeated_splits(READ(spark, d), labels(spark, d), SEEDS, grid=tables_grid(), heat=HEAT(spark, d)), ["split_seed", "as_of_hour"])
+
+
+def harness_rows(df, *keys):
+    kept = (F.col("true_positives") + F.col("false_negatives") == F.col("n_defects")) & (F.col("false_positives") + F.col("true_negatives") == F.col("n_healthy"))
+    return df.select(*keys, "as_of_hour", "method", "n_components", "n_defects", "n_healthy", "n_tester_faults", kept.alias("consistent"))
+
+
+HARNESS_COUNTS = "count(*) as n_components, count(*) filter (d) as n_defects, count(*) filter (h) as n_healthy, count(*) filter (is_tester_fault) as n_tester_faults, true as consistent"
+
+
+@query("K-09_forest_rows", Q.query(*HELD, select=f"select as_of_hour, method, {HARNESS_COUNTS} from m cross join (select unnest({S.METHODS}) as method) x group by 1, 2"))
+def _(spark, d):
+    r = READ(spark, d)
+    rows = evaluation.holdout(r, labels(spark, d), splits.split_batches(r), grid=tables_grid(), heat=HEAT(spark, d))
+    return harness_rows(metrics.harness_metrics(rows, S.METHODS))
+
+
+@query("K-10_forest_rows", Q.query(*LADDER_ROWS, select=f"select method, count(*) as n_defects, true as nested from (select distinct component_id, batch_id from m where is_defect) c cross join (select unnest({S.METHODS}) as method) x group by 1"))
+def _(spark, d):
+    r = READ(spark, d)
+    out = evaluation.early_warning_ladder(r, labels(spark, d), splits.split_batches(r), hours=LADDER, grid=tables_grid(), heat=HEAT(spark, d))[2]
+    ever = F.col("n_ever_flagged")
+    return out.select("method", "n_defects", ((ever <= F.col("n_defects")) & (F.col("n_flagged_before_crossing") + F.col("n_flagged_never_crossing") <= ever)).alias("nested"))
+
+
+@query("K-12_forest_rows", Q.query(*HELD, select=f"select fit_scope, as_of_hour, method, {HARNESS_COUNTS} from m cross join (select unnest({FOREST}) as method) x cross join (values ('per_family'), ('pooled')) f(fit_scope) group by 1, 2, 3"))
+def _(spark, d):
+    r = READ(spark, d)
+    return harness_rows(evaluation.compare_fit_scopes(r, labels(spark, d), splits.split_batches(r), grid=tables_grid(), heat=HEAT(spark, d)), "fit_scope")

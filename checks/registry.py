@@ -54,7 +54,8 @@ def tables_grid():
 
 
 def records(spark, d):
-    return screening.screen(READ(spark, d), grid=tables_grid(), carry=CARRY, hot=HEAT(spark, d).peer)
+    """Records with a radius given by the caller; calibrated ones are J-20_calibrated_records."""
+    return screening.screen(READ(spark, d), grid=tables_grid(), carry=CARRY, hot=HEAT(spark, d).peer, radius=0.25)
 
 
 def unscored(spark, d):
@@ -130,9 +131,24 @@ def _(spark, d):
     return csv_source.read_text(spark, csv_copy(spark, d)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("readings"))
 
 
-@query("A-03_file_triage", Q.query(Q.READINGS, select="select 'text' as status, true as any_bytes, count(distinct batch_id) >= 1 as any_files from readings"))
+def batch_number():
+    return F.substring("batch_id", 2, 9).cast("int")
+
+
+def by_part(df, path, kind="csv"):
+    """One file per value of ``part``, in the order of the rows."""
+    df.write.option("header", True).partitionBy("part").format(kind).save(path)
+    return path
+
+
+@query("A-03_file_triage", Q.query(Q.READINGS, select="select 'text' as status, count(distinct batch_id) as files, true as bytes_as_read, true as listed_once from readings"))
 def _(spark, d):
-    return csv_source.triage(spark, csv_copy(spark, d)).groupBy("status").agg((F.sum("length") > 0).alias("any_bytes"), (F.count(F.lit(1)) >= 1).alias("any_files"))
+    path = by_part(READ(spark, d).withColumn("part", batch_number()).repartition(8, "part"), export.scratch(spark, "csv"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).agg(F.sum(F.octet_length("value") + 1).alias("read"))
+    found = csv_source.triage(spark, path).groupBy("status").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), (F.count(F.lit(1)) == F.count_distinct("path")).alias("listed_once")
+    )
+    return found.crossJoin(F.broadcast(lines)).select("status", "files", (F.col("bytes") == F.col("read")).alias("bytes_as_read"), "listed_once")  # one row
 
 
 @query("A-01_intake_job", Q.query(Q.READINGS, select=f"select {K}, count(*) as readings, round(sum(measurement_value), 6) + 0.0 as total from readings group by {K}"))
@@ -141,27 +157,48 @@ def _(spark, d):
     return rounded(got.clean.groupBy(*KEY).agg(F.count(F.lit(1)).alias("readings"), F.sum("measurement_value").alias("total")))
 
 
-@query("A-04_decode", Q.query(Q.READINGS, select="select 'utf-8' as encoding, count(*) as data_lines from readings"))
+@query("A-04_decode", Q.query(Q.READINGS, select="select case when cast(substr(batch_id, 2) as int) % 2 = 1 then 'cp1252' else 'utf-8' end as encoding, count(*) as data_lines, count(*) as with_unit from readings group by 1"))
 def _(spark, d):
-    lines = csv_source.decode(spark, csv_copy(spark, d))
-    return lines.filter("line_number > 1").groupBy("encoding").agg(F.count(F.lit(1)).alias("data_lines"))
+    """Every other batch in Windows-1252: its euro sign is the byte that ISO-8859-1 writes for U+0080. VT ends no line."""
+    rows, odd = READ(spark, d).withColumn("data_source", F.lit("bench\u000b1")), batch_number() % 2 == 1
+    path = export.scratch(spark, "csv")
+    write = lambda df, unit, encoding: df.withColumn("measurement_unit", F.lit(unit)).write.mode("append").options(header=True, encoding=encoding, maxRecordsPerFile=UPLOAD_ROWS).csv(path)
+    write(rows.filter(~odd), "µA€", "UTF-8")
+    write(rows.filter(odd), "µA\u0080", "ISO-8859-1")
+    lines = csv_source.decode(spark, path).filter("line_number > 1")
+    return lines.groupBy("encoding").agg(F.count(F.lit(1)).alias("data_lines"), F.count_if(F.col("line").contains("µA€")).alias("with_unit"))
+
+
+HEADERS_SQL = f"""b as (select distinct cast(substr(batch_id, 2) as int) as part from readings),
+wanted as (select unnest([{', '.join(f"'{c}'" for c in S.REQUIRED_COLUMNS)}]) as name)"""
 
 
 @query(
     "A-05_header_check",
-    Q.query(Q.READINGS, select="""select column_name, code from (select 'lower_limit' as column_name, 'MISSING_REQUIRED_COLUMNS' as code, count(*) as n from readings) x where n > 0"""),
+    Q.query(Q.READINGS, HEADERS_SQL, select="""select part, 'upper_limit' as column_name, 'MISSING_REQUIRED_COLUMNS' as code from b where part % 3 = 0
+union all select part, 'hours', 'DUPLICATE_HEADER' from b where part % 3 = 1
+union all select part, null, 'FILE_EMPTY' from b where part % 3 = 2
+union all select part, name, 'MISSING_REQUIRED_COLUMNS' from b cross join wanted where part % 3 = 2"""),
 )
 def _(spark, d):
-    headers = csv_source.header_names(spark, csv_copy(spark, d))
-    found = csv_source.check_headers(headers, [*S.REQUIRED_COLUMNS, "lower_limit"])
-    return found.select("column_name", "code").distinct()
+    """One file per batch, its header short of a column, with a double one, or blank."""
+    full, part = ",".join(S.REQUIRED_COLUMNS), F.col("part")
+    short = full.replace("batch_id", " batch_id ").removesuffix(",upper_limit")
+    head = F.when(part % 3 == 0, short).when(part % 3 == 1, full + ",hours").otherwise(",,")
+    rows = READ(spark, d).select(batch_number().alias("part"), F.col("measurement_value").cast("string").alias("value"))
+    lines = rows.withColumn("at", F.lit(1)).unionByName(rows.select("part").distinct().select("part", head.alias("value"), F.lit(0).alias("at")))
+    path = by_part(lines.repartition(8, "part").sortWithinPartitions("part", "at").drop("at"), export.scratch(spark, "headers"), "text")
+    found = csv_source.check_headers(csv_source.header_names(spark, path, glob="*.txt"))
+    return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part"), "column_name", "code")
 
 
-@query("A-06_row_cap", Q.query(Q.READINGS, select="select count(*) as rows, false as any_over_cap from readings"))
+@query("A-06_row_cap", Q.query(Q.READINGS, select="select case when batch_id = 'B00' then 0 else 1 end as part, count(*) as rows, count(*) > (select count(*) // 2 from readings) as over_cap from readings group by 1"))
 def _(spark, d):
-    df = csv_source.read_text(spark, csv_copy(spark, d), line_numbers=True)
-    per_file = csv_source.rows_per_file(df, 2**40)
-    return per_file.agg(F.sum("rows").alias("rows"), F.bool_or("over_cap").alias("any_over_cap"))
+    """Two files, one on either side of a cap of half of all rows."""
+    rows = READ(spark, d).withColumn("part", (batch_number() > 0).cast("int"))
+    df = csv_source.read_text(spark, by_part(rows.repartition(8, "part"), export.scratch(spark, "csv")), line_numbers=True)
+    per_file = csv_source.rows_per_file(df, rows.count() // 2)
+    return per_file.select(F.regexp_extract("file_path", r"part=(\d+)", 1).cast("int").alias("part"), "rows", "over_cap")
 
 
 @query("A-07_outcome_scan", Q.query(Q.READINGS, select=f"select {K}, hours, round(measurement_value, 6) + 0.0 as measurement_value from readings where hours > 24"))

@@ -271,7 +271,8 @@ FOLD_COLUMNS = ["mae_normalized", "mae_unit", "rmse_normalized", "mean_signed_er
 def fold_summary(per_fold: DataFrame, keys: Sequence[str] = ("config",)) -> DataFrame:
     """Mean, spread, range and the per-fold list (one element per fold) of the headline metrics."""
     aggs = []
-    for c in FOLD_COLUMNS:
+    fitted = ["train_mae"] if "train_mae" in per_fold.columns else []
+    for c in [*FOLD_COLUMNS, *fitted]:
         aggs += [
             F.avg(c).alias(f"{c}_mean"),
             F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"),
@@ -324,6 +325,7 @@ def comparison_table(pooled: DataFrame, per_fold: DataFrame, per_batch: DataFram
     Eligible: beats persistence overall and in four of five folds, moves healthy
     parts by at most 0.02, and is not ``excluded`` (uses batch-constant conditions).
     """
+    fitted = [F.avg("train_mae").alias("train_mae_fold_mean")] if "train_mae" in per_fold.columns else []
     table = (
         pooled.join(folds_beating(per_fold), "config")
         .join(paired_deltas(per_batch), "config")
@@ -331,6 +333,7 @@ def comparison_table(pooled: DataFrame, per_fold: DataFrame, per_batch: DataFram
             per_fold.groupBy("config").agg(
                 F.avg("mae_normalized").alias("mae_fold_mean"),
                 F.coalesce(F.stddev_samp("mae_normalized"), F.lit(0.0)).alias("mae_fold_std"),
+                *fitted,
             ),
             "config",
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from peerscreen import schema as S
 from peerscreen.functions.columns import flag, logistic, ratio, refuse_null
@@ -247,10 +247,9 @@ def parameter_sweep(
 ) -> DataFrame:
     """Metrics for every grid point.
 
-    Scores are computed once per hour (forest included, it sees no threshold);
-    each method then meets only the parameters it can see, so a row is repeated
-    at most (thresholds x contaminations) times and never for a cross product
-    that would give equal numbers.
+    Scores are computed once per hour (forest included, it sees no threshold). One aggregation
+    then counts every grid point by its own condition, so no row is repeated per threshold or
+    fraction, and no method is counted under a parameter that it can't see.
     """
     heat = heat or ordering.measure(readings)
     train, test = build_split_features(
@@ -261,57 +260,44 @@ def parameter_sweep(
         test, config, detector=model, contaminations=list(contaminations) if with_forest else None, heat=heat
     )
     rows = metrics.join_truth(screened, metrics.with_onset(labels), [*TRUTH, "is_healthy"])
-    first = float(contaminations[0])
-    literal = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    one_forest = rows.filter(F.col("contamination") == first) if with_forest else rows
-    none = F.lit(None).cast("double")
-    truth = [*S.KEY4, "as_of_hour", *TRUTH, "is_healthy"]
-
-    def points(df, method, on, contamination=none, threshold=none, fraction=none):
-        return df.select(
-            *truth,
-            F.lit(method).alias("method"),
-            flag(on).alias("flagged"),
-            contamination.alias("contamination"),
-            threshold.alias("robust_threshold"),
-            fraction.alias("fixed_limit_fraction"),
-        )
-
-    at_fraction = one_forest.withColumn("_p", F.explode(literal(fixed_limit_fractions)))
-    at_threshold = one_forest.withColumn("_p", F.explode(literal(robust_thresholds)))
-    fixed = F.col("current_value") >= F.col("upper_limit") * F.col("_p")
-    robust = F.col("robust_deviation_score") >= F.col("_p")
-    strict = F.col("robust_mad_strict_deviation") >= F.col("_p")
-    out = (
-        points(at_fraction, "fixed_limit", fixed, fraction=F.col("_p"))
-        .unionByName(points(at_threshold, "robust_mad", robust, threshold=F.col("_p")))
-        .unionByName(points(at_threshold, "robust_mad_strict", strict, threshold=F.col("_p")))
-    )
+    deviation, strict = F.col("robust_deviation_score"), F.col("robust_mad_strict_deviation")
+    points = [("fixed_limit", None, x, F.col("current_value") >= F.col("upper_limit") * float(x)) for x in fixed_limit_fractions]
+    points += [("robust_mad", t, None, deviation >= float(t)) for t in robust_thresholds]
+    points += [("robust_mad_strict", t, None, strict >= float(t)) for t in robust_thresholds]
     if with_forest:
-        c = F.col("contamination")
-        both = rows.withColumn("_p", F.explode(literal(robust_thresholds)))
-        out = out.unionByName(points(rows, "isolation_forest", F.col("is_model_anomaly"), contamination=c)).unionByName(
-            points(both, "combined", robust | flag("is_model_anomaly"), contamination=c, threshold=F.col("_p"))
-        )
-    return _sweep_metrics(out, config.fit_scope if with_forest else None)
+        points.append(("isolation_forest", None, None, flag("is_model_anomaly")))
+        points += [("combined", t, None, (deviation >= float(t)) | flag("is_model_anomaly")) for t in robust_thresholds]
+    number = lambda x: F.lit(x).cast("double")
+    entries = [
+        F.struct(F.lit(m).alias("method"), number(t).alias("robust_threshold"), number(x).alias("fixed_limit_fraction"), *_sweep_metrics(flag(on)))
+        for m, t, x, on in points
+    ]
+    keys = ["as_of_hour", *(["contamination"] if with_forest else [])]
+    out = rows.groupBy(*keys).agg(F.array(*entries).alias("_points")).select(*keys, F.inline("_points"))
+    # Methods that see no contamination have equal numbers under each: keep those of the first.
+    forest = F.col("method").isin("isolation_forest", "combined")
+    if with_forest:
+        out = out.filter(forest | (F.col("contamination") == float(contaminations[0])))
+    c = F.when(forest, F.col("contamination")) if with_forest else F.lit(None).cast("double")
+    out = out.withColumns({"contamination": c, "fit_scope": F.when(forest, F.lit(config.fit_scope if with_forest else None))})
+    front = ["method", "as_of_hour", "contamination", "robust_threshold", "fixed_limit_fraction"]
+    return out.select(*front, *[n for n in out.columns if n not in front])
 
 
-def _sweep_metrics(points: DataFrame, fit_scope: str | None) -> DataFrame:
-    n, on, tester = F.count_if, F.col("flagged"), flag("is_tester_fault")
+def _sweep_metrics(on: Column) -> list[Column]:
+    n, tester = F.count_if, flag("is_tester_fault")
     defect, healthy = flag("is_defect") & ~tester, ~flag("is_defect") & ~tester
     first, as_of = F.col("first_exceedance_hour"), F.col("as_of_hour")
     later = on & defect & F.coalesce(first > as_of, F.lit(False))
-    keys = ["method", "as_of_hour", "contamination", "robust_threshold", "fixed_limit_fraction"]
-    out = points.groupBy(*keys).agg(
+    return [
         ratio(n(on & defect), n(defect)).alias("defect_recall"),
         ratio(n(~on & defect), n(defect)).alias("false_negative_rate"),
         ratio(n(on & healthy), n(healthy)).alias("false_positive_rate"),
         ratio(n(on & defect), n(on & (defect | healthy))).alias("precision"),
+        # Lead times are differences of checkpoint hours: few distinct values.
         F.median(F.when(later, first - as_of)).alias("median_lead_time_hours"),
         n(later).alias("n_early_warnings"),
-    )
-    uses_forest = F.col("method").isin("isolation_forest", "combined")
-    return out.withColumn("fit_scope", F.when(uses_forest, F.lit(fit_scope)))
+    ]
 
 
 def sweep_summary(sweep: DataFrame) -> DataFrame:

@@ -95,11 +95,13 @@ def decide_all(
     df = scored.withColumn("forecast", prediction)
     if margins is not None:
         df = intervals.apply_margins(df, margins, "forecast")
-    else:
-        r = F.lit(float(radius or 0.0))
+    elif radius is not None:
+        r = F.lit(float(radius))
         df = df.withColumns(
             {"lower": F.greatest(F.col("forecast") - r, F.lit(0.0)), "upper": F.col("forecast") + r}
         )
+    else:  # not calibrated
+        df = df.withColumns({c: F.lit(None).cast("double") for c in ("lower", "upper")})
     df = forecast.in_units(df)
     if optional:
         df = df.withColumn("missing_optional_features", feats.missing_list(optional))
@@ -116,13 +118,17 @@ def screen(
     as_of_hour: float = S.AS_OF_HOUR,
     detector: iforest.IsolationModel | None = None,
     prediction: Column | None = None,
-    radius: float = 0.25,
+    radius: float | None = None,
     margins: DataFrame | None = None,
     grid: Sequence[float] | None = None,
     carry: Sequence[str] = (),
     hot: bool | None = None,
 ) -> DataFrame:
-    """Whole path for clean readings; the forecast defaults to persistence."""
+    """Whole path for clean readings; the forecast defaults to persistence.
+
+    Bounds come from a calibrated ``radius`` or ``margins`` only; without either they are NULL and
+    no recommendation rests on them.
+    """
     if hot is None:
         hot = ordering.has_hot_group(readings, S.PEER)
     table = feats.build_component_features(readings, as_of_hour=as_of_hour, grid=grid, carry=carry, hot=hot)
@@ -131,6 +137,58 @@ def screen(
     return decide_all(scored, prediction if prediction is not None else forecast.persistence(), radius=radius, margins=margins)
 
 
+@dataclass
+class Screened:
+    """Records of the scored histories, the rest with reasons, counts, and what happened later."""
+
+    records: DataFrame
+    unscored: DataFrame
+    summary: DataFrame
+    outcomes: DataFrame | None = None
+
+
+def screen_readings(
+    readings: DataFrame,
+    bundle=None,
+    *,
+    model: str | None = None,
+    outcomes: DataFrame | None = None,
+    family: str = "MLCC_X7R",
+    measurement: str | None = "leakage_ua",
+    strict: bool = True,
+    hot: bool | None = None,
+) -> Screened:
+    """Screen readings with the frozen models of a bundle (:class:`peerscreen.plans.training.Bundle`).
+
+    Histories that fail the eligibility gate, or whose profile the bundle has not seen, are not scored.
+    Without a bundle there is no forecast and no bound: each record is provisional and rests on the
+    anomaly rule alone. ``outcomes`` are later readings; they are joined to the screened histories
+    for a reveal and reach neither features nor records.
+    """
+    if outcomes is not None and (missing := [c for c in (*S.KEY4, "hours", "measurement_value") if c not in outcomes.columns]):
+        raise ValueError("the outcomes lack columns: " + ", ".join(missing))
+    prepared = prepare_early_features(readings, family=family, measurement=measurement, strict=strict, hot=hot)
+    if hot is None:
+        hot = ordering.has_hot_group(prepared.early, S.PEER)
+    table, unscored = prepared.features, prepared.rejects.select(*S.KEY4, "reasons")
+    if bundle is not None and bundle.supported_profiles is not None:
+        known = table if "profile_id" in table.columns else table.withColumn("profile_id", F.lit(None).cast("string"))
+        table, other = quality.supported_profiles(known, bundle.supported_profiles)
+        unscored = unscored.unionByName(other.select(*S.KEY4, "reasons"))
+    table = peers.peer_count(augment_features(table, hot=hot), hot=hot)
+    if bundle is not None:
+        records = bundle.screen(table, model=model).withColumns({"provisional": F.lit(False), "recommendation_basis": F.lit("combined")})
+    else:
+        scored = decide.limit_info(score(table)).withColumn("recommendation_reasons", F.col("reason_codes"))
+        empty = {c: F.lit(None).cast("double") for c in ("predicted_final_value", "prediction_lower", "prediction_upper")}
+        records = decide.provisional_recommendation(scored.withColumns(empty | {"forecast_model": F.lit(None).cast("string")}))
+    later = None
+    if outcomes is not None:
+        ids = records.select(*S.KEY4).unionByName(unscored.select(*S.KEY4))
+        later = outcomes.filter(F.col("hours") > S.AS_OF_HOUR).join(ids, S.KEY4, "left_semi").select(*S.KEY4, "hours", "measurement_value")
+    return Screened(records, unscored, decide.summary(records, unscored), later)
+
+
 def forecast_table(
     prepared: EarlyTable,
     prediction: Column,

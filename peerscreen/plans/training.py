@@ -14,9 +14,10 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peerscreen import schema as S
-from peerscreen.functions.columns import refuse_null
+from peerscreen.functions.columns import flag, refuse_null
 from peerscreen.operators import boosting, forecast, iforest, intervals, metrics, ordering, splits
 from peerscreen.operators.boosting import CandidateConfig, Ensemble, FittedModel
+from peerscreen.plans import screening
 
 FORMAT = "peerscreen-bundle-2"
 
@@ -26,7 +27,7 @@ FORMAT = "peerscreen-bundle-2"
 
 def training_table(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features with y and truth; refuses rows without a usable final value."""
-    truth = [c for c in ("is_defect", "is_tester_fault", "is_healthy", "scenario", "anomaly_onset_hour", "tester_fault_onset_hour") if c in labels.columns]
+    truth = [c for c in ("is_defect", "is_tester_fault", "is_healthy", "is_future_failure", "scenario", "anomaly_onset_hour", "tester_fault_onset_hour") if c in labels.columns]
     table = forecast.joined_labels(features, labels).join(labels.select(*S.KEY4, *truth), S.KEY4, "left")
     message = "every training component needs a finite nonnegative final_value"
     return table.withColumn("y", refuse_null(F.col("y"), F.col("y"), message))
@@ -229,6 +230,12 @@ def interval_summary(rows: DataFrame) -> DataFrame:
 
 # --- training a bundle -------------------------------------------------------------------
 
+# Fixed values of records.
+SYMMETRIC_INTERVAL = "split_conformal_absolute_residual"
+STRATIFIED_INTERVAL = "stratified_asymmetric_split_conformal_signed_residual"
+
+NOT_SELECTED = "Another model of the bundle had the smaller error on the inner held-out batches"
+
 
 @dataclass
 class Bundle:
@@ -238,26 +245,25 @@ class Bundle:
     models: dict[str, FittedModel]
     radii: dict[str, float]
     margins: list[dict]
-    detector: iforest.IsolationModel
+    detector: iforest.IsolationModel | None  # none: the robust rule flags alone
     contamination: float = 0.1
     alpha: float = 0.1
     supported_profiles: DataFrame | None = None  # one column, profile_id
     condition_ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
     validation_mae: dict[str, float] = field(default_factory=dict)
+    stratified: str = boosting.FINAL.name  # the model that the margins belong to
 
     def margin_table(self, spark: SparkSession) -> DataFrame:
         rows = [[m["stratum"], *[m[c] for c in intervals.MARGINS]] for m in self.margins]
         return spark.createDataFrame(rows, "stratum int, " + ", ".join(f"{c} double" for c in intervals.MARGINS))
 
     def screen(self, features: DataFrame, *, model: str | None = None) -> DataFrame:
-        """Scores, forecast with bounds, recommendation, readiness."""
-        from peerscreen.plans import screening
-
+        """Scores, forecast with bounds, recommendation, readiness, and which interval it is."""
         name = model or self.selected
         if name not in self.models:
             raise ValueError(f"the bundle has no model named {name}")
-        scored = self.detector.score(features, contamination=self.contamination)
-        stratified = name == boosting.FINAL.name
+        scored = screening.score(features, detector=self.detector, contamination=self.contamination)
+        stratified = name == self.stratified
         out = screening.decide_all(
             scored,
             self.models[name].prediction(scored),
@@ -266,10 +272,17 @@ class Bundle:
             bounds={c: r for c, r in self.condition_ranges.items() if c in features.columns},
             optional=[c for c in S.FORECAST_FEATURES if c in features.columns],
         )
+        limit, none = F.col("upper_limit"), F.lit(None)
+        wide = {f"prediction_{c}": F.col(c) * limit if stratified else none.cast("double") for c in ("lower_two_sided", "upper_two_sided")}
         return out.withColumns(
             {
                 "forecast_model": F.lit(name),
+                "interval_method": F.lit(STRATIFIED_INTERVAL if stratified else SYMMETRIC_INTERVAL),
+                "interval_stratum": F.concat(F.lit("slope_z_stratum_"), F.col("stratum").cast("string")) if stratified else none.cast("string"),
                 "interval_nominal_coverage": F.lit(1.0 - 2 * self.alpha if stratified else 1.0 - self.alpha),
+                "upper_bound_nominal_level": F.lit(1.0 - self.alpha) if stratified else none.cast("double"),
+                "selection_warning": F.lit(NOT_SELECTED) if name != self.selected else none.cast("string"),
+                **wide,
             }
         )
 
@@ -282,11 +295,13 @@ def train_bundle(
     configs: Sequence[CandidateConfig] = (boosting.RIDGE, boosting.HIST, boosting.SQUARED, boosting.FINAL),
     alpha: float = 0.1,
     seed: int = 26170,
+    stratified: str = boosting.FINAL.name,
+    with_detector: bool = True,
 ) -> tuple[Bundle, DataFrame]:
     """Select on inner held-out batches, refit, calibrate once, evaluate once on untouched batches.
 
     Inputs are training tables (features, y, truth). Returns the bundle and the
-    evaluation table.
+    evaluation table. The model named ``stratified`` gets margins per slope stratum, if it is among them.
     """
     train, calibration, test = (ordering.stable(t) for t in (train, calibration, test))
     for a, b in ((train, calibration), (train, test), (calibration, test)):
@@ -306,17 +321,16 @@ def train_bundle(
     mae = {c.name: tried[f"e{i}"] for i, c in enumerate(every)}
     selected = min(mae, key=mae.get)
     models = {c.name: m for c, m in zip(every, finals)}
-    detector = iforest.fit(train, seed=seed)
-    radii = {}
-    for name, model in models.items():
-        residuals = model.transform(calibration).withColumn("residual", F.col("y") - F.col("pred"))
-        radius = intervals.conformal_radius(residuals, "residual", alpha=alpha).first()["radius"]
-        if radius is None:
-            raise ValueError("the calibration table is too small for this alpha")
-        radii[name] = float(radius)
+    detector = iforest.fit(train, seed=seed) if with_detector else None
+    entries = [F.struct(F.lit(n).alias("config"), (F.col("y") - F.element_at("_p", i + 1)).alias("residual")) for i, n in enumerate(models)]
+    missed = calibration.withColumn("_p", boosting.joint_predictions(list(models.values()))).select(F.inline(F.array(*entries)))
+    found = intervals.conformal_radius(missed, "residual", alpha=alpha, keys=["config"]).collect()  # one row per model
+    if len(found) < len(models) or any(r["radius"] is None for r in found):
+        raise ValueError("the calibration table is too small for this alpha")
+    radii = {r["config"]: float(r["radius"]) for r in found}
     margins = []
-    if boosting.FINAL.name in models:
-        residuals = models[boosting.FINAL.name].transform(calibration).withColumn("residual", F.col("y") - F.col("pred"))
+    if stratified in models:
+        residuals = models[stratified].transform(calibration).withColumn("residual", F.col("y") - F.col("pred"))
         margins = [r.asDict() for r in intervals.stratified_margins(residuals, "residual", alpha=alpha).collect()]  # three rows
         if any(m[c] is None for m in margins for c in intervals.MARGINS):
             raise ValueError("the calibration table is too small for one-sided bounds at this alpha")
@@ -326,28 +340,102 @@ def train_bundle(
     profiles = None
     if "profile_id" in train.columns:
         profiles = ordering.stable(train.select("profile_id").where(F.coalesce("profile_id", F.lit("")) != "").distinct())
-    bundle = Bundle(selected, models, radii, margins, detector, 0.1, alpha, profiles, ranges, mae)
+    bundle = Bundle(selected, models, radii, margins, detector, 0.1, alpha, profiles, ranges, mae, stratified)
     return bundle, evaluate_bundle(bundle, test)
 
 
+def _by_model(bundle: Bundle, test: DataFrame) -> DataFrame:
+    """One row per test row and model, with the symmetric bounds; all models score in one pass."""
+    entries = [F.struct(F.lit(n).alias("config"), F.element_at("_p", i + 1).alias("pred"), F.lit(bundle.radii[n]).alias("_r")) for i, n in enumerate(bundle.models)]
+    made = ("config", "pred", "lower", "upper")
+    scored = test.withColumn("_p", boosting.joint_predictions(list(bundle.models.values())))
+    rows = scored.select(*[c for c in test.columns if c not in made], F.inline(F.array(*entries)))
+    bounds = {"lower": F.greatest(F.col("pred") - F.col("_r"), F.lit(0.0)), "upper": F.col("pred") + F.col("_r")}
+    return ordering.stable(rows.withColumns(bounds).drop("_r"))
+
+
 def evaluate_bundle(bundle: Bundle, test: DataFrame) -> DataFrame:
     """Per model: error, crossing confusion and interval quality on untouched batches."""
-    rows = None
-    for name, model in bundle.models.items():
-        one = model.transform(test).withColumns(
-            {
-                "config": F.lit(name),
-                "lower": F.greatest(F.col("pred") - bundle.radii[name], F.lit(0.0)),
-                "upper": F.col("pred") + bundle.radii[name],
-            }
-        )
-        rows = one if rows is None else rows.unionByName(one)
-    rows = ordering.stable(rows)
+    return _model_block(_by_model(bundle, test))
+
+
+def _model_block(rows: DataFrame) -> DataFrame:
     return metrics.forecast_metrics(rows, keys=["config"]).join(
         intervals.interval_metrics(rows, keys=["config"]).drop("components"), "config"
     )
 
 
+@dataclass
+class Evaluation:
+    """What a bundle does on untouched batches, in small tables."""
+
+    models: DataFrame  # per model: error, crossings, symmetric interval
+    profiles: DataFrame | None  # the same, shorter, per model and profile
+    stratified: DataFrame | None  # the interval by margins, of the model that has them
+    alerts: DataFrame  # anomalies and recommendations against crossings
+    actions: DataFrame  # rows per recommendation
+    scenarios: DataFrame | None  # share of alerts per scenario
+
+
+def evaluate_whole(bundle: Bundle, test: DataFrame, *, model: str | None = None) -> Evaluation:
+    """All blocks on untouched batches; the screen is that of ``model``, by default the selected one.
+
+    Blocks whose columns the test table lacks (profile_id, scenario) are None. Latent crossings need
+    is_future_failure and is_tester_fault; a row without either counts as not so.
+    """
+    rows = _by_model(bundle, test)
+    y, alert = F.col("y"), F.col("recommendation") != "ACCEPT"
+    profiles = None
+    if "profile_id" in test.columns:
+        error, width = F.abs(F.col("pred") - y), F.col("upper") - F.col("lower")
+        profiles = rows.groupBy("config", "profile_id").agg(
+            F.count(F.lit(1)).alias("components"),
+            F.avg(error).alias("mae_normalized"),
+            F.avg(error * F.col("upper_limit")).alias("mae_unit"),
+            F.avg(y.between(F.col("lower"), F.col("upper")).cast("double")).alias("interval_coverage"),
+            F.avg(width * F.col("upper_limit")).alias("mean_width_unit"),
+        )
+    stratified = _stratified_block(bundle, rows) if bundle.stratified in bundle.models else None
+    screened = ordering.stable(bundle.screen(test, model=model))
+    return Evaluation(
+        _model_block(rows),
+        profiles,
+        stratified,
+        alert_blocks(screened),
+        screened.groupBy("recommendation").agg(F.count(F.lit(1)).alias("components")),
+        screened.groupBy("scenario").agg(F.count(F.lit(1)).alias("components"), F.avg(alert.cast("double")).alias("alert_rate")) if "scenario" in test.columns else None,
+    )
+
+
+def _stratified_block(bundle: Bundle, rows: DataFrame) -> DataFrame:
+    one = rows.filter(F.col("config") == bundle.stratified).drop("lower", "upper")
+    one = ordering.stable(intervals.apply_margins(one, bundle.margin_table(rows.sparkSession), "pred"))
+    y, wide = F.col("y"), F.col("y").between(F.col("lower_two_sided"), F.col("upper_two_sided"))
+    unit = one.withColumn("_w", (F.col("upper") - F.col("lower")) * F.col("upper_limit"))
+    more = one.groupBy("config").agg(
+        F.avg(wide.cast("double")).alias("two_sided_coverage"),
+        F.avg((F.col("upper") >= 1.0).cast("double")).alias("share_upper_at_or_above_limit"),
+        F.avg((y > F.col("upper")).cast("double")).alias("share_above_upper"),
+    )
+    median = ordering.group_median(unit, ["config"], "_w", "median_width_unit").drop("n")
+    return intervals.interval_metrics(one, keys=["config"]).join(more, "config").join(median, "config")
+
+
+def alert_blocks(screened: DataFrame) -> DataFrame:
+    """(alert, target, confusion): anomalies and recommendations against observed and latent crossings, in one pass."""
+    columns = set(screened.columns)
+    on = {"combined_screening": F.col("recommendation") != "ACCEPT", "anomaly_detection": flag("is_anomaly")}
+    targets = {"observed_final_crossing": (F.col("y") >= 1.0, F.lit(True))}
+    if {"is_future_failure", "is_tester_fault"} <= columns:
+        targets["latent_crossing_without_tester_faults"] = (flag("is_future_failure"), ~flag("is_tester_fault"))
+    blocks = [
+        F.struct(F.lit(a).alias("alert"), F.lit(t).alias("target"), F.count_if(within).alias("components"), *metrics.confusion(truth, fires, within=within))
+        for a, fires in on.items()
+        for t, (truth, within) in targets.items()
+    ]
+    return screened.agg(F.array(*blocks).alias("b")).select(F.inline("b"))
+
+
 def alert_evaluation(screened: DataFrame) -> DataFrame:
     """Alerts (any recommendation but ACCEPT) and plain anomalies against the observed final crossing."""
     truth = F.col("y") >= 1.0
@@ -435,15 +523,16 @@ def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
         "has_profiles": bundle.supported_profiles is not None,
         "condition_ranges": bundle.condition_ranges,
         "validation_mae": bundle.validation_mae,
-        "detector_keys": bundle.detector.keys,
-        "detector_columns": bundle.detector.columns,
+        "stratified": bundle.stratified,
+        "detector_keys": bundle.detector.keys if bundle.detector else None,
+        "detector_columns": bundle.detector.columns if bundle.detector else None,
     }
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("errorifexists").text(os.path.join(path, "manifest"))
     for name, model in bundle.models.items():
         save_model(model, spark, os.path.join(path, "models", name))
     if bundle.supported_profiles is not None:
         bundle.supported_profiles.write.mode("errorifexists").parquet(os.path.join(path, "profiles"))
-    for name in ("forest", "medians", "train_scores"):
+    for name in ("forest", "medians", "train_scores") if bundle.detector else ():
         getattr(bundle.detector, name).write.mode("errorifexists").parquet(os.path.join(path, "detector", name))
 
 
@@ -452,9 +541,10 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     if facts.get("format") != FORMAT or facts.get("feature_columns") != S.FORECAST_FEATURES:
         raise ValueError("the bundle was saved in another format or for other features")
     read = lambda n: spark.read.parquet(os.path.join(path, "detector", n))
-    detector = iforest.IsolationModel(facts["detector_keys"], facts["detector_columns"], read("forest"), read("medians"), read("train_scores"))
+    detector = None if facts["detector_keys"] is None else iforest.IsolationModel(facts["detector_keys"], facts["detector_columns"], read("forest"), read("medians"), read("train_scores"))
     models = {n: load_model(spark, os.path.join(path, "models", n)) for n in facts["models"]}
     return Bundle(
         facts["selected"], models, facts["radii"], facts["margins"], detector, facts["contamination"], facts["alpha"],
         spark.read.parquet(os.path.join(path, "profiles")) if facts["has_profiles"] else None, {c: tuple(r) for c, r in facts["condition_ranges"].items()}, facts["validation_mae"],
+        facts.get("stratified", boosting.FINAL.name),
     )

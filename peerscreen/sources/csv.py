@@ -99,7 +99,8 @@ def decode(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYTES, g
                         text, name = bytes(row.content).decode("cp1252"), "cp1252"
                     except UnicodeDecodeError:
                         text, name = "", "invalid"
-                parts = text.splitlines() or [""]
+                # Lines end at CR LF, LF and CR only; other separators are text.
+                parts = [part.rstrip("\n") for part in io.StringIO(text, newline=None)] or [""]
                 yield pd.DataFrame(
                     {"path": row.path, "line_number": range(1, len(parts) + 1), "line": parts, "encoding": name}
                 )

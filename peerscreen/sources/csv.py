@@ -186,7 +186,17 @@ def ingest_files(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BY
     Errors carry the file, the line where known, and the column. A file with an error gives no
     rows; the structure of the rest is checked only where no cell is at fault.
     """
-    parsed = parse_files(spark, path, max_bytes=max_bytes, max_rows=max_rows, glob=glob)
+    return _intake(parse_files(spark, path, max_bytes=max_bytes, max_rows=max_rows, glob=glob))
+
+
+def ingest_bulk(spark: SparkSession, path: str, *, max_rows: int | None = None, glob: str = "*.csv") -> Intake:
+    """The intake job for files of any size: files are split, quoted line breaks included, and none is read whole."""
+    from peerscreen.sources import records
+
+    return _intake(records.read_records(spark, path, max_rows=max_rows, glob=glob))
+
+
+def _intake(parsed: DataFrame) -> Intake:
     notes = parsed.filter(F.col("code") == OTHER_ENCODING).select("path", "code")
     errors = parsed.filter(F.col("code").isNotNull() & (F.col("code") != OTHER_ENCODING)).select("path", "line", "column_name", "code")
     known = [*S.REQUIRED_COLUMNS, *S.OPTIONAL_NUMERIC, *S.OPTIONAL_TEXT]
@@ -196,7 +206,7 @@ def ingest_files(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BY
     errors = ordering.stable(errors.unionByName(cells.select("path", "line", "column_name", "code")))
     clean = typed(text.join(errors.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti"))
     if errors.isEmpty():
-        nowhere = (F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"))
+        nowhere = (F.lit(None).cast("string").alias("path"), F.lit(None).cast(parsed.schema["line"].dataType).alias("line"))
         errors = structural_errors(clean).select(*nowhere, "column_name", "code")
     return Intake(clean, errors, notes)
 
@@ -205,7 +215,7 @@ def broken_records(spark: SparkSession, path: str, *, glob: str = "*.csv") -> Da
     """(path, code) of files with a line whose quotes don't pair up: a quoted line break.
 
     :func:`read_text` splits files by line and would cut such a record; send them through
-    :func:`parse_files`, or refuse them.
+    :func:`parse_files`, or, if they are large, ``records.read_records``.
     """
     lines = spark.read.option("pathGlobFilter", glob).text(path)
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1

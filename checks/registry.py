@@ -157,6 +157,19 @@ def _(spark, d):
     return rounded(got.clean.groupBy(*KEY).agg(F.count(F.lit(1)).alias("readings"), F.sum("measurement_value").alias("total")))
 
 
+@query(
+    "A-01_bulk_records",
+    Q.query(Q.READINGS, select=f"""select {K}, hours, round(measurement_value, 6) + 0.0 as measurement_value,
+  component_id || chr(10) || '"' || measurement_name || '", ' || chr(13) || chr(10) || 'end' as data_source from readings"""),
+)
+def _(spark, d):
+    """Every record holds a quoted cell of three lines; files are split, not read whole."""
+    note = F.concat("component_id", F.lit('\n"'), "measurement_name", F.lit('", \r\nend'))
+    path = export.scratch(spark, "csv")
+    READ(spark, d).withColumn("data_source", note).write.options(header=True, escape='"').csv(path)
+    return rounded(csv_source.ingest_bulk(spark, path).clean.select(*KEY, "hours", "measurement_value", "data_source"))
+
+
 @query("A-04_decode", Q.query(Q.READINGS, select="select case when cast(substr(batch_id, 2) as int) % 2 = 1 then 'cp1252' else 'utf-8' end as encoding, count(*) as data_lines, count(*) as with_unit from readings group by 1"))
 def _(spark, d):
     """Every other batch in Windows-1252: its euro sign is the byte that ISO-8859-1 writes for U+0080. VT ends no line."""

@@ -278,24 +278,49 @@ def _score_in_place(rows: DataFrame, model: IsolationModel) -> DataFrame:
     return rows.withColumn("isolation_score", finite(score("_x", scope))).drop("_x")
 
 
+def _packed(forest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per scope: its trees in flat arrays, and where each tree begins."""
+    arrays = ["feature", "threshold", "left", "right", "path"]
+    trees = forest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_tree", *arrays, "n_sample"))).alias("_t"))
+    sizes = F.transform("_t.path", lambda path: F.size(path))
+    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    flat = [F.flatten(F.col(f"_t.{c}")).alias(c) for c in arrays]
+    return trees.select(*keys, begins.alias("begins"), F.array_max("_t.n_sample").alias("n_sample"), *flat)
+
+
+def _unpacked(scope) -> pd.DataFrame:
+    """The trees of a packed scope as views of its arrays."""
+    begins = np.asarray(scope.begins)
+    parts = {c: np.split(np.asarray(getattr(scope, c)), begins[1:-1]) for c in ("feature", "threshold", "left", "right", "path")}
+    return pd.DataFrame(parts).assign(n_sample=scope.n_sample)
+
+
 def _score_in_groups(rows: DataFrame, model: IsolationModel) -> DataFrame:
-    """Rows and trees meet in groups of at most about ROWS_PER_GROUP rows."""
+    """Distinct points and packed trees meet in groups of about ROWS_PER_GROUP points; the scores join rows by point.
+
+    Python sees scopes and points alone; all other columns stay where they are.
+    """
     keys = model.keys
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_GROUP).cast("int").alias("_salts"))
+    at = [*keys, "_x"]
+    points = ordering.stable(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_rows")))
+    hot = not points.filter(F.col("_rows") > ordering.hot_rows(rows.sparkSession)).isEmpty()
+    points = points.drop("_rows")
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_GROUP).cast("int").alias("_salts"))
     attach = lambda df: ordering.null_safe_join(df, sizes, keys, "inner") if keys else df.crossJoin(sizes)
-    spread = attach(rows).withColumn("_salt", F.pmod(F.xxhash64(*S.KEY4), F.col("_salts")).cast("int")).drop("_salts")
-    copies = attach(model.forest).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    schema = rows.drop("_x").schema.add("isolation_score", "double")
+    spread = attach(points).withColumn("_salt", F.pmod(F.xxhash64("_x"), F.col("_salts")).cast("int")).drop("_salts")
+    copies = attach(_packed(model.forest, keys)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    schema = points.schema.add("isolation_score", "double")
 
     def score(batch: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
             return pd.DataFrame(columns=schema.names)
-        out = _as_score(np.vstack(batch["_x"].to_numpy()), trees.sort_values("_tree")) if len(trees) else np.nan
-        return batch.drop(columns=["_x", "_salt"]).assign(isolation_score=out)
+        out = _as_score(np.vstack(batch["_x"].to_numpy()), _unpacked(trees.iloc[0])) if len(trees) else np.nan
+        return batch.drop(columns="_salt").assign(isolation_score=out)
 
     group = [*keys, "_salt"]
     scored = spread.groupBy(*group).cogroup(copies.groupBy(*group)).applyInPandas(score, schema)
-    return scored.withColumn("isolation_score", finite("isolation_score"))
+    scored = scored.withColumn("isolation_score", finite("isolation_score"))
+    return (ordering.salted_join if hot else ordering.null_safe_join)(rows, scored, at).drop("_x")
 
 
 def _training_share(rows: DataFrame, train_scores: DataFrame, keys: Sequence[str], *, hot: bool) -> DataFrame:

@@ -6,6 +6,7 @@ say a fitted model, so where there is an oracle it compares keys, ranges and sum
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from checks import sql as Q
@@ -14,7 +15,7 @@ from checks.registry import CARRY, HEAT, KEY, READ, feature_table, labels, query
 from peerscreen.operators import features as feats
 from peerscreen import schema as S
 from peerscreen.operators import boosting, forecast, iforest, metrics, ordering, splits
-from peerscreen.plans import evaluation, screening, training
+from peerscreen.plans import evaluation, screening, stages, training
 from peerscreen.sources import export
 
 ABSOLUTE = boosting.FINAL
@@ -409,6 +410,23 @@ def _(spark, d):
     return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("again").eqNullSafe(F.col("pred"))).alias("changed"))
 
 
+@query("A-16_ml_pipeline_reload", Q.query(*TRAINED, select="select count(*) as compared, 0 as changed, true as all_scored from y0"))
+def _(spark, d):
+    """Forests and a ridge fit as one Spark ML pipeline, written, reloaded and compared row by row."""
+    rows = ordering.stable(table(spark, d))
+    ridge = boosting.CandidateConfig("ridge", "ridge")
+    fitted = Pipeline(stages=[stages.PeerDetector(keys=S.SCOPE), stages.Forecaster(ridge)]).fit(rows)
+    path = export.scratch(spark, "pipeline")
+    fitted.write().save(path)
+    told = lambda m, name: m.transform(rows).select(*KEY, F.struct("isolation_score", "is_anomaly", "reason_codes", "pred").alias(name))
+    both = told(fitted, "one").join(told(PipelineModel.load(path), "two"), KEY, "full")
+    return both.agg(
+        F.count(F.lit(1)).alias("compared"),
+        F.count_if(~F.col("one").eqNullSafe(F.col("two"))).alias("changed"),
+        F.bool_and(F.col("two.isolation_score").isNotNull() & F.col("two.pred").isNotNull()).alias("all_scored"),
+    )
+
+
 @query(
     "J-19_baseline_errors",
     Q.query(*TRAINED, Q.split(0.25, 26170, stratum=None), select="select config, round(avg(abs(pred - y)), 6) + 0.0 as validation_mae from yy join split_t using (batch_id) where side = 'test' group by 1"),

@@ -69,3 +69,20 @@ def test_salted_join_keeps_rows(values):
     stats = df.groupBy("g").agg(F.count("v").alias("n"))
     joined = ordering.salted_join(df, stats, ["g"])
     assert joined.count() == df.count() and joined.filter("n is null").count() == 0
+
+
+def test_copies_of_a_salted_join_count_before_they_are_broadcast(spark):
+    """30 000 groups fit the bound of a broadcast, their copies for all salts don't."""
+    bound = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, "2m")
+    try:
+        df = spark.range(30_000).select((F.col("id") * 0.37).alias("g"))
+        stats = ordering.stable(df).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        joined = ordering.salted_join(ordering.stable(df), stats, ["g"])
+        rows = joined.agg(F.sum("n"))
+        assert rows.collect()[0][0] == 30_000
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set(bound, before)

@@ -5,11 +5,13 @@ share the upper bits of their order-preserving key; the bucket that holds a want
 the next pass by 16 further bits, so four passes settle any 64-bit number. A group, or an open
 bucket, of at most KEEP values is sent as it is, which ends its search at once: small tables take
 one pass. No row is copied per group, column or rank, and what travels is bounded by groups, not rows.
+Tasks merge the counts by group and find the buckets; ranks and values alone reach the driver.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Callable, Hashable, Iterator, Sequence
 from functools import partial, reduce
 from typing import Any
@@ -31,11 +33,11 @@ def gathered(blocks, part: Callable[[Any], Any], merge: Callable[[Any, Any], Any
     Functions of modules and partial() calls of them travel by name, which keeps short jobs short.
     """
     if blocks.getNumPartitions() > MANY:
-        return blocks.mapPartitions(partial(_within, part, merge)).treeReduce(merge)
-    return reduce(merge, blocks.context.runJob(blocks, partial(_within, part, merge)))
+        return blocks.mapPartitions(partial(within, part, merge)).treeReduce(merge)
+    return reduce(merge, blocks.context.runJob(blocks, partial(within, part, merge)))
 
 
-def _within(part: Callable, merge: Callable, blocks: Iterator) -> list:
+def within(part: Callable, merge: Callable, blocks: Iterator) -> list:
     found = [part(b) for b in blocks]
     return [reduce(merge, found)] if found else []
 
@@ -52,42 +54,104 @@ def numbers(keys: np.ndarray) -> np.ndarray:
     return np.where(keys >> np.uint64(63), keys & np.uint64((1 << 63) - 1), ~keys).view(np.float64)
 
 
-def told(keys: np.ndarray, shift: int):
+def told(keys: np.ndarray, shift: int, keep: int):
     """Few keys as they are, many as counts of their upper bits."""
-    return ("keys", np.sort(keys)) if len(keys) <= KEEP else counted(keys, shift)
+    return ("keys", np.sort(keys)) if len(keys) <= keep else counted(keys, shift)
 
 
 def counted(keys: np.ndarray, shift: int):
     return ("counts", *np.unique(keys >> np.uint64(shift), return_counts=True))
 
 
-def added(a, b, shift: int):
+def added(a, b, shift: int, keep: int):
     if a[0] == b[0] == "keys":
-        return told(np.concatenate([a[1], b[1]]), shift)
+        return told(np.concatenate([a[1], b[1]]), shift, keep)
     a, b = (counted(x[1], shift) if x[0] == "keys" else x for x in (a, b))
     names, at = np.unique(np.concatenate([a[1], b[1]]), return_inverse=True)
     return "counts", names, np.bincount(at, weights=np.concatenate([a[2], b[2]])).astype(np.int64)
 
 
-def _pass(values: Callable, wanted: dict | None, shift: int, block) -> dict:
+def _pass(values: Callable, wanted: dict | None, shift: int, keep: int, block) -> dict:
     """What one block says about each group, or about each open bucket of a group."""
     found = {}
     for group, x in values(block).items():
         if wanted is None:
             if len(x):
-                found[group] = told(ordered(x), shift)
+                found[group] = told(ordered(x), shift, keep)
         elif group in wanted:
             keys = ordered(x)
             upper = keys >> np.uint64(shift + BITS)
             at = np.minimum(np.searchsorted(wanted[group], upper), len(wanted[group]) - 1)
             hit = wanted[group][at] == upper
             for k in np.unique(at[hit]):
-                found[group, int(wanted[group][k])] = told(keys[hit & (at == k)], shift)
+                found[group, int(wanted[group][k])] = told(keys[hit & (at == k)], shift, keep)
     return found
 
 
-def _merged(shift: int, a: dict, b: dict) -> dict:
-    return a | {k: added(a[k], v, shift) if k in a else v for k, v in b.items()}
+def _merged(shift: int, keep: int, a: dict, b: dict) -> dict:
+    return a | {k: added(a[k], v, shift, keep) if k in a else v for k, v in b.items()}
+
+
+def _dealt(part: Callable, merge: Callable, width: int, blocks: Iterator) -> list:
+    """What a partition says, by the task that merges the group."""
+    out: list[dict] = [{} for _ in range(width)]
+    for found in within(part, merge, blocks):
+        for k, t in found.items():
+            out[zlib.crc32(repr(k).encode()) % width][k] = t
+    return [(i, d) for i, d in enumerate(out) if d]
+
+
+def _settled(merge: Callable, shift: int, ranks: Callable, asked: dict | None, dealt: Iterator[tuple[int, dict]]) -> list[tuple]:
+    """Per group or open bucket: its size, the ranks it settles, and (rank, bucket, rank inside) of the others."""
+    out = []
+    for k, t in reduce(merge, (d for _, d in dealt), {}).items():
+        n = len(t[1]) if t[0] == "keys" else int(t[2].sum())
+        rest = [(r, r) for r in ranks(k, n)] if asked is None else asked[k]
+        if t[0] == "keys":
+            out.append((k, n, [(r, float(numbers(t[1][[inside]])[0])) for r, inside in rest], []))
+            continue
+        ends, done, later = np.cumsum(t[2]), [], []
+        for r, inside in rest:
+            at = int(np.searchsorted(ends, inside, side="right"))
+            if shift == 0:
+                done.append((r, float(numbers(t[1][[at]])[0])))
+            else:
+                later.append((r, int(t[1][at]), inside - int(ends[at] - t[2][at])))
+        out.append((k, n, done, later))
+    return out
+
+
+def _ranked(blocks, values: Callable, ranks: Callable) -> tuple[dict[Hashable, dict[int, float]], dict[Hashable, int]]:
+    """({group: {rank: value}}, {group: size}). Tasks merge and settle groups; the driver sees ranks and values."""
+    out: dict[Hashable, dict[int, float]] = {}
+    sizes: dict[Hashable, int] = {}
+    asked: dict[tuple, list[tuple[int, int]]] | None = None  # (group, bucket) -> (rank, rank inside)
+    parts = blocks.getNumPartitions()
+    width = min(parts, blocks.context.defaultParallelism)
+    for shift in (48, 32, 16, 0):
+        wanted: dict | None = None
+        if asked is not None:
+            wanted = {}
+            for g, bucket in sorted(asked, key=lambda k: k[1]):
+                wanted.setdefault(g, []).append(bucket)
+            wanted = {g: np.array(b, dtype=np.uint64) for g, b in wanted.items()}
+        merge = partial(_merged, shift, KEEP)
+        dealt = blocks.mapPartitions(partial(_dealt, partial(_pass, values, wanted, shift, KEEP), merge, width))
+        if parts > 1:
+            dealt = dealt.partitionBy(width, int)
+        found = dealt.mapPartitions(partial(_settled, merge, shift, ranks, asked)).collect()  # a few numbers per group
+        later: dict[tuple, list[tuple[int, int]]] = {}
+        for k, n, done, rest in found:
+            g = k if asked is None else k[0]
+            if asked is None:
+                sizes[g] = n
+            out.setdefault(g, {}).update(done)
+            for r, bucket, inside in rest:
+                later.setdefault((g, bucket), []).append((r, inside))
+        if not later:
+            break
+        asked = later
+    return out, sizes
 
 
 def order_statistics(
@@ -97,33 +161,7 @@ def order_statistics(
 
     values(block) gives the finite numbers of each group in a block; groups without any are absent.
     """
-    out: dict[Hashable, dict[int, float]] = {}
-    open_: dict[Hashable, dict[int, list[tuple[int, int]]]] | None = None  # group -> bucket -> (rank, rank inside)
-    for shift in (48, 32, 16, 0):
-        wanted = None if open_ is None else {g: np.array(sorted(b), dtype=np.uint64) for g, b in open_.items()}
-
-        found = gathered(blocks, partial(_pass, values, wanted, shift), partial(_merged, shift))
-        if open_ is None:
-            size = lambda t: len(t[1]) if t[0] == "keys" else int(t[2].sum())
-            asked = {g: [(r, r) for r in ranks(g, size(t))] for g, t in found.items()}
-            pairs = [(g, found[g], asked[g]) for g in found]
-        else:
-            pairs = [(g, found[g, b], rest) for g, buckets in open_.items() for b, rest in buckets.items()]
-        open_ = {}
-        for g, t, rest in pairs:
-            if t[0] == "keys":
-                out.setdefault(g, {}).update({r: float(numbers(t[1][[inside]])[0]) for r, inside in rest})
-                continue
-            ends = np.cumsum(t[2])
-            for r, inside in rest:
-                k = int(np.searchsorted(ends, inside, side="right"))
-                if shift == 0:
-                    out.setdefault(g, {})[r] = float(numbers(t[1][[k]])[0])
-                else:
-                    open_.setdefault(g, {}).setdefault(int(t[1][k]), []).append((r, inside - int(ends[k] - t[2][k])))
-        if not open_:
-            return out
-    return out
+    return _ranked(blocks, values, ranks)[0]
 
 
 def between(n: int, level: float) -> tuple[int, int, float]:
@@ -133,15 +171,13 @@ def between(n: int, level: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), place - low
 
 
-def quantiles(blocks, values: Callable[[Any], dict[Hashable, np.ndarray]], levels: Callable[[Hashable], Sequence[float]]) -> dict[Hashable, list[float]]:
-    """{group: quantiles}, interpolated between neighbours; levels(group) says which."""
-    sizes: dict[Hashable, int] = {}
+def _around(levels: Callable, group: Hashable, n: int) -> list[int]:
+    return sorted({r for q in levels(group) for r in between(n, q)[:2]})
 
-    def ranks(group, n):
-        sizes[group] = n
-        return sorted({r for q in levels(group) for r in between(n, q)[:2]})
 
-    found = order_statistics(blocks, values, ranks)
+def quantiles(blocks, values: Callable[[Any], dict[Hashable, np.ndarray]], levels: Callable[[Hashable], Sequence[float]]) -> dict[Hashable, list[float]]:
+    """{group: quantiles}, interpolated between neighbours; levels(group) says which."""
+    found, sizes = _ranked(blocks, values, partial(_around, levels))
     out = {}
     for g, at in found.items():
         cuts = [between(sizes[g], q) for q in levels(g)]

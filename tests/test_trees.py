@@ -1,7 +1,9 @@
 import math
+import pickle
 
 import numpy as np
 import pytest
+from pyspark import RDD, SparkContext
 from pyspark.sql import functions as F
 
 from peerscreen.operators import boosting, selection, trees
@@ -130,6 +132,39 @@ def test_models_do_not_depend_on_company_or_on_row_order(spark):
     assert all(len({f for f in t["feature"] if f >= 0}) <= 2 for t in alone.trees)  # of three columns
 
 
+def test_many_partitions_send_splits_and_not_histograms(spark, monkeypatch):
+    """Six partitions give the trees of one, and no job brings more than a few hundred bytes a model to the driver."""
+    df, _, _ = table(spark, n=1500)
+    p = PARAMS | {"subsample": 0.8}
+    kinds = [("squared", p), ("absolute", p), ("squared", p | {"depth": None, "leaves": 7})]
+    fits = [trees.Fit((0, 1, 2), 0, s, objective, q, 1, False) for objective, q in kinds for s in (0, 1)]
+    _, one = trees.grown(df, 3, 2, fits)
+    sent = []
+
+    def spy(owner, name):
+        real = getattr(owner, name)
+
+        def run(self, *args, **named):
+            out = real(self, *args, **named)
+            sent.append(len(pickle.dumps(out)))
+            return out
+
+        monkeypatch.setattr(owner, name, run)
+
+    spy(RDD, "collect")
+    spy(SparkContext, "runJob")
+    blocks_of = trees.blocks_of
+    monkeypatch.setattr(trees, "blocks_of", lambda df, models: blocks_of(df, models).repartition(6))
+    _, many = trees.grown(df, 3, 2, fits)
+    for a, b in zip(one, many):
+        assert a.base == pytest.approx(b.base) and len(a.trees) == len(b.trees) == 4
+        for t, u in zip(a.trees, b.trees):
+            assert t["feature"] == u["feature"] and t["threshold"] == u["threshold"]
+            np.testing.assert_allclose(t["value"], u["value"], atol=1e-9)
+    # Once per fit, cut points of three features and two sets; after that one split a node.
+    assert len(sent) > 12 and max(sent) < 12_000
+
+
 def test_hist_candidate_has_at_most_fifteen_leaves_of_any_depth():
     p = boosting.settings(boosting.HIST)
     assert (p["leaves"], p["depth"], p["penalty"], p["rounds"]) == (15, None, 5.0, 250)

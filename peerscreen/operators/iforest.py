@@ -23,7 +23,7 @@ from peerscreen.functions.columns import finite, ratio
 from peerscreen.operators import decide, ordering
 
 BROADCAST_NODES = 2_000_000
-ROWS_PER_GROUP = 200_000
+ROWS_PER_GROUP = 50_000
 TREES_PER_CALL = 10
 UNIT = float(2**31)
 

@@ -24,6 +24,7 @@ from peerscreen.functions.columns import finite
 
 KEEP = 4096
 BITS = 16
+DEALT = 256  # groups of partitions a merging task is worth
 MANY = 16  # partitions beyond which partial results are merged in rounds
 
 
@@ -121,13 +122,12 @@ def _settled(merge: Callable, shift: int, ranks: Callable, asked: dict | None, d
     return out
 
 
-def _ranked(blocks, values: Callable, ranks: Callable) -> tuple[dict[Hashable, dict[int, float]], dict[Hashable, int]]:
+def _ranked(blocks, values: Callable, ranks: Callable, groups: int | None) -> tuple[dict[Hashable, dict[int, float]], dict[Hashable, int]]:
     """({group: {rank: value}}, {group: size}). Tasks merge and settle groups; the driver sees ranks and values."""
     out: dict[Hashable, dict[int, float]] = {}
     sizes: dict[Hashable, int] = {}
     asked: dict[tuple, list[tuple[int, int]]] | None = None  # (group, bucket) -> (rank, rank inside)
     parts = blocks.getNumPartitions()
-    width = min(parts, blocks.context.defaultParallelism)
     for shift in (48, 32, 16, 0):
         wanted: dict | None = None
         if asked is not None:
@@ -136,6 +136,10 @@ def _ranked(blocks, values: Callable, ranks: Callable) -> tuple[dict[Hashable, d
                 wanted.setdefault(g, []).append(bucket)
             wanted = {g: np.array(b, dtype=np.uint64) for g, b in wanted.items()}
         merge = partial(_merged, shift, KEEP)
+        n = groups if asked is None else len(asked)
+        width = min(parts, blocks.context.defaultParallelism)
+        if n is not None:  # every task tells the driver some 2 KB of its own, so few groups meet in few tasks
+            width = max(min(width, -(-n * parts // DEALT)), 1)
         dealt = blocks.mapPartitions(partial(_dealt, partial(_pass, values, wanted, shift, KEEP), merge, width))
         if parts > 1:
             dealt = dealt.partitionBy(width, int)
@@ -155,13 +159,14 @@ def _ranked(blocks, values: Callable, ranks: Callable) -> tuple[dict[Hashable, d
 
 
 def order_statistics(
-    blocks, values: Callable[[Any], dict[Hashable, np.ndarray]], ranks: Callable[[Hashable, int], Sequence[int]]
+    blocks, values: Callable[[Any], dict[Hashable, np.ndarray]], ranks: Callable[[Hashable, int], Sequence[int]], groups: int | None = None
 ) -> dict[Hashable, dict[int, float]]:
     """{group: {rank: value}} for the 0-based ranks that ranks(group, n) asks for.
 
     values(block) gives the finite numbers of each group in a block; groups without any are absent.
+    groups, if known, says about how many there are, which saves tasks.
     """
-    return _ranked(blocks, values, ranks)[0]
+    return _ranked(blocks, values, ranks, groups)[0]
 
 
 def between(n: int, level: float) -> tuple[int, int, float]:
@@ -175,9 +180,11 @@ def _around(levels: Callable, group: Hashable, n: int) -> list[int]:
     return sorted({r for q in levels(group) for r in between(n, q)[:2]})
 
 
-def quantiles(blocks, values: Callable[[Any], dict[Hashable, np.ndarray]], levels: Callable[[Hashable], Sequence[float]]) -> dict[Hashable, list[float]]:
+def quantiles(
+    blocks, values: Callable[[Any], dict[Hashable, np.ndarray]], levels: Callable[[Hashable], Sequence[float]], groups: int | None = None
+) -> dict[Hashable, list[float]]:
     """{group: quantiles}, interpolated between neighbours; levels(group) says which."""
-    found, sizes = _ranked(blocks, values, partial(_around, levels))
+    found, sizes = _ranked(blocks, values, partial(_around, levels), groups)
     out = {}
     for g, at in found.items():
         cuts = [between(sizes[g], q) for q in levels(g)]
@@ -197,4 +204,4 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[flo
     blocks = numbers_.mapInArrow(packed, "block binary").rdd.map(lambda r: pickle.loads(r["block"]))  # noqa: S301 (packed above)
     if blocks.isEmpty():
         return {}
-    return quantiles(blocks, lambda b: b, lambda c: levels)
+    return quantiles(blocks, lambda b: b, lambda c: levels, len(columns))

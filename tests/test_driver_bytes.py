@@ -56,3 +56,18 @@ def test_fits_send_the_driver_less_than_one_histogram(spark, monkeypatch, folder
     monkeypatch.setattr(trees, "grown", watched)
     assert QUERIES[name](spark, folder).count()
     assert told and all(most < bound and jobs > 6 for most, bound, jobs in told), told
+
+
+def test_few_models_and_leaves_are_merged_in_one_task(spark, monkeypatch):
+    """Each task tells the driver some 2 KB whatever it finds, so six partitions of six fits are not merged in six tasks."""
+    wide, merged = lambda f: F.pmod(F.xxhash64("id", F.lit(f)), F.lit(1000)) / 100.0, []
+    df = spark.range(600).select("id", F.array(wide(1), wide(2)).alias("x"), F.array(wide(1) - wide(2)).alias("targets"), F.array(F.lit(True)).alias("members"))
+    p = boosting.BOOST_PARAMS | {"rounds": 2, "huber_slope": 0.05}
+    fits = [trees.Fit((0, 1), 0, 0, objective, p, seed, False) for objective in ("squared", "absolute") for seed in (1, 2, 3)]
+    blocks_of, by_model, by_group = trees.blocks_of, RDD.repartitionAndSortWithinPartitions, RDD.partitionBy
+    monkeypatch.setattr(trees, "blocks_of", lambda df, models: blocks_of(df, models).repartition(6))
+    monkeypatch.setattr(RDD, "repartitionAndSortWithinPartitions", lambda self, n, *a, **k: merged.append(("models", n)) or by_model(self, n, *a, **k))
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *a: merged.append(("groups", n)) or by_group(self, n, *a))
+    trees.grown(df, 2, 1, fits)
+    assert {kind for kind, _ in merged} == {"models", "groups"}
+    assert all(n == 1 for _, n in merged), merged

@@ -192,6 +192,13 @@ def quantiles(
     return out
 
 
+def quantile(values: np.ndarray, level: float) -> float:
+    """What quantiles() finds, of one group that is at hand."""
+    low, high, w = between(len(values), level)
+    a, b = map(float, numbers(np.partition(ordered(values), (low, high))[[low, high]]))
+    return a + (b - a) * w if w else a
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> dict[str, list[float]]:
     """Exact quantiles of the finite values of every column; columns without values are absent."""
 

@@ -15,6 +15,11 @@ node and selected values, never histograms or rows.
 
 Rows are drawn by a hash of row id, seed and round, columns by seed and round, so fits depend
 neither on how rows are dealt nor on which other models share the pass.
+
+Rounds of a small table take as long as their jobs, whatever its rows. Up to WHOLE bins every model
+therefore gets a copy of its training rows and grows all its rounds in one task, the models side by
+side: one job instead of some hundreds. Sums are added in the same order, so the trees are the same
+(but for partitions of a few rows, which are joined first).
 """
 
 from __future__ import annotations
@@ -23,9 +28,10 @@ import heapq
 import math
 import pickle
 import random
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,9 @@ BLOCK = 65_536
 WORK = 20_000  # rows times models a partition is worth
 SUMS = 64  # histograms of models and partitions a merging task is worth
 CHECKPOINT_EVERY = 50
+WHOLE = 16_000_000  # bins of a table that a task may hold to grow a model
+TINY = 128  # rows a partition has at least on average, if its sums are to be taken on their own
+FEW = 10  # rounds whose jobs take no longer than dealing out the table by model
 LEAST_GAIN = 1e-6
 
 
@@ -464,21 +473,28 @@ def _level(fits: Sequence[Fit], group: tuple[int, int]) -> tuple[float]:
     return (fits[group[0]].params.get("quantile", 0.5),)
 
 
-def _leaf_values(state: RDD, fits: Sequence[Fit], number: int, finals: dict[int, list[Node]]) -> dict[int, np.ndarray]:
-    """The step of every leaf, already shortened by the learning rate; 0 at inner nodes."""
+def _leaf_values(fits: Sequence[Fit], finals: dict[int, list[Node]], selected: Callable[[dict[int, Shape]], dict]) -> dict[int, np.ndarray]:
+    """The step of every leaf, already shortened by the learning rate; 0 at inner nodes.
+
+    selected(trees) gives {(model, leaf): [quantile of its residuals]} of leaves with rows.
+    """
     out = {}
     for m, nodes in finals.items():
         p = fits[m].params
         out[m] = np.array([0.0 if n.feature >= 0 else -n.gradient / (n.curvature + p["penalty"]) if n.rows else 0.0 for n in nodes])
     chosen = {m: shape(nodes) for m, nodes in finals.items() if selects(fits[m].objective)}
     if chosen:
-        leaves = sum(int((tree.feature < 0).sum()) for tree in chosen.values())
-        got = selection.quantiles(state, partial(_leaf_residuals, fits=fits, number=number, trees=chosen), partial(_level, fits), leaves)
+        got = selected(chosen)
         for m, tree in chosen.items():
             out[m] = np.array([got.get((m, k), [0.0])[0] if f < 0 else 0.0 for k, f in enumerate(tree.feature)])
     return {m: v * fits[m].params["learning_rate"] for m, v in out.items()}
 
 
+def _selected(trees: dict[int, Shape], state: RDD, fits: Sequence[Fit], number: int) -> dict:
+    leaves = sum(int((tree.feature < 0).sum()) for tree in trees.values())
+    return selection.quantiles(state, partial(_leaf_residuals, fits=fits, number=number, trees=trees), partial(_level, fits), leaves)
+
+
 def grown(df: DataFrame, features: int, sets: int, fits: Sequence[Fit]) -> tuple[np.ndarray, list[Grown]]:
     """Medians per training set and feature, and an ensemble per fit. See blocks_of for df."""
     level = StorageLevel.MEMORY_AND_DISK
@@ -489,6 +505,10 @@ def grown(df: DataFrame, features: int, sets: int, fits: Sequence[Fit]) -> tuple
         return fill, []
     cuts = edges(raw, features, sets, fill)
     start = _bases(raw, fits)
+    if max(f.params["rounds"] for f in fits) >= FEW and raw.map(_rows).sum() * features <= WHOLE:
+        out = _grown_apart(raw, fits, cuts, fill, start)
+        raw.unpersist()
+        return fill, out
     state = raw.mapPartitions(partial(_each, partial(_binned, cuts=cuts, fill=fill, start=start))).persist(level)
     members = [f.member for f in fits]
     old, out, steps = raw, [Grown(float(s), []) for s in start], {}
@@ -509,7 +529,7 @@ def grown(df: DataFrame, features: int, sets: int, fits: Sequence[Fit]) -> tuple
         if kept is not None:
             kept.unpersist()
         finals = {m: g.tree() for m, g in growths.items()}
-        values = _leaf_values(state, fits, number, finals)
+        values = _leaf_values(fits, finals, partial(_selected, state=state, fits=fits, number=number))
         steps = {m: (shape(nodes), values[m]) for m, nodes in finals.items()}
         for m, nodes in finals.items():
             out[m].trees.append(_arrays(nodes, values[m], fits[m], cuts[fits[m].member]))
@@ -517,6 +537,79 @@ def grown(df: DataFrame, features: int, sets: int, fits: Sequence[Fit]) -> tuple
     return fill, out
 
 
+# --- growing every model in a task of its own ------------------------------------------------
+
+
+def _rows(b: Block) -> int:
+    return len(b["ids"])
+
+
+def _copies(at: int, blocks: Iterator[Block], fits: Sequence[Fit], cuts: list, fill: np.ndarray, start: np.ndarray) -> Iterator[tuple[tuple[int, int, int], Block]]:
+    """((model, partition, block), its rows of the training set) for every model."""
+    for k, b in enumerate(blocks):
+        b = _binned(b, cuts, fill, start)
+        for m, f in enumerate(fits):
+            rows = np.flatnonzero(b["members"][:, f.member])
+            own = Block(dealt=len(b["ids"]), ids=b["ids"][rows], bins=[b["bins"][f.member][rows]], targets=b["targets"][rows, f.target][:, None])
+            yield (m, at, k), own | {"members": np.ones((len(rows), 1), dtype=bool), "forecasts": b["forecasts"][rows, m][:, None]}
+
+
+def _joined(blocks: list[Block]) -> Block:
+    """One block of a model's many small ones."""
+    whole = Block({k: np.concatenate([b[k] for b in blocks]) for k in ("ids", "targets", "members", "forecasts")})
+    return whole | {"bins": [np.concatenate([b["bins"][0] for b in blocks])]}
+
+
+def _model(key: tuple[int, int, int]) -> int:
+    return key[0]
+
+
+def _selected_here(trees: dict[int, Shape], parts: list[list[Block]], fits: Sequence[Fit], number: int) -> dict:
+    found: dict[tuple[int, int], list[np.ndarray]] = {}
+    for b in (b for blocks in parts for b in blocks):
+        for leaf, x in _leaf_residuals(b, fits, number, trees).items():
+            found.setdefault(leaf, []).append(x)
+    return {leaf: [selection.quantile(np.concatenate(x), _level(fits, leaf)[0])] for leaf, x in found.items()}
+
+
+def _alone(parts: list[list[Block]], fit: Fit, cuts: list[np.ndarray]) -> list[dict]:
+    """All trees of one model, from blocks by partition."""
+    one, out = [replace(fit, target=0, member=0)], []
+    for number in range(fit.params["rounds"]):
+        growth, kept = Growth(fit, columns_of(fit, number)), {}
+        while growth.asked:
+            asked = {0: growth.ask()}
+            count = partial(histograms, fits=one, number=number, asked=asked)
+            (sums,) = _summed(s for at, blocks in enumerate(parts) for s in _parts(at, iter(blocks), count))
+            kept, told = _judged((sums, (kept, {})), one, asked)
+            growth.learn(told[0])
+        nodes = growth.tree()
+        values = _leaf_values(one, {0: nodes}, partial(_selected_here, parts=parts, fits=one, number=number))[0]
+        step = {0: (shape(nodes), values)}
+        parts = [[_updated(b, [0], step) for b in blocks] for blocks in parts]
+        out.append(_arrays(nodes, values, fit, cuts))
+    return out
+
+
+def _each_alone(copies: Iterator[tuple[tuple[int, int, int], Block]], fits: Sequence[Fit], cuts: list) -> Iterator[tuple[int, list[dict]]]:
+    """(model, trees) of the models whose copies come here, sorted by model, partition and block."""
+    for m, own in groupby(copies, lambda c: c[0][0]):
+        parts = [[b for _, b in some] for _, some in groupby(own, lambda c: c[0][1])]
+        if sum(b["dealt"] for blocks in parts for b in blocks) < TINY * len(parts):
+            parts = [[_joined([b for blocks in parts for b in blocks])]]
+        yield m, _alone(parts, fits[m], cuts[fits[m].member])
+
+
+def _grown_apart(raw: RDD, fits: Sequence[Fit], cuts: list, fill: np.ndarray, start: np.ndarray) -> list[Grown]:
+    """An ensemble per fit, each from a task that holds all its training rows."""
+    copies = raw.mapPartitionsWithIndex(partial(_copies, fits=fits, cuts=cuts, fill=fill, start=start))
+    dealt = copies.repartitionAndSortWithinPartitions(len(fits), _model)
+    found = dict(dealt.mapPartitions(partial(_each_alone, fits=fits, cuts=cuts)).collect())  # the models themselves
+    if len(found) < len(fits):
+        raise ValueError("no training rows")
+    return [Grown(float(start[m]), found[m]) for m in range(len(fits))]
+
+
 def _arrays(nodes: list[Node], steps: np.ndarray, fit: Fit, cuts: list[np.ndarray]) -> dict:
     place = {f: i for i, f in enumerate(fit.columns)}
     return {
